@@ -10,6 +10,12 @@ from lexiloom.llm.decontamination import LEAKS_SQL
 from lexiloom.session import table
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.pitman_yor import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.licenses import scan_licenses
 
@@ -68,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op2_license_scan": op2_license_scan,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,

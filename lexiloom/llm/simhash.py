@@ -42,7 +42,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
-        yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,6 +172,17 @@ def similar_links(prints: DataFrame, bits: int = 3, dense: int = DENSE) -> DataF
     return links.union(members.join(least, ["mask", "rest"]).where("a != fp").select("a", F.col("fp").alias("b")).distinct())
 
 
+def _rooted(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows (doc_id, fp, text_hash), and of each distinct
+    one the least doc_id and its component's root."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    prints = materialize(base.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long"), "simhash-prints")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = materialize(connected_components(similar_links(least, bits)), "simhash-components")
+    rooted = least.join(found, least.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    return prints, materialize(rooted, "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
     """(doc_id, text) -> (doc_id, fingerprint, component_id), one row for each
     row: fingerprints of 3-word shingles, linked at ``bits`` or fewer differing
@@ -184,10 +195,17 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
     one fingerprint and are linked through it, so groups of copies cost a
     partial minimum, not pairs.
     """
-    prints = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash-prints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = materialize(connected_components(similar_links(least, bits)), "simhash-components")
-    rooted = materialize(least.join(found, least.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    prints, rooted = _rooted(docs, bits)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = materialize(rooted.join(ids, "root").select("fp", "component_id"), "simhash-ids")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, bits: int = 3) -> DataFrame:
+    """One row of each component of ``near_duplicates``, all columns: that of
+    the least doc_id (nulls last), then of the least hash of its text."""
+    prints, rooted = _rooted(docs, bits)
+    last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    keep = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(last.alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_hash": F.xxhash64("text")})
+    return keyed.join(keep.select("k._id", "k._hash").distinct(), ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
