@@ -49,3 +49,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Caps the rows of an Arrow batch, for operators that hand whole texts to
+    Python: the default of 10,000 long documents is more than a worker needs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
