@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textbytes
+from lexiloom.session import text_batches
 
 SLOT_BITS = 20
 PROBES = 2
@@ -141,6 +142,7 @@ def identify(docs: DataFrame, folds: int = 5, most: int = DOCS_PER_LANGUAGE) ->
     Repeated rows are predicted alike, null ids are held out; other columns are
     ignored; an empty table gives an empty table.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs.where("not held_out"), most))
     return docs.select("doc_id", "text", "held_out").mapInArrow(_predicted(shared), PREDICTED)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import textbytes
 from lexiloom.llm.language_id import fold
+from lexiloom.session import text_batches
 
 TRAINING_ROWS = 20_000
 BINS = 32
@@ -216,6 +217,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int
     repeated rows score alike; other columns are ignored; without two labels
     the score is the smoothed share of label 1; an empty table gives an empty table.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     chosen = known.where(fold(F.col("doc_id"), folds) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textbytes
+from lexiloom.session import text_batches
 
 SENTENCES = 3
 WORDS = 10
@@ -117,6 +118,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are partial aggregates, and the join that finds other places has only
     equality keys, which Spark splits where a span is in a third of the rows.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("n_removed")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     places = keyed.where("text is not null").mapInArrow(_spans, SPANS)

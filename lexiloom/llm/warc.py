@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.session import text_batches
+
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "headers map<string,string>, block binary"
 DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_headers map<string,string>, source_digest string, block_digest string, content string, record binary"
@@ -191,4 +193,5 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty table. Rows are independent: no
     shuffle, a few hundred pages in memory at a time.
     """
+    text_batches(responses.sparkSession)
     return responses.select("page_id", "headers", "block").mapInPandas(_derived, DERIVED)
