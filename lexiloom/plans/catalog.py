@@ -1,6 +1,568 @@
-"""Every registered query outside the training-data subpackage, with its SQL."""
+"""Every registered query outside the training-data subpackage, with its SQL.
+
+Doubles are rounded on both sides, counts are BIGINT, ties are broken by id.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.functions import text as T
+from lexiloom.functions.routing import ROUTES, route
+from lexiloom.operators import chunking, evaluation, graph, retrieval, tables, verification
+from lexiloom.operators.components import connected_components
+from lexiloom.session import table
+from lexiloom.sources.readers import html_text, links
+from lexiloom.streaming import tasks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _like(words: str) -> str:
+    return words.replace("'", "''")
+
+
+CONV = "SELECT conv_id, turn, text FROM conversations"
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+# ---- text functions
+
+
+@register("normalize_query", f"SELECT item_id, regexp_replace(lower(text), '{_like(T.NOISE)}', '', 'g') AS normalized, md5(regexp_replace(lower(text), '{_like(T.NOISE)}', '', 'g')) AS cache_key FROM benchmark")
+def normalize_query(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.normalize_query(F.col("text")).alias("normalized"), T.cache_key(F.col("text")).alias("cache_key"))
+
+
+@register("non_document_filter", f"SELECT conv_id, turn FROM conversations WHERE NOT (regexp_matches(trim(text), '{T.GREETING}') OR (length(trim(text)) <= 3 AND NOT regexp_matches(trim(text), '[.()\\[\\]{{}}=<>_]')))")
+def non_document_filter(spark, d):
+    return table(spark, d, "conversations").where(~T.is_small_talk(F.col("text"))).select("conv_id", "turn")
+
+
+QUESTIONS = "SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN '如何' WHEN 1 THEN '比较' WHEN 2 THEN '全面' WHEN 3 THEN '什么是' WHEN 4 THEN '' ELSE 'a,b,' END || left(text, CAST(5 + turn * 11 AS INTEGER)) AS q FROM conversations"
+INTENT = "CASE " + " ".join(f"WHEN regexp_matches(trim(q), '{w}') THEN '{n}'" for n, _, w in T.INTENTS) + " WHEN length(trim(q)) <= 15 THEN 'factoid' WHEN regexp_matches(trim(q), '[？?]') THEN 'factoid' ELSE 'analytical' END"
+SURE = "CASE " + " ".join(f"WHEN regexp_matches(trim(q), '{w}') THEN {c}" for _, c, w in T.INTENTS) + " WHEN length(trim(q)) <= 15 THEN 0.7 WHEN regexp_matches(trim(q), '[？?]') THEN 0.65 ELSE 0.6 END"
+COMPLEXITY = f"""CASE WHEN n <= 12 AND c = 0 AND NOT code THEN 'simple' WHEN (n <= 12 AND c = 0) OR (n <= 30 AND c <= 1) THEN 'medium'
+  WHEN (c >= 2 AND n > 30) OR c >= 3 OR n > 60 THEN 'complex' ELSE 'medium' END"""
+CLASSIFIED = f"""WITH q AS ({QUESTIONS}), m AS (SELECT *, length(trim(q)) AS n, len(regexp_extract_all(trim(q), '{T.CLAUSES}')) AS c, regexp_matches(trim(q), '[.\\[\\](){{}}\\-><_]') AS code FROM q),
+k AS (SELECT conv_id, turn, {INTENT} AS intent_type, CAST({SURE} AS DOUBLE) AS confidence, {COMPLEXITY} AS complexity FROM m)"""
+
+
+def _classified(spark, d):
+    head = F.expr("CASE conv_id % 6 WHEN 0 THEN '如何' WHEN 1 THEN '比较' WHEN 2 THEN '全面' WHEN 3 THEN '什么是' WHEN 4 THEN '' ELSE 'a,b,' END")
+    q = table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, F.left("text", F.col("turn") * 11 + 5)).alias("q"))
+    return q.select("conv_id", "turn", F.inline(F.array(T.intent(F.col("q")))), T.complexity(F.col("q")).alias("complexity"))
+
+
+@register("intent_classify", CLASSIFIED + " SELECT conv_id, turn, intent_type, confidence, complexity FROM k")
+def intent_classify(spark, d):
+    return _classified(spark, d).select("conv_id", "turn", "intent_type", "confidence", "complexity")
+
+
+@register("route_lookup", CLASSIFIED + f", r(intent_type, complexity, use_hyde, num_queries, rerank_top_k, vector_weight, text_weight) AS (VALUES {', '.join(str(x) for x in ROUTES)}) SELECT conv_id, turn, use_hyde, num_queries, rerank_top_k, CAST(vector_weight AS DOUBLE) AS vector_weight, CAST(text_weight AS DOUBLE) AS text_weight FROM k JOIN r USING (intent_type, complexity)")
+def route_lookup(spark, d):
+    return route(spark, _classified(spark, d)).select("conv_id", "turn", "use_hyde", "num_queries", "rerank_top_k", "vector_weight", "text_weight")
+
+
+@register("tokenize_df", f"SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
+def tokenize_df(spark, d):
+    each = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@register("jaccard_turns", f"""WITH t AS (SELECT conv_id, turn, list_distinct({TOKENS}) AS w FROM conversations)
+SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS jaccard
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def jaccard_turns(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
+
+
+@register("citation_extract", "SELECT conv_id, turn, CAST(1 + turn AS INTEGER) AS first_cited, CAST(CASE WHEN turn = 0 THEN 2 ELSE 3 END AS BIGINT) AS n_cited FROM conversations")
+def citation_extract(spark, d):
+    answer = F.concat(F.lit("so ["), F.col("turn") + 1, F.lit("] and [来源 1], 参考 77 and [1]"))
+    cited = T.citations(answer)
+    return table(spark, d, "conversations").select("conv_id", "turn", cited[0].alias("first_cited"), F.size(cited).cast("long").alias("n_cited"))
+
+
+@register("keyword_coverage", f"""WITH t AS (SELECT conv_id, turn, text, {TOKENS} AS w FROM conversations)
+SELECT a.conv_id, b.turn, round(CASE WHEN len(a.w) = 0 THEN 0.0 ELSE len(list_filter(a.w, lambda k: contains(lower(b.text), k))) / len(a.w) END, 6) AS coverage FROM t a JOIN t b USING (conv_id) WHERE a.turn = 0 AND b.turn > 0""")
+def keyword_coverage(spark, d):
+    t = table(spark, d, "conversations")
+    first = t.where("turn = 0").select("conv_id", T.tokens(F.col("text")).alias("w"))
+    return t.where("turn > 0").join(first, "conv_id").select("conv_id", "turn", F.round(T.keyword_coverage(F.col("text"), F.col("w")), 6).alias("coverage"))
+
+
+@register("url_filename", r"""WITH p AS (SELECT page_id, url, replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/', '_') AS f FROM pages)
+SELECT page_id, left(regexp_replace(CASE WHEN f = '' THEN md5(url) ELSE f END, '[<>:"|?*\\]', '', 'g'), 120) || '.md' AS filename FROM p""")
+def url_filename(spark, d):
+    return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("filename"))
+
+
+@register("page_links")
+def page_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(links(F.col("html"), F.col("url"))).alias("pos", "link"))
+
+
+@register("html_text")
+def html_text_query(spark, d):
+    each = F.pandas_udf(lambda s: s.map(lambda x: html_text(x or "")), "string")
+    return table(spark, d, "pages").select("page_id", each("html").alias("text"))
+
+
+TAGS = ["license", "und", "the", "que", "thing"]
+
+
+@register("tag_match", f"SELECT doc_id, list_filter({TAGS}, lambda t: contains(lower(text), t))[1:3] AS tags FROM documents WHERE len(list_filter({TAGS}, lambda t: contains(lower(text), t))) > 0")
+def tag_match(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.match_tags(F.col("text"), TAGS).alias("tags")).where(F.size("tags") > 0)
+
+
+@register("tag_smoothed_freq", f"WITH t AS (SELECT unnest(list_filter({TAGS}, lambda t: contains(lower(text), t))[1:3]) AS tag FROM documents) SELECT tag, round((count(*) + 1) / ((SELECT count(*) FROM t) + 1000), 8) AS freq FROM t GROUP BY tag")
+def tag_smoothed_freq(spark, d):
+    n = table(spark, d, "documents").select(F.explode(T.match_tags(F.col("text"), TAGS)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    total = F.broadcast(n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
+    return n.join(total).select("tag", F.round((F.col("n") + 1) / (F.col("total") + 1000), 8).alias("freq"))
+
+
+# ---- search
+
+
+def _hits(spark, d, least=0.3, k=10):
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.bm25(table(spark, d, "documents"), queries, k, least)
+
+
+BM25 = rf"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark), need AS (SELECT query_id, floor(count(*) * 0.3) AS needed FROM q GROUP BY query_id),
+dl AS (SELECT doc_id, {TOKENS} AS w FROM documents), av AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dl),
+p AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM dl) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT query_id, doc_id, count(*) AS matched, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), av GROUP BY query_id, doc_id),
+h AS (SELECT s.query_id, doc_id, matched, score, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN need USING (query_id) WHERE matched >= needed),
+bm AS (SELECT query_id, doc_id, CAST(matched AS BIGINT) AS matched, score, CAST(rank AS INTEGER) AS rank FROM h WHERE rank <= 10)"""
+
+
+@register("bm25_topk", BM25 + " SELECT * FROM bm")
+def bm25_topk(spark, d):
+    return _hits(spark, d)
+
+
+def _near(spark, d, queries="vec_id % 50 = 0", k=10):
+    v = table(spark, d, "embeddings")
+    return retrieval.knn(v.select(F.col("vec_id").alias("doc_id"), "embedding"), v.where(queries).select(F.col("vec_id").alias("query_id"), "embedding"), k)
+
+
+def _knn(where: str) -> str:
+    return f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), kh AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE {where}),
+kn AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM kh) WHERE rank <= 10)"""
+
+
+@register("knn_topk", f"WITH {_knn('a.vec_id % 50 = 0')} SELECT * FROM kn")
+def knn_topk(spark, d):
+    return _near(spark, d)
+
+
+BOTH = f"{BM25}, {_knn('a.vec_id IN (SELECT item_id FROM benchmark)')}"
+
+
+def _legs(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    v = table(spark, d, "embeddings")
+    queries = v.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _hits(spark, d), retrieval.knn(v.select(F.col("vec_id").alias("doc_id"), "embedding"), queries, 10)
+
+
+SUMMED = "SELECT query_id, doc_id, round({a} * coalesce(bm.score, 0) + {b} * coalesce(kn.score, 0), 6) AS score FROM bm FULL JOIN kn USING (query_id, doc_id)"
+RANKED = "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x"
+
+
+@register("hybrid_weighted", f"{BOTH}, x AS ({SUMMED.format(a=0.3, b=0.7)}) SELECT * FROM ({RANKED}) WHERE rank <= 10")
+def hybrid_weighted(spark, d):
+    return retrieval.weighted_sum(*_legs(spark, d), 0.3, 0.7, 10)
+
+
+@register("rrf_fusion", f"{BOTH}, x AS (SELECT query_id, doc_id, round(sum(s), 8) AS score FROM (SELECT query_id, doc_id, 0.3 / (60 + rank) AS s FROM bm UNION ALL SELECT query_id, doc_id, 0.7 / (60 + rank) FROM kn) GROUP BY ALL) SELECT * FROM ({RANKED}) WHERE rank <= 10")
+def rrf_fusion(spark, d):
+    text, vector = _legs(spark, d)
+    return retrieval.rrf([(text, 0.3), (vector, 0.7)], 10)
+
+
+@register("rerank_blend", f"{BOTH}, x AS ({SUMMED.format(a=0.6, b=0.4)}) {RANKED}")
+def rerank_blend(spark, d):
+    return retrieval.blend(*_legs(spark, d))
+
+
+CAPPED = f"{BM25}, sc AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM bm JOIN (SELECT doc_id, source FROM documents) USING (doc_id))"
+
+
+@register("source_cap", f"{CAPPED} SELECT query_id, doc_id, source, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM sc WHERE n <= 2")
+def source_cap(spark, d):
+    hits = table(spark, d, "documents").select("doc_id", "source").join(retrieval.small(_hits(spark, d)), "doc_id")
+    return retrieval.source_cap(hits).select("query_id", "doc_id", "source", "score", "rank")
+
+
+@register("top_k_offset", f"WITH {_knn('a.vec_id % 50 = 0')} SELECT query_id, doc_id, score, rank FROM kn WHERE rank BETWEEN 4 AND 7")
+def top_k_offset(spark, d):
+    return retrieval.top_k(_near(spark, d).drop("rank"), 4, 3)
+
+
+@register("relevance_gate", f"WITH {_knn('a.vec_id % 50 = 0')}, g AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, sum(CASE WHEN score >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS p FROM kn) SELECT query_id, doc_id, score, rank FROM g WHERE NOT (n > 3 AND p >= 3) OR score >= 0.3")
+def relevance_gate(spark, d):
+    return retrieval.relevance_gate(_near(spark, d), 0.3, 3)
+
+
+@register("confidence_eval", f"""WITH {_knn('a.vec_id % 50 = 0')}, g AS (SELECT query_id, max(score) AS hi, avg(score) AS mean, var_pop(score) AS v, count(*) AS n FROM kn WHERE query_id != doc_id AND rank <= 2 + query_id % 5 GROUP BY query_id),
+c AS (SELECT *, least(1.0, 0.5 * hi + 0.2 * least(n / 3, 1.0) + 0.2 * mean + 0.1 * CASE WHEN n > 1 THEN greatest(0.0, 1 - 10 * v) ELSE 0.5 END) AS c, (hi < 0.6 OR n < 3 OR mean < 0.48) AS again FROM g)
+SELECT query_id, round(c, 3) AS confidence, again AS needs_refetch, CAST(CASE WHEN again THEN least(30, n * greatest(2, floor(1 / greatest(c, 0.1)))) ELSE n END AS BIGINT) AS suggested_top_k FROM c""")
+def confidence_eval(spark, d):
+    return retrieval.confidence(_near(spark, d).where("query_id != doc_id and rank <= 2 + query_id % 5"))
+
+
+@register("refetch_merge", f"""WITH {_knn('a.vec_id % 50 = 0')}, u AS (SELECT query_id, doc_id, score, rank, 0 AS f FROM kn WHERE rank <= 3 UNION ALL SELECT query_id, doc_id, score, rank, 1 FROM kn),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id % 100 ORDER BY f, rank) AS n FROM u), k AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, rank) AS INTEGER) AS rank FROM o WHERE n = 1) SELECT * FROM k WHERE rank <= 6""")
+def refetch_merge(spark, d):
+    hits = _near(spark, d)
+    return retrieval.merge_results(hits.where("rank <= 3"), hits, F.col("doc_id") % 100, 6)
+
+
+# ---- evaluation
+
+METRICS = """WITH q AS (SELECT DISTINCT l_orderkey AS query_id, l_suppkey AS source FROM lineitem WHERE l_quantity > 30), n AS (SELECT query_id, count(*) AS m FROM q GROUP BY query_id),
+j AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_suppkey AS source, CASE WHEN q.source IS NULL THEN 0 ELSE 1 END AS rel FROM lineitem LEFT JOIN q ON q.query_id = l_orderkey AND q.source = l_suppkey),
+w AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM j),
+a AS (SELECT query_id, max(rel) AS hit, sum(CASE WHEN rank <= 3 THEN rel ELSE 0 END) AS found, min(CASE WHEN rel = 1 THEN rank END) AS first, count(DISTINCT source) AS got, count(DISTINCT CASE WHEN rel = 1 THEN source END) AS ok, sum(CASE WHEN rank <= 3 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, sum(rel * hits / rank) AS ap FROM w GROUP BY query_id),
+mt AS (SELECT query_id, round(coalesce(CAST(hit AS DOUBLE), 0), 6) AS hit_rate, round(coalesce(found / m, 0), 6) AS recall_at_k, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(ok / got, 0), 6) AS precision, round(coalesce(dcg / list_sum(list_transform(range(1, CAST(least(m, 3) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg_at_k, round(coalesce(ap / m, 0), 6) AS average_precision FROM n LEFT JOIN a USING (query_id))"""
+
+
+def _metrics(spark, d):
+    lines = table(spark, d, "lineitem")
+    runs = lines.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.col("l_suppkey").alias("source"))
+    return evaluation.ir_metrics(runs, lines.where("l_quantity > 30").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("source")), 3)
+
+
+@register("ir_metrics", METRICS + " SELECT * FROM mt")
+def ir_metrics(spark, d):
+    return _metrics(spark, d)
+
+
+@register("metric_aggregate", METRICS + " SELECT CAST(count(*) AS BIGINT) AS n, round(avg(hit_rate), 6) AS hit_rate, round(avg(recall_at_k), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg_at_k), 6) AS ndcg, round(0.4 * avg(mrr) + 0.3 * avg(recall_at_k) + 0.3 * 0.8, 6) AS composite FROM mt")
+def metric_aggregate(spark, d):
+    mean = {n: F.round(F.avg(c), 6).alias(n) for n, c in (("hit_rate", "hit_rate"), ("recall", "recall_at_k"), ("mrr", "mrr"), ("ndcg", "ndcg_at_k"))}
+    return _metrics(spark, d).agg(F.count("*").alias("n"), *mean.values(), F.round(0.4 * F.avg("mrr") + 0.3 * F.avg("recall_at_k") + 0.3 * 0.8, 6).alias("composite"))
+
+
+@register("dimension_groupby", "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+def dimension_groupby(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("_orders")
+    return spark.sql("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM _orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
+
+
+@register("dataset_profile", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(100 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM events GROUP BY event_type")
+def dataset_profile(spark, d):
+    n = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("total")))).select("event_type", "n", F.round(100 * F.col("n") / F.col("total"), 4).alias("percent"))
+
+
+@register("ab_ttest")
+def ab_ttest(spark, d):
+    pairs = table(spark, d, "lineitem").select("l_returnflag", F.col("l_tax").alias("a"), F.col("l_discount").alias("b"))
+    return evaluation.paired_t(pairs, "l_returnflag")
+
+
+@register("config_grid", "SELECT CAST(k AS INTEGER) AS top_k, CAST(w AS DOUBLE) AS weight, s AS strategy FROM (VALUES (5), (10), (20)) a(k), (VALUES (0.3), (0.5), (0.7)) b(w), (VALUES ('fixed'), ('recursive')) c(s)")
+def config_grid(spark, d):
+    rows = [(k, w, s) for k in (5, 10, 20) for w in (0.3, 0.5, 0.7) for s in ("fixed", "recursive")]
+    return spark.createDataFrame(rows, "top_k int, weight double, strategy string")
+
+
+@register("latency_stats", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(max(CASE WHEN i = floor(n * 0.95) THEN value END), 4) AS p95_index, round(min(value), 4) AS least, round(max(value), 4) AS most FROM r GROUP BY event_type""")
+def latency_stats(spark, d):
+    return evaluation.latency_report(table(spark, d, "events"), "event_type", "value")
+
+
+@register("success_rate", "SELECT CAST(user_id % 10 AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS n, round(1 - sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) / count(*), 3) AS success FROM events GROUP BY ALL")
+def success_rate(spark, d):
+    return table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("shard")).agg(F.count("*").alias("n"), F.round(1 - F.sum((F.col("event_type") == "error").cast("int")) / F.count("*"), 3).alias("success"))
+
+
+# ---- metadata, updates
+
+
+@register("sources_count", "SELECT source, CAST(count(*) AS BIGINT) AS chunks, CAST(sum(n_chars) AS BIGINT) AS size FROM documents WHERE source != '' GROUP BY source")
+def sources_count(spark, d):
+    return table(spark, d, "documents").where("source != ''").groupBy("source").agg(F.count("*").alias("chunks"), F.sum("n_chars").alias("size"))
+
+
+@register("condition_filter", "SELECT doc_id, source, lang FROM documents WHERE lang = 'fr' AND source IN ('src1', 'src2')")
+def condition_filter(spark, d):
+    return table(spark, d, "documents").where(tables.condition({"lang": "fr", "source": ["src1", "src2"]})).select("doc_id", "source", "lang")
+
+
+@register("delete_update", "SELECT doc_id, CASE WHEN source = 'src3' THEN 'moved' ELSE source END AS source, lang FROM documents WHERE NOT (lang = 'es' AND source IN ('src1', 'src4'))")
+def delete_update(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    return tables.update_where(tables.delete_where(docs, {"lang": "es", "source": ["src1", "src4"]}), {"source": "src3"}, {"source": "moved"})
+
+
+@register("upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_latest(spark, d):
+    e = table(spark, d, "events")
+    newest = tables.latest(e, ["user_id"], F.desc("ts"), F.desc("event_id"))
+    return tables.upsert(e.where("false"), newest, ["user_id"]).select("user_id", "event_id", "event_type")
+
+
+@register("change_detection", """WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 != 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE md5(text) END AS h FROM documents WHERE doc_id % 11 != 0)
+SELECT doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' WHEN a.h != b.h THEN 'modified' ELSE 'unchanged' END AS state FROM a FULL JOIN b USING (doc_id)""")
+def change_detection(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
+    now = docs.where("doc_id % 11 != 0").withColumn("h", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("h")))
+    return tables.change_detection(docs.where("doc_id % 7 != 0"), now, "doc_id", "h")
+
+
+@register("kb_visibility", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND (c_mktsegment = 'BUILDING' OR c_custkey % 9 = 0)")
+def kb_visibility(spark, d):
+    mine = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return table(spark, d, "customer").join(mine, "c_nationkey", "left_semi").where("c_mktsegment = 'BUILDING' or c_custkey % 9 = 0").select("c_custkey")
+
+
+@register("team_members", "SELECT n_nationkey, n_name, CAST(count(c_custkey) AS BIGINT) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def team_members(spark, d):
+    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("c_custkey").alias("members"))
+    return table(spark, d, "nation").join(n, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("members", F.lit(0)).alias("members"))
+
+
+@register("conversation_list", "SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, CAST(max(turn) AS BIGINT) AS last_turn FROM conversations GROUP BY conv_id")
+def conversation_list(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").cast("long").alias("last_turn"))
+
+
+@register("last_n_history", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2")
+def last_n_history(spark, d):
+    return verification.last_messages(table(spark, d, "conversations").select("conv_id", "turn", "role"), 2)
+
+
+@register("prompt_context", f"""{BM25}, h2 AS (SELECT query_id, source, rank, doc_id, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n, min(rank) OVER (PARTITION BY query_id, source) AS best FROM bm JOIN (SELECT doc_id, source FROM documents) USING (doc_id))
+SELECT query_id, string_agg('[' || source || ']' || chr(10) || doc_id, chr(10) || chr(10) ORDER BY best, rank) AS context FROM h2 WHERE n <= 2 GROUP BY query_id""")
+def prompt_context(spark, d):
+    hits = table(spark, d, "documents").select("doc_id", "source").join(retrieval.small(_hits(spark, d)), "doc_id")
+    return verification.prompt_context(hits.select("query_id", "source", "rank", F.col("doc_id").cast("string").alias("text")))
+
+
+@register("faithfulness_fallback", """WITH c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY text) AS a FROM conversations WHERE turn = 0 GROUP BY conv_id), s AS (SELECT conv_id, trim(unnest(regexp_split_to_array(text, '[。！？\\n]'))) AS s FROM conversations WHERE turn = 1),
+w AS (SELECT conv_id, list_distinct(regexp_extract_all(s, '[一-龥a-zA-Z0-9]{2,}')) AS w, a FROM s LEFT JOIN c USING (conv_id) WHERE length(s) > 5)
+SELECT conv_id AS answer_id, CAST(count(*) AS BIGINT) AS claims, CAST(sum(CASE WHEN len(list_filter(w, lambda x: contains(coalesce(a, ''), x))) / len(w) > 0.3 THEN 1 ELSE 0 END) AS BIGINT) AS supported,
+round(sum(CASE WHEN len(list_filter(w, lambda x: contains(coalesce(a, ''), x))) / len(w) > 0.3 THEN 1 ELSE 0 END) / count(*), 6) AS support_ratio FROM w WHERE len(w) > 0 GROUP BY conv_id""")
+def faithfulness_fallback(spark, d):
+    t = table(spark, d, "conversations")
+    out = verification.claim_support(t.where("turn = 1").select(F.col("conv_id").alias("answer_id"), F.col("text").alias("answer")), t.where("turn = 0").select(F.col("conv_id").alias("answer_id"), "text"))
+    return out.withColumn("support_ratio", F.round("support_ratio", 6))
+
+
+# ---- chunking
+
+
+@register("chunk_fixed")
+def chunk_fixed(spark, d):
+    return chunking.chunk_documents(table(spark, d, "documents"), chunking.fixed_size)
+
+
+@register("chunk_recursive")
+def chunk_recursive(spark, d):
+    return chunking.chunk_documents(table(spark, d, "documents"), chunking.recursive)
+
+
+@register("chunk_parent_child")
+def chunk_parent_child(spark, d):
+    children = chunking.chunk_documents(table(spark, d, "documents"), chunking.parent_child)
+    return children.withColumn("parent", F.floor(F.col("chunk_index") / 4))
+
+
+@register("heading_sections")
+def heading_sections(spark, d):
+    marked = F.regexp_replace("text", "\n", "\n## ")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.heading_sections(marked)).alias("section", "content"))
+
+
+@register("chunk_semantic_breaks")
+def chunk_semantic_breaks(spark, d):
+    v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("doc_id"), (F.col("vec_id") % 25).cast("int").alias("pos"), "embedding")
+    after = v.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("embedding").alias("e"))
+    return chunking.semantic_breaks(v.join(after, ["doc_id", "pos"], "left").select("doc_id", "pos", T.cosine(F.col("embedding"), F.col("e")).alias("sim")))
+
+
+@register("budget_batches")
+def budget_batches(spark, d):
+    return chunking.budget_batches(table(spark, d, "conversations"), "conv_id", "turn", F.char_length("text"), 400)
+
+
+@register("pooled_embeddings", "WITH e AS (SELECT label AS chunk_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT chunk_id, i, avg(x) AS m FROM e GROUP BY ALL) SELECT chunk_id, CAST(i - 1 AS INTEGER) AS i, round(m / sqrt(sum(m * m) OVER (PARTITION BY chunk_id)), 6) AS x FROM m")
+def pooled_embeddings(spark, d):
+    pooled = chunking.pooled_embeddings(table(spark, d, "embeddings").select(F.col("label").alias("chunk_id"), "embedding"))
+    return pooled.select("chunk_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+# ---- graph
+
+EDGES = "SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem"
+
+
+def _edges(spark, d):
+    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+
+
+@register("entity_merge", """WITH e AS (SELECT lower(trim(p_brand)) AS key, arg_min(p_brand, p_partkey) AS name, arg_min(p_type, p_partkey) AS type, CAST(count(DISTINCT p_partkey % 50) AS BIGINT) AS sources FROM part GROUP BY 1) SELECT * FROM e""")
+def entity_merge(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("name"), F.col("p_type").alias("type"), F.lit("").alias("description"), (F.col("p_partkey") % 50).cast("string").alias("source_id"))
+    return graph.merge_entities(rows).select("key", "name", "type", F.size("source_ids").cast("long").alias("sources"))
+
+
+@register("relation_merge", "SELECT least(s, t) AS a, greatest(s, t) AS b, CAST(sum(l_linenumber) AS BIGINT) AS weight, list_sort(list(DISTINCT l_returnflag)) AS keywords FROM (SELECT 'n' || l_suppkey % 20 AS s, 'n' || l_partkey % 20 AS t, l_linenumber, l_returnflag FROM lineitem WHERE l_linestatus = 'O') GROUP BY ALL")
+def relation_merge(spark, d):
+    said = F.when(F.col("l_linestatus") == "O", "").otherwise("there is No clear relationship here")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("ord"), F.concat(F.lit("n"), F.col("l_suppkey") % 20).alias("source"), F.concat(F.lit("n"), F.col("l_partkey") % 20).alias("target"),
+        F.col("l_linenumber").alias("weight"), said.alias("description"), F.array("l_returnflag").alias("keywords"),
+    )
+    return graph.merge_relations(rows).select("a", "b", "weight", "keywords")
+
+
+@register("entity_candidates", "WITH n AS (SELECT DISTINCT CAST(n_regionkey % 2 AS INTEGER) AS type, lower(n_name) AS name FROM nation UNION SELECT DISTINCT 0, lower(p_brand) FROM part) SELECT a.type, a.name AS a, b.name AS b FROM n a JOIN n b ON a.type = b.type AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 2")
+def entity_candidates(spark, d):
+    names = table(spark, d, "nation").select((F.col("n_regionkey") % 2).cast("int").alias("type"), F.lower("n_name").alias("name"))
+    return graph.entity_candidates(names.union(table(spark, d, "part").select(F.lit(0).alias("type"), F.lower("p_brand").alias("name"))))
+
+
+@register("alias_resolve", r"""WITH a AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS alias FROM benchmark WHERE regexp_matches(lower(split_part(text, ' ', 2)), '^[\p{L}\p{N}]+$')), q AS (SELECT item_id AS query_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM benchmark)
+SELECT query_id, alias, '=' || alias AS canonical FROM q JOIN a ON contains(t, ' ' || alias || ' ')""")
+def alias_resolve(spark, d):
+    items = table(spark, d, "benchmark")
+    second = F.lower(F.split("text", " ")[1])
+    aliases = items.select(second.alias("alias")).where(F.col("alias").rlike(r"^[\p{L}\p{N}]+$")).distinct()
+    return graph.resolve_aliases(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), aliases.select("alias", F.concat(F.lit("="), "alias").alias("canonical")))
+
+
+RING = "e AS (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS source, CAST(l_partkey % 97 AS BIGINT) AS target, CAST(CASE l_suppkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS weight FROM lineitem WHERE l_linenumber = 1)"
+
+
+def _ring(spark, d):
+    weight = F.when(F.col("l_suppkey") % 3 == 0, 0.9).when(F.col("l_suppkey") % 3 == 1, 0.6).otherwise(0.4)
+    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 97).alias("target"), weight.alias("weight")).distinct()
+
+
+PATHS = f"""WITH {RING}, s AS (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation WHERE n_nationkey BETWEEN 1 AND 8),
+h1 AS (SELECT n AS start, target AS here, max(weight) AS score FROM s JOIN e ON source = n WHERE weight >= 0.1 GROUP BY ALL),
+h2 AS (SELECT start, target AS here, max(score * weight) AS score FROM h1 JOIN e ON source = here WHERE score * weight >= 0.1 GROUP BY ALL),
+h3 AS (SELECT start, target AS here, max(score * weight) AS score FROM h2 JOIN e ON source = here WHERE score * weight >= 0.1 GROUP BY ALL),
+pa AS (SELECT start, here AS target, round(max(score), 6) AS score, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) WHERE start != here GROUP BY ALL)"""
+
+
+def _paths(spark, d):
+    starts = table(spark, d, "nation").where("n_nationkey between 1 and 8").select(F.col("n_nationkey").cast("long").alias("name"))
+    return graph.expand_paths(starts, _ring(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@register("path_expand_3hop", PATHS + " SELECT * FROM pa")
+def path_expand_3hop(spark, d):
+    return _paths(spark, d)
+
+
+@register("bridge_rank", PATHS + ", m AS (SELECT target AS name, max(score) AS score FROM pa GROUP BY target) SELECT l_orderkey AS chunk_id, CAST(count(DISTINCT name) AS BIGINT) AS bridges, max(score) AS score FROM m JOIN lineitem ON l_suppkey = name GROUP BY l_orderkey ORDER BY bridges DESC, score DESC, chunk_id LIMIT 20")
+def bridge_rank(spark, d):
+    scored = _paths(spark, d).groupBy(F.col("target").alias("name")).agg(F.max("score").alias("score"))
+    return graph.bridge_chunks(scored, table(spark, d, "lineitem").select(F.col("l_suppkey").alias("name"), F.col("l_orderkey").alias("chunk_id")))
+
+
+@register("induced_edges", f"WITH e AS ({EDGES}) SELECT * FROM e WHERE source IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND target IN (SELECT 'p' || p_partkey FROM part WHERE p_size < 20)")
+def induced_edges(spark, d):
+    nodes = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("name")).union(table(spark, d, "part").where("p_size < 20").select(F.concat(F.lit("p"), "p_partkey").alias("name")))
+    return graph.induced_edges(_edges(spark, d), nodes)
+
+
+@register("node_merge", f"WITH {RING}, m AS (SELECT CASE WHEN source % 10 = 3 THEN source - 1 ELSE source END AS source, CASE WHEN target % 10 = 3 THEN target - 1 ELSE target END AS target, weight FROM e) SELECT source, target, round(sum(weight), 6) AS weight FROM m WHERE source != target GROUP BY ALL")
+def node_merge(spark, d):
+    edges = _ring(spark, d)
+    nodes = edges.select(F.col("source").alias("name")).union(edges.select("target")).distinct().where("name % 10 = 3")
+    return graph.merge_nodes(edges, nodes.select("name", (F.col("name") - 1).alias("kept"))).withColumn("weight", F.round("weight", 6))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = [f"WITH b AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT source AS a, target AS b FROM ({EDGES}) UNION ALL SELECT target, source FROM ({EDGES}))), dg AS MATERIALIZED (SELECT a, count(*) AS d FROM b GROUP BY a), n AS (SELECT count(*) AS n FROM dg), r0 AS (SELECT a AS node, 1.0 / n AS rank FROM dg, n)"]
+    steps += [f"r{i + 1} AS MATERIALIZED (SELECT b.b AS node, 0.15 / n + 0.85 * sum(rank / d) AS rank FROM b JOIN dg USING (a) JOIN r{i} ON node = a, n GROUP BY b.b, n)" for i in range(rounds)]
+    return ", ".join(steps) + f" SELECT node, round(rank, 8) AS rank FROM r{rounds}"
+
+
+@register("pagerank", _pagerank_sql(10))
+def pagerank(spark, d):
+    edges = _edges(spark, d).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return graph.pagerank(edges).withColumn("rank", F.round("rank", 8))
+
+
+@register("components", """WITH RECURSIVE e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id IN (a.vec_id + 1, a.vec_id + 3, a.vec_id + 7)), u AS (SELECT x, y FROM e UNION SELECT y, x FROM e), c AS (SELECT x AS node, x AS seen FROM u UNION SELECT c.node, u.y FROM c JOIN u ON u.x = c.seen)
+SELECT node, min(seen) AS component FROM c GROUP BY node""")
+def components(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    near = v.select(F.col("vec_id").alias("a"), "label", F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 3, F.col("vec_id") + 7)).alias("b"))
+    return connected_components(near.join(v.select(F.col("vec_id").alias("b"), "label"), ["b", "label"]).select("a", "b"))
+
+
+@register("communities")
+def communities(spark, d):
+    edges = _ring(spark, d).select(F.col("source").alias("a"), (F.col("target") + 1000).alias("b"))
+    return graph.label_propagation(edges)
+
+
+@register("cooccurrence", "WITH f AS (SELECT l_orderkey AS c, l_suppkey AS n, min(l_linenumber) AS p FROM lineitem GROUP BY ALL) SELECT x.n AS a, y.n AS b, CAST(count(*) AS BIGINT) AS chunks FROM f x JOIN f y ON x.c = y.c AND x.p < y.p GROUP BY ALL")
+def cooccurrence(spark, d):
+    return graph.cooccurrences(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("name")))
+
+
+# ---- tasks and metrics
+
+
+@register("tumbling_metrics", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY ALL")
+def tumbling_metrics(spark, d):
+    return tasks.windowed(table(spark, d, "events"), "1 hour").withColumn("total", F.round("total", 4))
+
+
+@register("sliding_metrics", "WITH w AS (SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS start, event_type, value FROM events, (VALUES (0), (1)) v(k)) SELECT start, start + INTERVAL '1 hour' AS \"end\", event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, max(value) AS most FROM w GROUP BY ALL")
+def sliding_metrics(spark, d):
+    return tasks.windowed(table(spark, d, "events"), "1 hour", "30 minutes").withColumn("total", F.round("total", 4))
+
+
+@register("session_metrics", """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '6 hours' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def session_metrics(spark, d):
+    return tasks.sessions(table(spark, d, "events"), "6 hours").withColumn("total", F.round("total", 4))
+
+
+@register("task_state_rollup", "SELECT user_id AS batch_id, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS completed, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, sum(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END) >= count(*) AS done FROM events GROUP BY user_id")
+def task_state_rollup(spark, d):
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("pending")
+    return tasks.batch_rollup(table(spark, d, "events").select(F.col("user_id").alias("batch_id"), F.col("event_id").alias("task_id"), status.alias("status")))
+
+
+@register("error_alert", """WITH c AS (SELECT CAST(user_id % 10 AS BIGINT) AS shard, event_id, count(*) OVER w AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT shard, event_id, CAST(n AS BIGINT) AS n, CAST(errors AS BIGINT) AS errors FROM c WHERE n >= 20 AND n % 10 = 0 AND errors / n >= 0.05""")
+def error_alert(spark, d):
+    return tasks.error_alerts(table(spark, d, "events").withColumn("shard", F.col("user_id") % 10), F.col("event_type") == "error", "shard")
+
+
+@register("rolling_buffer", "SELECT event_type, event_id, round(avg(value) OVER w, 9) AS mean, max(value) OVER w AS most, CAST(count(value) OVER w AS BIGINT) AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+def rolling_buffer(spark, d):
+    return tasks.rolling(table(spark, d, "events"), "event_type", "value", 100).withColumn("mean", F.round("mean", 9))
