@@ -16,7 +16,7 @@ def ir_metrics(runs: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     relevant = qrels.select("query_id", "source").distinct()
     size = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     judged = runs.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "source"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    so_far = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("query_id").orderBy("rank", "source").rowsBetween(Window.unboundedPreceding, 0)
     judged = judged.withColumn("hits", F.sum("rel").over(so_far))
     at = F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)
     agg = judged.groupBy("query_id").agg(

@@ -244,7 +244,7 @@ def refetch_merge(spark, d):
 
 METRICS = """WITH q AS (SELECT DISTINCT l_orderkey AS query_id, l_suppkey AS source FROM lineitem WHERE l_quantity > 30), n AS (SELECT query_id, count(*) AS m FROM q GROUP BY query_id),
 j AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_suppkey AS source, CASE WHEN q.source IS NULL THEN 0 ELSE 1 END AS rel FROM lineitem LEFT JOIN q ON q.query_id = l_orderkey AND q.source = l_suppkey),
-w AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM j),
+w AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank, source ROWS UNBOUNDED PRECEDING) AS hits FROM j),
 a AS (SELECT query_id, max(rel) AS hit, sum(CASE WHEN rank <= 3 THEN rel ELSE 0 END) AS found, min(CASE WHEN rel = 1 THEN rank END) AS first, count(DISTINCT source) AS got, count(DISTINCT CASE WHEN rel = 1 THEN source END) AS ok, sum(CASE WHEN rank <= 3 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, sum(rel * hits / rank) AS ap FROM w GROUP BY query_id),
 mt AS (SELECT query_id, round(coalesce(CAST(hit AS DOUBLE), 0), 6) AS hit_rate, round(coalesce(found / m, 0), 6) AS recall_at_k, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(ok / got, 0), 6) AS precision, round(coalesce(dcg / list_sum(list_transform(range(1, CAST(least(m, 3) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg_at_k, round(coalesce(ap / m, 0), 6) AS average_precision FROM n LEFT JOIN a USING (query_id))"""
 
