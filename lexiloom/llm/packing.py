@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -12,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.session import materialize
+from lexiloom.llm import textbytes
+from lexiloom.session import materialize, text_batches
 
 WINDOW = 4096
 MAX_QUEUES = 1024
@@ -20,34 +22,104 @@ TOKENS = "doc_id long, queue string, part int, slot long, local_start long, n_to
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordTokenizer:
-    """Ids of a text, one white-space word at a time: the pre-tokeniser never
-    joins across ASCII white space, so a word's ids don't depend on its
-    neighbours and are looked up once for each distinct word of a batch."""
+def _bytes(values: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(values)] = True
+    return out
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.most, self.known = end_id, most, {}
+ALNUM = _bytes(bytes([*range(48, 58), *range(65, 91), *range(97, 123)]))
+MARKS = _bytes(bytes(c for c in range(33, 127) if not ALNUM[c] and c != 39))
 
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").translate(SPACES).split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list({w for words in split for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update((w, tuple(e.ids)) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        known, out = self.known, []
-        for words in split:
-            ids = [i for w in words for i in known[w]]
-            ids.append(self.end)
-            out.append(np.array(ids, dtype=np.uint32))
-        return out
 
+class WordTokenizer:
+    """Ids of texts, one piece of a white-space word at a time: the
+    pre-tokeniser never joins across ASCII white space, nor an ASCII letter or
+    digit with an ASCII mark other than the apostrophe, so a piece's ids don't
+    depend on its neighbours. Pieces are told apart by a 64-bit hash; those not
+    met before are encoded, with a digit between them whose id marks their
+    ends. ``most`` bounds the pieces kept."""
+
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
+        from tokenizers import Tokenizer
 
-SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+        self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end_id, most
+        mark = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.kind)
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where each piece's begin and how many they are."""
+        alone = [i for i, w in enumerate(pieces) if self.mark is None or "0" in w]
+        begin, count, flat, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int32), [np.zeros(0, self.kind)], 0
+        apart = set(alone)
+        together = [i for i in range(len(pieces)) if i not in apart]
+        groups = [[i] for i in alone] + [together[i : i + 200] for i in range(0, len(together), 200)]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for group, e in zip(part, self.tokenizer.encode_batch_fast([" 0 ".join([pieces[i] for i in g]) for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)] if len(group) > 1 else [len(ids)]
+                begins = [0, *(x + 1 for x in ends[:-1])]
+                begin[group], count[group] = np.array(begins) + size, np.array(ends) - np.array(begins)
+                flat.append(ids)
+                size += len(ids)
+        return np.concatenate(flat), begin, count
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids, begin, count = self.encode(pieces)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.count = np.insert(self.keys, at, keys), np.insert(self.count, at, count)
+        self.begin = np.insert(self.begin, at, begin + len(self.ids))
+        self.ids = np.concatenate([self.ids, ids])
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The bytes to take pieces from, and (start, end, row) of each. With a
+        special token's string about, words stay whole and as they are."""
+        start, end, row = textbytes.spans(data, offsets)
+        raw = data.tobytes()
+        if not len(start) or any(t.lower() in raw.lower() for t in self.special):
+            return raw, data, start, end, row
+        low = textbytes.LOWER[data]
+        kept = np.flatnonzero(data[1:] >= 128)  # what follows may compose with the letter's own case
+        low[kept] = data[kept]
+        alnum, marks = ALNUM[data], MARKS[data]
+        change = np.flatnonzero((alnum[:-1] & marks[1:]) | (marks[:-1] & alnum[1:])) + 1
+        change = change[~np.isin(change, offsets)]
+        begins = np.sort(np.concatenate([start, change]))
+        ends = np.sort(np.concatenate([end, change]))
+        return low.tobytes(), low, begins, ends, np.searchsorted(offsets, begins, side="right") - 1
+
+    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, end ids included, and how many each row has."""
+        raw, data, start, end, row = self.pieces(data, offsets)
+        unique, first, which = np.unique(textbytes.hashes(data, start, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        new = np.ones(len(unique), bool) if not len(self.keys) else self.keys[at] != unique
+        if new.any():
+            if len(self.keys) + int(new.sum()) > self.most:
+                self.forget()
+                new[:] = True
+            self.learn(unique[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, unique)
+        count, begin = self.count[at][which].astype(np.int64), self.begin[at][which]
+        n = len(offsets) - 1
+        lengths = np.bincount(row, weights=count, minlength=n).astype(np.int64) + 1
+        total = int(count.sum())
+        within = np.arange(total)
+        out = np.full(total + n, self.end, dtype=self.kind)
+        out[within + np.repeat(row, count)] = self.ids[np.repeat(begin - (np.cumsum(count) - count), count) + within]
+        return out, lengths
+
+
+_tokenizers: dict[tuple, WordTokenizer] = {}
 
 
 def _tokenized(tokenizer_path: str, end_id: int):
@@ -55,22 +127,21 @@ def _tokenized(tokenizer_path: str, end_id: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words = WordTokenizer(tokenizer_path, end_id)
+        words = _tokenizers.get((tokenizer_path, end_id)) or _tokenizers.setdefault((tokenizer_path, end_id), WordTokenizer(tokenizer_path, end_id))
         totals: dict[str, int] = {}
         slot = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                ids = words.batch(piece.column(1).to_pylist())
-                queues, starts = piece.column(2).to_pylist(), []
-                for q, x in zip(queues, ids, strict=True):
+            for first, data, offsets in textbytes.chunks(batch.column(1), 1_500_000, lower=False):
+                ids, lengths = words.batch(data, offsets)
+                n = len(lengths)
+                starts, queues = [], batch.column(2).slice(first, n)
+                for q, x in zip(queues.to_pylist(), lengths.tolist(), strict=True):
                     starts.append(totals.get(q, 0))
-                    totals[q] = starts[-1] + len(x)
-                n = len(ids)
-                small = max((int(x.max()) for x in ids), default=0) < 1 << 16
-                packed = [x.astype(np.uint16 if small else np.uint32).tobytes() for x in ids]
+                    totals[q] = starts[-1] + x
+                ends = np.concatenate([[0], np.cumsum(lengths)]) * ids.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.record_batch(
-                    [piece.column(0).cast(pa.int64()), piece.column(2).cast(pa.string()), pa.array([part] * n, pa.int32()), pa.array(range(slot, slot + n), pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())],
+                    [batch.column(0).slice(first, n), queues, pa.array([part] * n, pa.int32()), pa.array(range(slot, slot + n), pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), packed],
                     names=["doc_id", "queue", "part", "slot", "local_start", "n_tokens", "ids"],
                 )
                 slot += n
@@ -233,6 +304,7 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
     schedule of whole cycles is closed-form: a task finds its pieces' windows
     without those before it.
     """
+    text_batches(docs.sparkSession)
     queue = F.coalesce(F.col("source").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), queue.alias("queue"))
     if len(base.select("queue").distinct().limit(MAX_QUEUES + 1).collect()) > MAX_QUEUES:

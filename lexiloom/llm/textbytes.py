@@ -50,13 +50,10 @@ def _power_table(kind: str, n: int) -> np.ndarray:
     return have
 
 
-def chunks(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, lower-cased bytes, row offsets) of runs of whole rows, each
-    of about ``most`` bytes; a null is an empty text."""
-    if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type):
-        width, texts = np.int64, texts
-    else:
-        width = np.int32
+def chunks(texts: pa.Array, most: int = 4_000_000, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes with A-Z lowered, row offsets) of runs of whole rows,
+    each of about ``most`` bytes; a null is an empty text."""
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     if texts.null_count:
         texts = texts.fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], dtype=width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -65,7 +62,8 @@ def chunks(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, np.nda
     row = 0
     while row < len(texts):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
-        yield row, LOWER[data[offsets[row] : offsets[end]]], offsets[row : end + 1] - offsets[row]
+        piece = data[offsets[row] : offsets[end]]
+        yield row, LOWER[piece] if lower else piece, offsets[row : end + 1] - offsets[row]
         row = end
 
 
