@@ -27,7 +27,11 @@ VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 def decode(data: bytes) -> str:
+    """Text in the first encoding that fits; UTF-16 only with its mark, as most
+    bytes of an even number would fit it."""
     for name in ENCODINGS:
+        if name == "utf-16" and data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+            continue
         try:
             return data.decode(name)
         except UnicodeDecodeError:
