@@ -148,8 +148,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without those that contain a benchmark item; a null doc_id is
     kept unless a leaking row has one too."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__lex_leaking")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__lex_leaking")), "left_anti")
 
 
 LEAKS_SQL = """

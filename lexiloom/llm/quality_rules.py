@@ -66,22 +66,6 @@ def repeated_lines(text: Column) -> Column:
     return F.transform(F.array(lines), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))[0]
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """Adds words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    worded = docs.withColumn("words", split_words(text, SPACE))
-    counted = worded.withColumns(
-        {
-            "n_words": F.size("words").cast("long"),
-            "word_chars": F.char_length(_without(text, " \t\n\x0b\f\r")).cast("long"),
-            "n_symbols": (F.char_length(text) - F.char_length(_without(text, SYMBOLS))).cast("long"),
-            "n_dup_lines": repeated_lines(text),
-            "n_repeat_words": repeated_words(F.col("words")),
-        }
-    )
-    return counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-
-
 def _bucket(kind: int, *of: Column) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(BUCKETS)).cast("int") + kind * BUCKETS
 
@@ -126,10 +110,16 @@ def _table(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
-def score_documents(docs: DataFrame, table: list[float]) -> DataFrame:
-    """Adds the base columns, llr (mean log ratio of a text's n-grams; 0 without
-    words) and kept."""
-    ruled = base_rules(docs)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however the optimiser moves
+    or repeats what is made of it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def verdict(text: Column, table: list[float]) -> Column:
+    """Struct of a text's measures, llr (mean log ratio of its n-grams; 0
+    without words), base_failed and kept. One expression over words that are
+    split once: a filter on it can be pushed down whole."""
     lookup = [_table(table[k * BUCKETS : (k + 1) * BUCKETS]) for k in range(KINDS)]
 
     def llr(words: Column) -> Column:
@@ -137,10 +127,30 @@ def score_documents(docs: DataFrame, table: list[float]) -> DataFrame:
             buckets = _features(word, F.coalesce(F.get(words, i + 1), F.lit("")))
             return sum((F.get(lookup[k], buckets[k] - k * BUCKETS) for k in range(1, KINDS)), F.get(lookup[0], buckets[0]))
 
-        return F.aggregate(F.transform(words, one), F.lit(0.0), lambda acc, x: acc + x) / (KINDS * F.size(words))
+        total = F.aggregate(F.transform(words, one), F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(F.size(words) > 0, total / (KINDS * F.size(words))).otherwise(F.lit(0.0))
 
-    scored = ruled.withColumn("llr", F.when(F.col("n_words") > 0, llr(F.col("words"))).otherwise(F.lit(0.0)))
-    return scored.drop("words").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= LEAST))
+    def measured(words: Column) -> Column:
+        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"), llr(words).alias("llr"))
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return F.struct(*(m[x].alias(x) for x in ("n_words", "n_repeat_words", "llr")), failed.alias("base_failed"), (~failed & (m["llr"] >= LEAST)).alias("kept"))
+
+    return _bound(_bound(split_words(F.coalesce(text, F.lit("")), SPACE), measured), judged)
+
+
+def score_documents(docs: DataFrame, table: list[float]) -> DataFrame:
+    """Adds the base columns, llr and kept."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    judged = docs.withColumn("__lex_judged", verdict(F.col("text"), table))
+    fields = {x: F.col(f"__lex_judged.{x}") for x in ("n_words", "n_repeat_words", "llr", "base_failed", "kept")}
+    plain = {
+        "word_chars": F.char_length(_without(text, " \t\n\x0b\f\r")).cast("long"),
+        "n_symbols": (F.char_length(text) - F.char_length(_without(text, SYMBOLS))).cast("long"),
+        "n_dup_lines": repeated_lines(text),
+    }
+    return judged.withColumns(fields | plain).drop("__lex_judged")
 
 
 def trusted_documents(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
@@ -163,6 +173,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels nothing but the base rules decides; an empty table gives an empty
     table. Columns of these names in the input are replaced, others kept.
     """
-    new = ["words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     docs = docs.drop(*new)
     return score_documents(docs, ratios(corpus_counts(docs, trusted_documents(labels))))

@@ -207,6 +207,6 @@ def deduplicate(docs: DataFrame, bits: int = 3) -> DataFrame:
     the least doc_id (nulls last), then of the least hash of its text."""
     prints, rooted = _rooted(docs, bits)
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    keep = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(last.alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_hash": F.xxhash64("text")})
-    return keyed.join(keep.select("k._id", "k._hash").distinct(), ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    keep = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(last.alias("__lex_id"), F.col("text_hash").alias("__lex_hash"))).alias("k"))
+    keyed = docs.withColumns({"__lex_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__lex_hash": F.xxhash64("text")})
+    return keyed.join(keep.select("k.__lex_id", "k.__lex_hash").distinct(), ["__lex_id", "__lex_hash"]).dropDuplicates(["__lex_id", "__lex_hash"]).select(*docs.columns)

@@ -126,10 +126,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     later = places.join(repeated.select("span", "first"), "span").where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("lo") == F.col("first.lo")))
     )
-    covered = later.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "lo", "hi").groupBy("_doc", "_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("_covered"))
-    joined = docs.withColumn("_hash_of", F.xxhash64("text")).join(
-        covered, (F.col("_hash_of") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left"
+    covered = later.select(F.col("doc_id").alias("__lex_doc"), F.col("text_hash").alias("__lex_hash"), "lo", "hi").groupBy("__lex_doc", "__lex_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("__lex_covered"))
+    joined = docs.withColumn("__lex_hash_of", F.xxhash64("text")).join(
+        covered, (F.col("__lex_hash_of") == F.col("__lex_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__lex_doc")), "left"
     )
-    out = joined.select(*docs.columns, "_covered")
+    out = joined.select(*docs.columns, "__lex_covered")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return out.mapInArrow(_cleaned(docs.columns.index("text"), len(docs.columns), docs.columns), f"{schema}, n_removed long")
