@@ -2,6 +2,7 @@
 
 import io
 import math
+import time
 import zipfile
 
 import pytest
@@ -161,7 +162,10 @@ def test_task_stream(spark, tmp_path):
     schema = "task_id string, batch_id string, event string, at double, chunks int, error string"
     spark.createDataFrame(messages, schema).write.parquet(str(tmp_path / "in"))
     query = tasks.task_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
+    for _ in range(40):  # timers keep such a query from ending by itself
+        if spark.table("states").count() >= 2 or not query.isActive:
+            break
+        time.sleep(1)
     query.stop()
     got = {r["task_id"]: r for r in spark.table("states").collect()}
     assert (got["t1"]["status"], got["t1"]["chunks"]) == ("completed", 7)
@@ -172,7 +176,6 @@ def test_windows_stream(spark, tmp_path):
     events = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id * 600) as ts, 'x' as event_type, cast(id as double) as value from range(12)")
     events.write.parquet(str(tmp_path / "in"))
     stream = tasks.windowed(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "1 hour", late="10 minutes")
-    query = stream.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     assert rows(spark.table("windows").select("n", "total")) == [(6, 15.0), (6, 51.0)]
