@@ -26,6 +26,10 @@ def test_components(spark):
     assert rows(connected_components(edges)) == [(2, 2), (3, 2), (4, 2), (5, 2), (8, 8), (9, 8)]
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r[1] for r in rows(connected_components(chain))} == {0}
+    star = spark.range(1, 200).select(F.lit(0).alias("a"), F.col("id").alias("b"))
+    for few in (0, 1000):
+        assert {r[1] for r in rows(connected_components(star, small_edges=few))} == {0}
+        assert rows(connected_components(edges, small_edges=few)) == [(2, 2), (3, 2), (4, 2), (5, 2), (8, 8), (9, 8)]
     assert connected_components(edges.where("false")).count() == 0
 
 
