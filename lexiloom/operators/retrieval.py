@@ -85,7 +85,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000)
 def weighted_sum(text: DataFrame, vector: DataFrame, text_weight: float, vector_weight: float, k: int) -> DataFrame:
     """Hits of both legs (query_id, doc_id, score), missing scores 0."""
     both = text.select("query_id", "doc_id", F.col("score").alias("a")).join(vector.select("query_id", "doc_id", F.col("score").alias("b")), ["query_id", "doc_id"], "full_outer")
-    scored = both.select("query_id", "doc_id", F.round(text_weight * F.coalesce("a", F.lit(0.0)) + vector_weight * F.coalesce("b", F.lit(0.0)), 6).alias("score"))
+    scored = both.select("query_id", "doc_id", F.round(text_weight * F.coalesce("a", F.lit(0.0)) + vector_weight * F.coalesce("b", F.lit(0.0)), 8).alias("score"))
     return top_k(scored, k)
 
 

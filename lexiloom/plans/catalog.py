@@ -187,7 +187,7 @@ def _legs(spark, d):
     return _hits(spark, d), retrieval.knn(v.select(F.col("vec_id").alias("doc_id"), "embedding"), queries, 10)
 
 
-SUMMED = "SELECT query_id, doc_id, round({a} * coalesce(bm.score, 0) + {b} * coalesce(kn.score, 0), 6) AS score FROM bm FULL JOIN kn USING (query_id, doc_id)"
+SUMMED = "SELECT query_id, doc_id, round({a} * coalesce(bm.score, 0) + {b} * coalesce(kn.score, 0), 8) AS score FROM bm FULL JOIN kn USING (query_id, doc_id)"
 RANKED = "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x"
 
 
