@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textbytes
-from lexiloom.session import text_batches
+from lexiloom.session import materialize, text_batches
 
 SENTENCES = 3
 WORDS = 10
@@ -115,15 +115,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null text stays null; rows alike in doc_id and text are one document, all
     get its text; a text whose every sentence is repeated becomes empty, its
     row stays; an empty table gives an empty table. Counts and first places
-    are partial aggregates, and the join that finds other places has only
-    equality keys, which Spark splits where a span is in a third of the rows.
+    are partial aggregates. The repeated spans are written, so that the join that
+    finds other places has plain shuffles on both sides: Spark then splits the
+    task of a span that is in a third of the rows.
     """
     text_batches(docs.sparkSession)
     docs = docs.drop("n_removed")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     places = keyed.where("text is not null").mapInArrow(_spans, SPANS)
     repeated = places.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "lo")).alias("first")).where("n > 1")
-    later = places.join(repeated.select("span", "first"), "span").where(
+    repeated = materialize(repeated.select("span", "first"), "substring-spans")
+    later = places.join(repeated.hint("merge"), "span").where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("lo") == F.col("first.lo")))
     )
     covered = later.select(F.col("doc_id").alias("__lex_doc"), F.col("text_hash").alias("__lex_hash"), "lo", "hi").groupBy("__lex_doc", "__lex_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("__lex_covered"))
