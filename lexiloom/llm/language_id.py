@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import textbytes
-from lexiloom.session import text_batches
+from lexiloom.session import materialize, text_batches
 
 SLOT_BITS = 20
 PROBES = 2
@@ -71,24 +71,46 @@ class Filters:
     false_rate: np.ndarray
 
 
+def _by_language(values: dict[str, float]) -> Column:
+    """Each row's value by its lang; null where there is none."""
+    if not values:
+        return F.lit(None).cast("int")
+    return F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("lang")]
+
+
+def _least_hashes(ids: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
+    """(doc_id, lang) of the ``most`` rows of each language whose ids hash least.
+    Hashes far over the one that is expected to be the last are left out before
+    rows meet; a language that has too few under it (one id in many rows) is
+    ranked whole."""
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)  # 31 bits
+    near = {x: min(1 << 31, (1 << 31) * (most + 6 * int(most**0.5) + 36) // n) for x, n in counts.items()}
+    under = ids.where(place < _by_language(near))
+    enough = {r["lang"]: r["count"] >= min(most, counts[r["lang"]]) for r in under.groupBy("lang").count().collect()}
+    wide = {x: 1 << 31 if not enough.get(x) else near[x] for x in counts}
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ranked = ids.where(place < _by_language(wide)).withColumn("k", F.row_number().over(order))
+    return ranked.where(F.col("k") <= most).select("doc_id", "lang")
+
+
 def learn(docs: DataFrame, most: int = DOCS_PER_LANGUAGE) -> Filters:
     """Filters from (doc_id, text, lang), of at most ``most`` documents of each
     language in hash order (a documented bound on the fit). An n-gram is a
     language's if its share there is at least LEAST_SHARE and OF_LARGEST of its
     share in any language. What is collected is bounded by the slots."""
     ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc_id", "lang")
     counts = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counts]
     if not languages:
         return Filters([], np.zeros((1, 1 << SLOT_BITS), np.uint64), np.zeros(0))
+    chosen = _least_hashes(ids, {r["lang"]: r["count"] for r in counts}, most)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("text", "lang")
     seen = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    seen = seen.where("n > 1")
-    share = seen.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).where(F.col("share") >= LEAST_SHARE)
-    bits = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i))])
-    kept = share.withColumn("largest", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= OF_LARGEST * F.col("largest")).select("gram", bits[F.col("lang")].alias("bit"))
+    seen = materialize(seen.where("n > 1"), "language-grams")
+    totals = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    share = seen.withColumn("share", F.col("n") / _by_language(totals)).where(F.col("share") >= LEAST_SHARE)
+    bits = _by_language({lang: i for i, lang in enumerate(languages)})
+    kept = share.withColumn("largest", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= OF_LARGEST * F.col("largest")).select("gram", bits.alias("bit"))
     slotted = kept.mapInPandas(_slotted, "slot long, bit int")
     words = slotted.groupBy("slot", (F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("mask")).toPandas()
     masks = np.zeros(((len(languages) + 63) // 64, 1 << SLOT_BITS), np.uint64)

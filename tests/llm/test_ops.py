@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -156,6 +157,13 @@ def test_op6(spark, none):
     assert language_id.identify(none).count() == 0
 
 
+def test_op6_least_hashes(spark):
+    ids = spark.createDataFrame([*((i, "a") for i in range(3000)), *((i, "b") for i in range(5)), *((7, "c") for _ in range(900))], "doc_id long, lang string")
+    got = {k: [r["doc_id"] for r in v] for k, v in groupby(sorted(language_id._least_hashes(ids, {"a": 3000, "b": 5, "c": 900}, 20).collect(), key=lambda r: r["lang"]), key=lambda r: r["lang"])}
+    want = [r[0] for r in ids.where("lang = 'a'").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 33), "doc_id").limit(20).collect()]
+    assert sorted(got["a"]) == sorted(want) and sorted(got["b"]) == [0, 1, 2, 3, 4] and got["c"] == [7] * 20
+
+
 def test_op7(spark, docs, none):
     items = spark.createDataFrame([(1, ITEM.upper()), (2, passage(30)), (3, None), (4, "two words"), (5, ITEM), (None, ITEM)], "item_id long, text string")
     got = decontamination.leaks(docs, items).collect()
