@@ -14,41 +14,115 @@ from lexiloom.session import materialize, text_batches
 
 SENTENCES = 3
 WORDS = 10
+WINDOW = 10
+LONG = 20
+SHORT = 36
 ENDS = np.zeros(256, dtype=bool)
 ENDS[list(b".!?;:,")] = True
+MARKS = np.array(sorted(map(ord, "\u037e\u0387\u0589\u05c3\u060c\u061b\u061f\u06d4\u0700\u0701\u0702\u0964\u0965\u0e2f\u0e5a\u0e5b\u0f0d\u0f0e\u104a\u104b\u1362\u1363\u1364\u1365\u1366\u1367\u1368\u17d4\u17d5\u1802\u1803\u1808\u1809\u2025\u2026\u203c\u203d\u2047\u2048\u2049\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64")))
+#: First and last characters of scripts without blanks: Thai to Tibetan, Myanmar, Khmer, CJK and kana, CJK beyond 16 bits.
+NO_BLANKS = np.array([(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x3190, 0xA4CF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)])
+LEADS = np.zeros(256, dtype=bool)
+LEADS[[0xCD, 0xCE, 0xD6, 0xD7, 0xD8, 0xDB, 0xDC, *range(0xE0, 0xF5)]] = True
 SPANS = "doc_id long, text_hash long, lo int, hi int, span long"
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sentences of rows: (first word of each, one past the last word, row of
-    each), and the words' (start, end). A sentence or clause ends after a word
-    with a closing mark, at a line's end and at the text's."""
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, is of a script without blanks, is a closing mark) of the
+    characters beyond ASCII that are one or the other."""
+    at = np.flatnonzero(LEADS[data])
+    size = 2 + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+    code = data[at] & (0x7F >> size)
+    code = code.astype(np.int64)
+    for k in (1, 2, 3):
+        more = size > k
+        code[more] = code[more] << 6 | data[at[more] + k] & 0x3F
+    mark = MARKS[np.minimum(np.searchsorted(MARKS, code), len(MARKS) - 1)] == code
+    group = np.searchsorted(NO_BLANKS[:, 0], code, side="right") - 1
+    alone = (group >= 0) & (code <= NO_BLANKS[group, 1])
+    some = mark | alone
+    return at[some], at[some] + size[some], alone[some], mark[some]
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` values in a row."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces of rows (A-Z lowered): (first word of each, one past the last
+    word, row, whether it ends a sentence), and the words' (start, end, hash,
+    weight). A character of a script without blanks is a word of weight 1, its
+    closing mark one of 0; other words weigh 2.
+
+    A sentence or clause ends after a word with a closing mark, at a line's end
+    and at the text's. Where WINDOW words have no such end, or 2 * WINDOW with
+    characters that are words, a piece ends after the one of least hash, the
+    last of equals: so no more than these pass without an end, and copies are
+    cut alike wherever they stand."""
     start, end, row = textbytes.spans(data, offsets)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none, none, none, start, end
+        return none, none, none, none.astype(bool), start, end, none.astype(np.uint64), none
+    at, to, alone, mark = characters(data)
+    if len(at):
+        cuts = np.unique(np.concatenate([at[alone], to]))
+        word = np.searchsorted(start, cuts, side="right") - 1
+        cuts = cuts[(cuts > start[word]) & (cuts < end[word])]
+        start, end = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
+        row = np.searchsorted(offsets, start, side="right") - 1
+    n = len(start)
+    words = textbytes.hashes(data, start, end)
+    weight = np.full(n, 2)
+    weight[np.searchsorted(start, at[alone])] = 1
+    weight[np.searchsorted(start, at[alone & mark])] = 0
     lines = np.concatenate([[0], np.cumsum(data == 10)])
-    closes = np.ones(len(start), bool)
-    closes[:-1] = ENDS[data[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1]]) | (row[1:] != row[:-1])
+    ends = np.ones(n, bool)
+    ends[:-1] = ENDS[data[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1]]) | (row[1:] != row[:-1])
+    ends[np.searchsorted(end, to[mark])] = True
+    closes = ends.copy()
+    keys = words >> np.uint64(32) << np.uint64(32) | np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64)
+    for width, barred in ((WINDOW, ends | (weight < 2)), (2 * WINDOW, ends)):
+        if n >= width:
+            bars = np.concatenate([[0], np.cumsum(barred)])
+            chosen = least(keys, width)[bars[width:] == bars[:-width]]
+            closes[(np.uint64(0xFFFFFFFF) - (chosen & np.uint64(0xFFFFFFFF))).astype(np.int64)] = True
     last = np.flatnonzero(closes) + 1
     first = np.concatenate([[0], last[:-1]])
-    return first, last, row[first], start, end
+    return first, last, row[first], ends[last - 1], start, end, words, weight
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Every run of SENTENCES consecutive sentences of a row, or of as many
-    more as it takes to hold WORDS words: (row, first sentence, one past the
-    last, hash); sentences count from 0 in their row."""
-    first, last, row, start, end = sentences(data, offsets)
+    """Runs of pieces: from each start of a sentence SENTENCES sentences, or as
+    many more as it takes to hold WORDS words; from each start of a piece as
+    many pieces as hold LONG words, unless the former run has SHORT at most. (row,
+    first piece, one past the last, hash); pieces count from 0 in their row."""
+    first, last, row, ends, start, end, words, weight = pieces(data, offsets)
     n = len(first)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    words = textbytes.hashes(data, start, end)
-    to = np.maximum(np.arange(n) + SENTENCES, np.searchsorted(last, first + WORDS) + 1)
-    ok = to <= n
-    ok[ok] &= row[to[ok] - 1] == row[ok]
-    lo, hi = np.flatnonzero(ok), to[ok]
+    weights = np.concatenate([[0], np.cumsum(weight)])
+    whole = np.flatnonzero(ends)
+    begins = np.concatenate([[0], whole[:-1] + 1])
+    to = np.maximum(np.arange(len(whole)) + SENTENCES, np.searchsorted(weights[last[whole]], weights[first[begins]] + 2 * WORDS) + 1)
+    by_sentence = np.full(n, n + 1)
+    ok = to <= len(whole)
+    by_sentence[begins[ok]] = whole[to[ok] - 1] + 1
+    by_words = np.searchsorted(weights[last], weights[first] + 2 * LONG) + 1
+    short = np.flatnonzero(by_sentence <= n)
+    short = short[weights[last[by_sentence[short] - 1]] - weights[first[short]] <= 2 * SHORT]
+    by_words[short] = n + 1
+    lo, hi = np.tile(np.arange(n), 2), np.concatenate([by_sentence, by_words])
+    ok = hi <= n
+    lo, hi = lo[ok], hi[ok]
+    ok = row[hi - 1] == row[lo]
+    lo, hi = lo[ok], hi[ok]
     up, down = textbytes._power_table("up", len(words) + 1), textbytes._power_table("down", len(words) + 1)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
     length = (last[hi - 1] - first[lo]).astype(np.uint64)
@@ -69,11 +143,10 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the sentences of the given ranges, and how many were
-    removed. What stands before the first sentence stays."""
+    """The text without the pieces of the given ranges, and how many were
+    removed. What stands before the first piece stays."""
     raw = text.encode("utf-8")
-    data = np.frombuffer(raw, np.uint8)
-    first, _, _, start, _ = sentences(data, np.array([0, len(raw)]))
+    first, _, _, _, start, *_ = pieces(textbytes.LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
     gone = np.zeros(len(first) + 1, np.int64)
     for lo, hi in covered:
         gone[lo] += 1
@@ -102,18 +175,22 @@ def _cleaned(text_at: int, covered_at: int, names: list[str]):
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text, ...) with the sentences removed that a repeated
+    """Documents (doc_id, text, ...) with the pieces removed that a repeated
     span covers, other than in the span's first place; all columns stay and
-    n_removed (sentences) is added.
-
-    Sentences are cut at closing marks (. ! ? ; : ,) and line ends. Every run
-    of three consecutive ones, longer where those hold under ten words, is
-    hashed over A-Z-lowered words and joined over all documents. The first
-    place is the least (doc_id, hash of text, sentence), nulls first; places
-    in one document count too.
+    n_removed (pieces) is added.
+
+    Sentences are cut at closing marks (. ! ? ; : , and those of other scripts)
+    and line ends, and where ten words have no such end, into pieces at words
+    chosen by hash. Every run of three consecutive sentences, longer where those
+    hold under ten words, and from every piece that begins no such run of up to
+    36 words the run that holds twenty, is hashed over A-Z-lowered words and joined over all documents; in scripts
+    without blanks two characters count as a word. So a passage of 48 words has a
+    run that its copies have too, whatever its marks. The first place is the
+    least (doc_id, hash of text, piece), nulls first; places in one document
+    count too.
 
     A null text stays null; rows alike in doc_id and text are one document, all
-    get its text; a text whose every sentence is repeated becomes empty, its
+    get its text; a text whose every piece is repeated becomes empty, its
     row stays; an empty table gives an empty table. Counts and first places
     are partial aggregates. The repeated spans are written, so that the join that
     finds other places has plain shuffles on both sides: Spark then splits the

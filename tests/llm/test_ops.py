@@ -240,3 +240,23 @@ def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "packing"]
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+@pytest.mark.parametrize("kind", ["no marks", "few words", "chinese", "chinese marks", "arabic"])
+def test_op4_passages_without_ascii_marks(spark, kind):
+    """A passage between differing texts of one line loses all but its ends in the second place."""
+    rng = random.Random(kind)
+    letters, blank = {"chinese": (range(0x4E00, 0x5000), ""), "chinese marks": (range(0x4E00, 0x5000), ""), "arabic": (range(0x0627, 0x063B), " ")}.get(kind, (range(97, 110), " "))
+    words = ["".join(chr(rng.choice(letters)) for _ in range(1 if blank == "" else 5)) for _ in range(800)]
+    mark = {"chinese marks": "。", "arabic": "؟"}.get(kind, "")
+
+    def prose(n, few=False):
+        return blank.join(rng.choice(words[:3] if few else words) + (mark if i % 9 == 8 else "") for i in range(n))
+
+    shared = prose(60 if blank or mark else 120, kind == "few words")
+    texts = [blank.join([prose(25), shared, prose(25)]) for _ in range(2)] + [prose(200)]
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["text"] == texts[0] or kind == "few words"
+    assert got[2]["text"] == texts[2] and got[2]["n_removed"] == 0
+    assert got[1]["n_removed"] > 0 and len(got[1]["text"]) < len(texts[1]) - len(shared) / 2
+    assert got[1]["text"][:20] == texts[1][:20] and got[1]["text"][-20:] == texts[1][-20:]
