@@ -260,3 +260,20 @@ def test_op4_passages_without_ascii_marks(spark, kind):
     assert got[2]["text"] == texts[2] and got[2]["n_removed"] == 0
     assert got[1]["n_removed"] > 0 and len(got[1]["text"]) < len(texts[1]) - len(shared) / 2
     assert got[1]["text"][:20] == texts[1][:20] and got[1]["text"][-20:] == texts[1][-20:]
+
+
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_SHINGLES, 3])
+def test_op7_short_items(spark, monkeypatch, most):
+    """Items of five to nine words are found in every document that holds them."""
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", most)
+    rng = random.Random(11)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+    items = [(i, prose(5 + i % 5)) for i in range(10)]
+    texts = [(d, " ".join(x for i in range(10) for x in (prose(rng.randint(5, 40)), items[i][1] if rng.random() < 0.5 else "one"))) for d in range(80)]
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    want = {(d, i) for d, t in texts for i, x in items if len(sets(x) & sets(t)) >= 0.8 * len(sets(x))}
+    got = decontamination.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 300 and {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
