@@ -20,33 +20,34 @@ PHRASES = {
     "cc-by-nc": "cc by nc",
 }
 
-# Public licence notices, as their texts have them.
+# Public licence notices, as their texts have them, and the
+# 3-grams of each that tell it from the notices of other licences.
 NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit", "released under the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["deal in the"]),
+    ("mit", "released under the mit license", ["the mit license"]),
+    ("apache-2", "licensed under the apache license version 2 0", ["license version 2"]),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["www apache org", "licenses license 2"]),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc", "by nc 4"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["commons attribution noncommercial", "attribution noncommercial 4"]),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["the gnu general", "license version 3"]),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["the gnu general", "version 3 of"]),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", []),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["commons attribution 4"]),
 ]
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(template, label, base, n_grams, tpos, gram, hash): the k-grams of the
+    """(template, label, base, n_grams, n_needed, tpos, needed, gram, hash): the k-grams of the
     fixed templates, a few hundred rows, and one row (template -1) that every
     document's closing mark meets."""
     rows = []
-    for i, (label, text, base) in enumerate([*((x, t, True) for x, t in PHRASES.items()), *((x, t, False) for x, t in NOTICES)]):
+    for i, (label, text, base, needed) in enumerate([*((x, t, True, []) for x, t in PHRASES.items()), *((x, t, False, g) for x, t, g in NOTICES)]):
         words = text.split()
         n = len(words) - K + 1
-        rows += [(i, label, base, n, p, words[p : p + K]) for p in range(n)]
-    grams = spark.createDataFrame(rows, "template int, label string, base boolean, n_grams int, tpos int, words array<string>")
-    grams = grams.select("template", "label", "base", "n_grams", "tpos", F.array_join("words", " ").alias("gram"), F.xxhash64(*(F.get("words", F.lit(k)) for k in range(K))).alias("hash"))
-    mark = spark.createDataFrame([(-1, None, False, 0, 0, None, 0)], grams.schema)
+        rows += [(i, label, base, n, len(needed), p, " ".join(words[p : p + K]) in needed, words[p : p + K]) for p in range(n)]
+    grams = spark.createDataFrame(rows, "template int, label string, base boolean, n_grams int, n_needed int, tpos int, needed boolean, words array<string>")
+    grams = grams.select("template", "label", "base", "n_grams", "n_needed", "tpos", "needed", F.array_join("words", " ").alias("gram"), F.xxhash64(*(F.get("words", F.lit(k)) for k in range(K))).alias("hash"))
+    mark = spark.createDataFrame([(-1, None, False, 0, 0, 0, False, None, 0)], grams.schema)
     return grams.union(mark)
 
 
@@ -65,8 +66,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     place in the template). A base phrase stands where its diagonal has all its
     votes. Diagonals of a notice that are at most 3 apart (words left out or put
     in) are merged, and a merged span is verified: every vote's words equal
-    the template's, and at least 75 % of the notice's 3-grams are found. score
-    is the best share found, 1 for a base phrase.
+    the template's, at least 75 % of the notice's 3-grams are found, and with
+    them all that tell it from other licences' notices. score is the best share
+    found, verified or not, 1 for a base phrase.
 
     A null text has no words; repeated rows are scanned each; a null doc_id is
     kept; other columns are ignored; an empty table gives an empty table. A
@@ -82,19 +84,21 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     votes = rows.select("rid", "doc_id", "words", F.posexplode(hashed(F.col("words"))).alias("pos", "hash"))
     met = votes.join(F.broadcast(template_grams(spark)), "hash")
     met = met.where((F.col("template") < 0) | (F.array_join(F.slice("words", F.col("pos") + 1, K), " ") == F.col("gram")))
-    met = met.select("rid", "doc_id", F.size("words").alias("n_words"), "template", "label", "base", "n_grams", "tpos", "pos")
+    met = met.select("rid", "doc_id", F.size("words").alias("n_words"), "template", "label", "base", "n_grams", "n_needed", "tpos", "needed", "pos")
     met = met.repartition("rid")
     diagonal = F.col("pos") - F.col("tpos")
-    lines = met.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "n_grams", F.when(F.col("template") < 0, 0).otherwise(diagonal).alias("diagonal")).agg(F.collect_set("tpos").alias("places"))
+    lines = met.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "n_grams", "n_needed", F.when(F.col("template") < 0, 0).otherwise(diagonal).alias("diagonal")).agg(
+        F.collect_set("tpos").alias("places"), F.collect_set(F.when(F.col("needed"), F.col("tpos"))).alias("telling")
+    )
     order = Window.partitionBy("rid", "template").orderBy("diagonal")
     lines = lines.withColumn("begins", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > GAP) | F.col("base"), F.lit(True)).cast("int"))
     lines = lines.withColumn("span", F.sum("begins").over(order))
-    spans = lines.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "n_grams", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.min("diagonal").alias("start")
+    spans = lines.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "n_grams", "n_needed", "span").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.size(F.array_distinct(F.flatten(F.collect_list("telling")))).alias("told"), F.min("diagonal").alias("start")
     )
     share = F.col("found") / F.col("n_grams")
     stands = F.col("base") & (F.col("found") == F.col("n_grams"))
-    verified = stands | (~F.col("base") & (F.col("n_grams") > 0) & (share >= COVERAGE))
+    verified = stands | (~F.col("base") & (F.col("n_grams") > 0) & (share >= COVERAGE) & (F.col("told") == F.col("n_needed")))
     return spans.groupBy("rid", "doc_id", "n_words").agg(
         F.sum(stands.cast("long")).alias("n_base"),
         F.min(F.when(stands, F.col("start").cast("long"))).alias("first_word"),

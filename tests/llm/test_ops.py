@@ -277,3 +277,23 @@ def test_op7_short_items(spark, monkeypatch, most):
     want = {(d, i) for d, t in texts for i, x in items if len(sets(x) & sets(t)) >= 0.8 * len(sets(x))}
     got = decontamination.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(want) > 300 and {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_op2_tells_like_notices_apart(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License."
+    texts = {
+        cc.format("Attribution"): "cc-by",
+        cc.format("Attribution-NonCommercial"): "cc-by-nc",
+        cc.format("Attribution-ShareAlike"): "",
+        cc.format("Attribution-NonCommercial-ShareAlike"): "",
+        gnu.format("General Public License", 3): "gpl-3",
+        gnu.format("General Public License", 2): "",
+        gnu.format("Lesser General Public License", 3): "",
+        "This work is licensed under the GNU General Public License version 3": "gpl-3",
+        "This work is licensed under the GNU General Public License version 2": "",
+        "This work is licensed under the GNU Lesser General Public License version 3": "",
+        f"{cc.format('Attribution')} {cc.format('Attribution-NonCommercial')}": "cc-by,cc-by-nc",
+    }
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {list(texts)[r["doc_id"]]: r["labels"] for r in got} == texts
