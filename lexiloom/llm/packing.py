@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,6 @@ from lexiloom.llm import textbytes
 from lexiloom.session import materialize, text_batches
 
 WINDOW = 4096
-MAX_QUEUES = 1024
 TOKENS = "doc_id long, queue string, part int, slot long, local_start long, n_tokens long, ids binary"
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -149,136 +149,193 @@ def _tokenized(tokenizer_path: str, end_id: int):
     return run
 
 
-@dataclass(frozen=True)
-class Phase:
-    """Windows ``first`` .. ``first + count - 1`` take
-    from queue k, after w windows of the phase, base[k] + w // len(cycle) *
-    per_cycle[k] + cycle[w % len(cycle), k] tokens."""
-
-    first: int
-    count: int
-    base: np.ndarray
-    cycle: np.ndarray
-    per_cycle: np.ndarray
-
-    def taken(self, w: np.ndarray, k: int) -> np.ndarray:
-        n = len(self.cycle)
-        return self.base[k] + w // n * self.per_cycle[k] + self.cycle[w % n, k]
-
-
-def round_robin_cycle(weights: np.ndarray, window: int, cycle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Deficit round-robin over one cycle of windows: every queue's deficit
-    grows by its share of the window, whole tokens are paid out, the rest is
-    carried; single tokens left over go to the largest deficits. Shares are
-    rounded to whole tokens of a cycle, so all deficits end at zero and the
-    cycle repeats. Returns what is taken before each window, and in all."""
-    exact = weights / weights.sum() * window * cycle
-    whole = np.floor(exact).astype(np.int64)
-    order = np.lexsort((np.arange(len(weights)), -(exact - whole)))
-    whole[order[: window * cycle - int(whole.sum())]] += 1
-    before, paid = np.zeros((cycle, len(weights)), np.int64), np.zeros(len(weights), np.int64)
-    for w in range(cycle):
-        before[w] = paid
-        deficit = whole * (w + 1) - paid * cycle
-        pay = np.maximum(deficit // cycle, 0)
-        rest = window - int(pay.sum())
-        order = np.lexsort((np.arange(len(weights)), -(deficit - pay * cycle)))
-        if rest >= 0:
-            pay[order[:rest]] += 1
-        else:
-            pay[[k for k in order[::-1] if pay[k] > 0][:-rest]] -= 1
-        paid = paid + pay
-    return before, paid
-
-
-def schedule(totals: list[int], weights: list[float], window: int = WINDOW, cycle: int = 256) -> list[Phase]:
-    """Phases until all queues are empty. A phase ends at the window that one
-    of its queues can't fill; that window takes what is left there, spreads the
-    shortfall over the others by weight, and the next phase goes on without
-    the empty queues."""
-    total, weights = np.array(totals, np.int64), np.array(weights, float)
-    weights = np.where(total > 0, np.maximum(weights, 1e-12), 0.0)
-    cycle = max(1, min(cycle, (1 << 20) // max(1, len(total))))
-    paid, first, out = np.zeros(len(total), np.int64), 0, []
-    while (paid < total).any():
-        left = total - paid
-        live = left > 0
-        if left.sum() > window:
-            before, per = round_robin_cycle(np.where(live, weights, 0), window, cycle)
-            ends = np.vstack([before[1:], per])
-            most = None
-            for k in np.flatnonzero(live & (per > 0)):
-                laps = int(left[k] // per[k])
-                n = laps * cycle + int(np.searchsorted(ends[:, k], left[k] - laps * per[k], side="right"))
-                most = n if most is None else min(most, n)
-            if most:
-                phase = Phase(first, most, paid, before, per)
-                out.append(phase)
-                paid = np.array([int(phase.taken(np.array(most), k)) for k in range(len(total))], np.int64)
-                first += most
-                continue
-        take, room = np.zeros(len(total), np.int64), min(window, int(left.sum()))
-        while room:
-            share = np.where(left > take, weights, 0)
-            share = np.floor(room * share / share.sum()).astype(np.int64)
-            add = np.minimum(share, left - take)
-            if not add.any():
-                add[int(np.argmax(np.where(left > take, weights, -1)))] = 1
-            take, room = take + add, room - int(add.sum())
-        out.append(Phase(first, 1, paid, np.zeros((1, len(total)), np.int64), take))
-        paid, first = paid + take, first + 1
+def floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """Sum of (a * i + b) // m over i from 0 to n - 1, in steps of Euclid."""
+    out = 0
+    while n:
+        out += (n - 1) * n // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        top = a * n + b
+        n, m, a, b = top // m, a, m, top % m
+        if not m:
+            break
     return out
 
 
-def queue_plan(phases: list[Phase], k: int) -> list[tuple]:
-    """What ``cut`` needs of each phase for queue k: first window, tokens
-    taken before and after it, tokens of a cycle, those before each of its
-    windows (and in all), and where in each window the queue's part begins."""
-    out = []
-    for p in phases:
-        ends = np.vstack([p.cycle[1:], p.per_cycle])
-        begins = (ends - p.cycle)[:, :k].sum(axis=1)
-        out.append((p.first, int(p.base[k]), int(p.taken(np.array(p.count), k)), int(p.per_cycle[k]), [*p.cycle[:, k].tolist(), int(p.per_cycle[k])], begins.tolist()))
-    return out
+@dataclass(frozen=True)
+class Stretch:
+    """``size`` tokens of the packed stream from position ``start`` on, shared by
+    queues: of a round's ``size`` turns this queue has those from ``low`` to
+    ``high``; they pay out its tokens from ``base`` on.
+
+    Position y takes turn y * step mod size. The step is near the golden
+    section, so every run of turns is spread evenly over the positions: what a
+    queue is owed and hasn't got at any window's end, its deficit, stays within
+    a few tokens and is carried on. What any queue has got by any position is a
+    sum in closed form."""
+
+    start: int
+    size: int
+    low: int
+    high: int
+    base: int
+
+    @property
+    def step(self) -> int:
+        return golden_step(self.size)
+
+    def paid(self, y: int) -> int:
+        """The queue's tokens at positions under ``y`` of the stretch."""
+        n, a = self.size, self.step
+
+        def under(turn: int) -> int:
+            return floor_sum(y, n, a, 0) - floor_sum(y, n, a, n - turn) + y
+
+        return under(self.high) - under(self.low)
+
+    def windows(self, first: int, count: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For ``count`` windows of the stream from number ``first`` on: the
+        queue's tokens in each, those of the stretch before its part, and where
+        in the window the stretch begins."""
+        n, a = self.size, self.step
+        paid, before, opens = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64)
+        turns = np.arange(window, dtype=np.int64) * a % n  # under 2 ** 63 up to 2 ** 51 tokens
+        for i in range(count):
+            y = max(0, (first + i) * window - self.start)
+            to = min(n, (first + i + 1) * window - self.start)
+            at = turns[: max(0, to - y)] + y * a % n
+            at = np.where(at >= n, at - n, at)
+            low = int(np.count_nonzero(at < self.low))
+            paid[i], before[i], opens[i] = int(np.count_nonzero(at < self.high)) - low, low, max(0, self.start - (first + i) * window)
+        return paid, before, opens
+
+    def pieces(self, begin: int, end: int, window: int) -> Iterator[tuple[int, int, int, int]]:
+        """(token, length, window, offset) of the queue's tokens begin .. end - 1
+        as far as the stretch pays them."""
+        begin, end = max(begin, self.base), min(end, self.base + self.high - self.low)
+        if begin >= end:
+            return
+        y = (begin - self.base) * self.size // (self.high - self.low)
+        w = (self.start + y) // window
+        while w * window > self.start and self.paid(w * window - self.start) > begin - self.base:
+            w -= 1
+        token = self.base + self.paid(max(0, w * window - self.start))
+        while token < end:
+            count = min(64, 1 + (end - token) * self.size // (window * (self.high - self.low)))
+            for i, (n, before, opens) in enumerate(zip(*(x.tolist() for x in self.windows(w, count, window)), strict=True)):
+                lo, hi = max(begin, token), min(end, token + n)
+                if lo < hi:
+                    yield lo, hi - lo, w + i, opens + before + lo - token
+                token += n
+            w += count
+
+
+@lru_cache(maxsize=1024)
+def golden_step(n: int) -> int:
+    step = max(1, round(n * 0.6180339887498949))
+    while math.gcd(step, n) != 1:
+        step += 1
+    return step
 
 
-def cut(plan: list[tuple], start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(from, length, sequence, offset) of the parts of tokens start ..
-    start + length - 1 of a queue, by its ``queue_plan``."""
-    at, end = start, start + length
-    i = bisect_right(plan, at, key=lambda p: p[2])
-    while at < end:
-        first, base, reach, per, before, begins = plan[i]
-        if at >= reach:
+@dataclass(frozen=True)
+class Schedule:
+    """Token targets by weight. At time v a queue of weight x has paid x * v
+    tokens, rounded, or all it has; ``times`` are when queues run dry, in order.
+    Between two such times lies one stretch; its turns go by queue in the order
+    given. What has no weight follows in a last stretch, every source in
+    proportion to what it has."""
+
+    queues: tuple[str, ...]
+    totals: np.ndarray
+    weights: np.ndarray
+    times: np.ndarray
+    rest: int
+
+    def paid(self, i: int) -> np.ndarray:
+        """Tokens of every queue before stretch i."""
+        if i == 0:
+            return np.zeros(len(self.totals), np.int64)
+        dry = self.totals <= self.weights * self.times[i - 1] * (1 + 1e-12)
+        return np.where(dry, self.totals, np.minimum(self.totals, np.rint(self.weights * self.times[i - 1]).astype(np.int64)))
+
+    @property
+    def end(self) -> int:
+        return int(self.totals.sum())
+
+    def stretches(self, queue: str, low: int, high: int, begin: int, end: int) -> Iterator[Stretch]:
+        """Those that hold a queue's tokens begin .. end - 1; ``low`` and ``high``
+        are its turns in the last stretch."""
+        if queue not in self.place:
+            yield Stretch(self.end, self.rest, low, high, 0)
+            return
+        k, i = self.place[queue], 0
+        if len(self.times) > 1:
+            i = max(0, int(np.searchsorted(self.times, max(0.0, begin - 1.0) / self.weights[k])) - 1)
+        while i < len(self.times):
+            before, after = self.edge(i), self.edge(i + 1)
+            if before[k] >= end:
+                return
+            if after[k] > begin:
+                turns = np.cumsum(after - before)
+                yield Stretch(int(before.sum()), int(turns[-1]), int(turns[k] - after[k] + before[k]), int(turns[k]), int(before[k]))
             i += 1
-            continue
-        lap, rest = divmod(at - base, per)
-        w, n = bisect_right(before, rest) - 1, len(begins)
-        low = base + lap * per
-        while at < min(end, reach):
-            if (high := low + before[w + 1]) > at:
-                to = min(end, high)
-                yield at, to - at, first + lap * n + w, begins[w] + at - low - before[w]
-                at = to
-            w += 1
-            if w == n:
-                lap, w, low = lap + 1, 0, low + per
-        i += 1
 
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {q: k for k, q in enumerate(self.queues)}
 
-def _placed(phases: list[Phase], queues: list[str]):
-    plans = {q: queue_plan(phases, k) for k, q in enumerate(queues)}
+    def edge(self, i: int) -> np.ndarray:
+        known = self.__dict__.setdefault("_edges", {})
+        if i not in known:
+            if len(known) > 64:
+                known.clear()
+            known[i] = self.paid(i)
+        return known[i]
 
+
+def schedule(totals: dict[str, int], weights: dict[str, float], rest: int) -> Schedule:
+    """For weighted queues with their totals, and ``rest`` tokens of others."""
+    queues = tuple(sorted(q for q in totals if totals[q] and weights.get(q, 0.0) > 0))
+    have, weight = np.array([totals[q] for q in queues], np.int64), np.array([float(weights[q]) for q in queues])
+    return Schedule(queues, have, weight, np.unique(have / weight) if queues else np.zeros(0), rest)
+
+
+def _placed(shared, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan: Schedule = shared.value
         for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            queue = columns["queue"].to_pylist()
+            begin = columns["base"].to_numpy() + columns["local_start"].to_numpy()
+            count = columns["n_tokens"].to_numpy()
+            low, high = columns["low"].to_pylist(), columns["high"].to_pylist()
+            ids, blobs = columns["doc_id"].to_pylist(), columns["ids"].to_pylist()
+            order = sorted(range(batch.num_rows), key=lambda i: (queue[i], begin[i]))
             rows: list[tuple] = []
-            for r in batch.to_pylist():
-                n = r["n_tokens"]
-                ids = np.frombuffer(r["ids"], dtype=np.uint16 if len(r["ids"]) == 2 * n else np.uint32).astype("<u4")
-                base = r["base"] + r["local_start"]
-                for at, length, sequence, offset in cut(plans[r["queue"]], base, n):
-                    s = at - base
-                    rows.append((r["doc_id"], r["queue"], s, length, zlib.crc32(ids[s : s + length].tobytes()), n, sequence, offset))
+            at = 0
+            while at < len(order):  # runs of documents that follow one another in their queue
+                to = at + 1
+                while to < len(order) and queue[order[to]] == queue[order[at]] and begin[order[to]] == begin[order[to - 1]] + count[order[to - 1]]:
+                    to += 1
+                run_of = order[at:to]
+                first, last = int(begin[run_of[0]]), int(begin[run_of[-1]] + count[run_of[-1]])
+                where = 0
+                held = np.zeros(0, "<u4")
+                for stretch in plan.stretches(queue[run_of[0]], low[run_of[0]], high[run_of[0]], first, last):
+                    for token, length, sequence, offset in stretch.pieces(first, last, window):
+                        while length:
+                            i = run_of[where]
+                            s, n = token - int(begin[i]), int(count[i])
+                            if s == n:
+                                where, held = where + 1, held[:0]
+                                continue
+                            if not len(held):
+                                held = np.frombuffer(blobs[i], dtype=np.uint16 if len(blobs[i]) == 2 * n else np.uint32).astype("<u4")
+                            part = min(length, n - s)
+                            rows.append((ids[i], queue[i], s, part, zlib.crc32(held[s : s + part].tobytes()), n, sequence, offset))
+                            token, length, offset = token + part, length - part, offset + part
+                at = to
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
@@ -292,29 +349,51 @@ def pack(docs: DataFrame, tokenizer_path: str, weights: dict[str, float] | None
     ids_crc32, doc_tokens, sequence_id, offset.
 
     Every window is full but the last, so nothing else is padded. ``weights``
-    are target token shares by source; by default each source's own share, so
-    that all queues run dry together. A source that runs dry early leaves its
-    share to the others. A null text is empty (its end token alone), a null
-    source is the queue '', a repeated row is a document of its own, other
-    columns are ignored, an empty table gives an empty table. Beyond 1024
-    sources, they share 1024 queues by hash (the schedule stays bounded).
+    are target token shares by source: every window is filled to them within
+    a few tokens, deficits are carried to later windows and partitions, and a
+    source that runs dry leaves its share to the others by their weights.
+    Sources without a weight come after those with one; among them (so among
+    all, by default) every source has the share of the tokens that it holds,
+    and all run dry together. Any number of sources is treated alike.
+
+    A null text is empty (its end token alone), a null source is the queue '',
+    a repeated row is a document of its own, other columns are ignored, an
+    empty table gives an empty table.
 
     Only counts meet: a queue's tokens are positioned by its partitions' sums,
-    so a source with a third of all rows is cut like any other, and the
-    schedule of whole cycles is closed-form: a task finds its pieces' windows
-    without those before it.
+    so a source with a third of all rows is cut like any other; a task finds its
+    pieces' windows in closed form, without those before them. Nothing of
+    unweighted sources is collected, of weighted ones a sum each.
     """
     text_batches(docs.sparkSession)
+    weights = {q: float(w) for q, w in (weights or {}).items() if w > 0}
     queue = F.coalesce(F.col("source").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), queue.alias("queue"))
-    if len(base.select("queue").distinct().limit(MAX_QUEUES + 1).collect()) > MAX_QUEUES:
-        base = base.withColumn("queue", F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES))))
     tokens = materialize(base.mapInArrow(_tokenized(tokenizer_path, end_id), TOKENS), "packing-tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(parts.select("queue", "part", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "packing-offsets")
-    sums = sorted((r["queue"], r["n"]) for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).collect())
-    queues, totals = [q for q, _ in sums], [n for _, n in sums]
-    shares = [float((weights or {}).get(q, 0.0)) for q in queues] if weights else [float(n) for n in totals]
-    placed = _placed(schedule(totals, shares, window) if queues else [], queues)
-    return tokens.join(offsets.select("queue", "part", "base"), ["queue", "part"]).mapInArrow(placed, PIECES)
+    sums = offsets.groupBy("queue").agg(F.sum("n").alias("n"))
+    weighted = F.col("queue").isin(list(weights)) if weights else F.lit(False)
+    totals = {r["queue"]: r["n"] for r in sums.where(weighted).collect()}  # as many as there are weights
+    places, rest = _turns(sums.where(~weighted))
+    shared = docs.sparkSession.sparkContext.broadcast(schedule(totals, weights, rest))
+    placed = tokens.join(offsets.select("queue", "part", "base"), ["queue", "part"]).join(places, "queue", "left")
+    return placed.mapInArrow(_placed(shared, window), PIECES)
+
+
+def _turns(sums: DataFrame, groups: int = 256) -> tuple[DataFrame, int]:
+    """(queue, n) -> (queue, low, high): every queue's turns in a round of all
+    tokens, and how many there are. Running sums are taken within groups by
+    hash; the groups' own sums (``groups`` rows) are run over by the driver."""
+    grouped = sums.withColumn("g", F.pmod(F.xxhash64("queue"), F.lit(groups)).cast("int"))
+    grouped = materialize(grouped, "packing-queues")
+    each = {r["g"]: r["n"] for r in grouped.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    starts, at = [], 0
+    for g in range(groups):
+        starts.append(at)
+        at += each.get(g, 0)
+    before = Window.partitionBy("g").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.get(F.array(*map(F.lit, starts)).cast("array<long>"), F.col("g"))
+    low = first + F.coalesce(F.sum("n").over(before), F.lit(0))
+    return grouped.select("queue", low.alias("low"), (low + F.col("n")).alias("high")), at

@@ -228,12 +228,69 @@ def test_op10(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
-def test_op10_schedule():
-    totals, weights = [10_000, 3, 70_000, 900], [0.5, 0.1, 0.3, 0.1]
-    phases = packing.schedule(totals, weights, 128, 16)
-    for k, total in enumerate(totals):
-        plan = packing.queue_plan(phases, k)
-        assert sum(n for _, n, _, _ in packing.cut(plan, 0, total)) == total
+def placed(totals, weights, window, step=300):
+    """(sequence, offset, length, queue) of all tokens, asked for in runs."""
+    plan = packing.schedule({q: totals[q] for q in weights}, weights, sum(n for q, n in totals.items() if q not in weights))
+    out, low = [], 0
+    for q, n in totals.items():
+        high = low + n if q not in weights else low
+        for at in range(0, n, step):
+            got = at
+            for stretch in plan.stretches(q, low, high, at, min(n, at + step)):
+                for token, length, sequence, offset in stretch.pieces(at, min(n, at + step), window):
+                    assert token == got
+                    got += length
+                    out.append((sequence, offset, length, q))
+            assert got == min(n, at + step)
+        low = high
+    return sorted(out)
+
+
+def test_op10_turns_are_counted_in_closed_form():
+    for n in (1, 2, 7, 100, 5003):
+        stretch = packing.Stretch(0, n, n // 5, n // 2 + 1, 0)
+        got = np.cumsum([stretch.low <= y * stretch.step % n < stretch.high for y in range(n)])
+        assert [stretch.paid(y) for y in range(n + 1)] == [0, *got.tolist()]
+
+
+@pytest.mark.parametrize("kind", ["shares", "weights", "some weights", "many sources"])
+def test_op10_every_window_has_the_target_shares(kind):
+    """Windows are full and gapless; while no queue is dry, each has every queue's share within a few tokens, and so have all windows so far: deficits are carried."""
+    rng, window = random.Random(kind), 512
+    totals = {f"s{i:04d}": rng.randint(1, 40) if kind == "many sources" else rng.choice([3, 900, 20_000, 70_000]) for i in range(1500 if kind == "many sources" else 9)}
+    weights = {} if kind in ("shares", "many sources") else {q: rng.random() + 0.05 for q in list(totals)[: 9 if kind == "weights" else 4]}
+    pieces = placed(totals, weights, window)
+    total, windows = sum(totals.values()), {}
+    for sequence, offset, length, q in pieces:
+        one = windows.setdefault(sequence, [0, Counter()])
+        assert offset == one[0]
+        one[0] += length
+        one[1][q] += length
+    assert [windows[s][0] for s in range(len(windows))] == [window] * (total // window) + ([total % window] if total % window else [])
+    live = weights or totals
+    dry = min(totals[q] / w for q, w in live.items()) if weights else 1.0
+    full = int(dry * sum(live.values())) // window
+    so_far = Counter()
+    for s in range(full):
+        so_far += windows[s][1]
+        for q, w in live.items():
+            share = window * w / sum(live.values())
+            assert abs(windows[s][1][q] - share) <= 8 and abs(so_far[q] - share * (s + 1)) <= 8
+
+
+def test_op10_weights_hold_with_many_sources(spark):
+    """1,100 sources: two have weights, names stay, and the first windows hold them three to one."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, passage(30), f"src{i % 1100}" if i % 3 else "abc"[i % 2]) for i in range(2400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), path, {"a": 3.0, "b": 1.0}, window=256).collect()
+    assert {r["source"] for r in got} == {r[2] for r in rows}
+    assert {(r["doc_id"], r["source"]) for r in got} == {(r[0], r[2]) for r in rows}
+    by = Counter()
+    for r in got:
+        if r["sequence_id"] < 40:
+            by[r["source"]] += r["length"]
+    assert set(by) == {"a", "b"} and abs(by["a"] - 40 * 192) <= 8
 
 
 def test_pipeline(spark):
