@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html as entities
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -18,19 +20,23 @@ from pyspark.sql import functions as F
 from lexiloom.session import text_batches
 
 DATE = "2024-01-01T00:00:00Z"
-RECORDS = "headers map<string,string>, block binary"
-DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_headers map<string,string>, source_digest string, block_digest string, content string, record binary"
+RECORDS = "page_id long, record binary, error string"
+DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_headers map<string,string>, source_digest string, block_digest string, content string, record binary, error string"
+LARGEST = 1 << 28
 
 # HTML elements whose content is no text, and those that end a line.
 HIDDEN = ["script", "style", "noscript", "template", "textarea"]
 BLOCKS = "address article aside blockquote body br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th title tr ul".split()
-
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(%s)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>" % "|".join(HIDDEN), re.S | re.I
-)
-ATTRIBUTE = re.compile(r"([a-z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 # Which attribute of which element is a link.
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action", "source": "src"}
+# Media types that are read as HTML, and what else has text.
+HTML_TYPES = ["", "text/html", "application/xhtml+xml", "application/xml", "text/xml"]
+
+OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-z][^\s/>]*+))", re.I)
+ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>=][^\s/>=]*+|=)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)?+")
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+CLOSES = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in HIDDEN}
+_BLOCKS = frozenset(BLOCKS)
 
 
 def digest(data: bytes) -> str:
@@ -46,21 +52,74 @@ def serialize(headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.0\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed WARC file."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+def fields(lines: list[str]) -> list[tuple[str, str]]:
+    """(name, value) of header lines; a line that begins with a blank goes on."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        else:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def unpacked(data: bytes) -> bytes:
+    """A WARC file's bytes, its gzip members (one for each record or more) undone."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out = []
+    while data.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data) + member.flush())
+        data = member.unused_data if member.eof else b""
+    return b"".join(out)
+
+
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of one record; ValueError where it is none."""
+    end = record.find(b"\r\n\r\n")
+    if end < 0 or not record.startswith(b"WARC/"):
+        raise ValueError("no WARC record")
+    headers = dict(fields(record[:end].decode("utf-8", "replace").split("\r\n")[1:]))
+    length = headers.get("Content-Length", "")
+    if not length.isdigit():
+        raise ValueError("no Content-Length")
+    block = record[end + 4 : end + 4 + int(length)]
+    if len(block) < int(length):
+        raise ValueError("block shorter than Content-Length")
+    if "WARC-Record-ID" not in headers:
+        raise ValueError("no WARC-Record-ID")
+    return headers, block
 
 
-def response_record(page_id: object, url: str, page: str) -> tuple[dict[str, str], bytes]:
+def split_records(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(record, error) of a WARC file in order. Where a record is broken, its
+    error is told and reading goes on at the next line that begins one."""
+    try:
+        data = unpacked(data)
+    except zlib.error as e:
+        yield data[:0], f"gzip: {e}"
+        return
+    at = 0
+    while at < len(data):
+        error, end = None, data.find(b"\r\n\r\n", at)
+        length = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", data[at:end]) if end >= 0 and data.startswith(b"WARC/", at) else None
+        if length:
+            to = end + 4 + int(length[1])
+            after = to + 4 if data[to : to + 4] == b"\r\n\r\n" else to
+            if to <= len(data) and (after >= len(data) or data.startswith(b"WARC/", after)):
+                yield data[at:to], None
+                at = after
+                continue
+            error = "block does not end where Content-Length says"
+        going_on = data.find(b"\r\n\r\nWARC/", at + 1)
+        to = going_on + 4 if going_on >= 0 else len(data)
+        yield data[at:to], error or "no WARC record"
+        at = to
+
+
+def response_record(page_id: object, url: str, page: str) -> bytes:
     payload = page.encode("utf-8", "replace")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     headers = {
@@ -73,64 +132,138 @@ def response_record(page_id: object, url: str, page: str) -> tuple[dict[str, str
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
-    return headers, block
+    return serialize(headers, block)
 
 
 def read_html(page: str, url: str) -> tuple[str, str, list[dict[str, str]]]:
-    """(title, plain text, links) of a page. Broken markup is text up to where
-    markup goes on; an unclosed comment or script hides the rest."""
+    """(title, plain text, links) of a page, in one pass that never goes back.
+    A ``<`` that opens nothing is text; a comment, tag or script that isn't
+    closed hides the rest, as it does in browsers."""
     parts, links, title, in_title, at = [], [], [], False, 0
-    for m in MARKUP.finditer(page):
+    while m := OPENS.search(page, at):
         if m.start() > at:
             (title if in_title else parts).append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or m[1] or "").lower()
+        if m[1] or m[2]:
+            close = page.find("-->" if m[1] else ">", m.end())
+            at = len(page) if close < 0 else close + (3 if m[1] else 1)
+            continue
+        name, found, at = m[4].lower(), {}, m.end()
+        while (a := ATTRIBUTE.match(page, at)).end() > at:
+            at = a.end()
+            if a[1]:
+                found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+        at += 1  # the closing mark, or the text's end
         if name == "title":
-            in_title = not m[2]
+            in_title = not m[3]
         elif name in _BLOCKS:
             parts.append("\n")
-        if name in LINKS and not m[2]:
-            found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[4] if m[3] else m[0][: m[0].find(">") + 1])}
-            if target := found.get(LINKS[name]):
+        if not m[3]:
+            if (target := found.get(LINKS.get(name, ""))) and at <= len(page):
                 try:
                     target = urljoin(url, entities.unescape(target))
                 except ValueError:
                     pass
                 links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": target})
+            if name in CLOSES:
+                close = CLOSES[name].search(page, at)
+                at = close.start() if close else len(page)
     (title if in_title else parts).append(page[at:])
     lines = (" ".join(x.split()) for x in entities.unescape("".join(parts)).split("\n"))
     return " ".join(entities.unescape("".join(title)).split()), "\n".join(x for x in lines if x), links
 
 
-_BLOCKS = frozenset(BLOCKS)
-
-
-def http_headers(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    head, _, payload = block.partition(b"\r\n\r\n")
+def dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at : end if end >= 0 else len(body)].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            raise ValueError("broken chunk")
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        if end < 0 or len(out[-1]) < n:
+            raise ValueError("broken chunk")
+        at = end + 2 + n + 2
+
+
+def decoded(body: bytes, coding: str) -> bytes:
+    """The body without its content coding; ValueError where that can't be undone."""
+    for name in reversed([x.strip().lower() for x in coding.split(",") if x.strip()]):
+        if name in ("identity", "utf-8"):
+            continue
+        if name not in ("gzip", "x-gzip", "deflate"):
+            raise ValueError(f"content coding {name}")
+        try:
+            member = zlib.decompressobj(15 + 32 if name != "deflate" or body[:1] == b"\x78" else -15)
+            body = member.decompress(body, LARGEST)
+        except zlib.error as e:
+            raise ValueError(f"{name}: {e}") from None
+        if not member.eof:
+            raise ValueError(f"body over {LARGEST} bytes" if member.unconsumed_tail else f"{name}: cut short")
+    return body
+
+
+def text_of(body: bytes, content_type: str) -> str:
+    """The body in the character set that its type or its first kilobyte names, else UTF-8."""
+    named = CHARSET.search(content_type) or CHARSET.search(body[:1024].decode("latin-1"))
+    try:
+        name = codecs.lookup(named[1]).name if named else "utf-8"
+        return body.decode(name, "replace")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
+def http_response(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """(status line, headers as they stand, payload) of an HTTP response."""
+    head, separator, payload = block.partition(b"\r\n\r\n")
+    if not separator or not head.startswith(b"HTTP/"):
+        raise ValueError("no HTTP response")
     status, *lines = head.decode("utf-8", "replace").split("\r\n")
-    return status, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
+    return status, fields(lines), payload
 
 
 def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], str, bytes]]:
-    """(headers, content, record) of a response's metadata and conversion."""
-    status, http, payload = http_headers(block)
+    """(headers, content, record) of a response's metadata record and, if it has
+    text, its conversion; ValueError where its HTTP message is broken."""
+    status, http, payload = http_response(block)
+    first: dict[str, str] = {}
+    for k, v in http:
+        first.setdefault(k.lower(), v)
+    body = dechunked(payload) if first.get("transfer-encoding", "").lower().endswith("chunked") else payload
+    body = decoded(body, first.get("content-encoding", ""))
+    content_type = first.get("content-type", "")
+    kind = content_type.split(";")[0].strip().lower()
     source, url = headers["WARC-Record-ID"], headers.get("WARC-Target-URI", "")
-    title, text, links = read_html(payload.decode("utf-8", "replace"), url)
-    envelope = {
-        "WARC-Header-Metadata": headers,
-        "Payload-Metadata": {"Actual-Content-Type": headers.get("Content-Type"), "HTTP-Response-Metadata": {"Response-Message": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": digest(payload), "HTML-Metadata": {"Head": {"Title": title}, "Links": links}}},
-    }
+    payload_digest = headers.get("WARC-Payload-Digest") or digest(payload)
+    repeated: dict[str, str | list[str]] = {}
+    for k, v in http:
+        have = repeated.get(k)
+        repeated[k] = v if have is None else [*(have if isinstance(have, list) else [have]), v]
+    response: dict[str, object] = {"Response-Message": status, "Headers": repeated, "Entity-Length": len(payload), "Entity-Digest": digest(payload)}
+    text = None
+    if kind in HTML_TYPES:
+        title, text, links = read_html(text_of(body, content_type), url)
+        response["HTML-Metadata"] = {"Head": {"Title": title}, "Links": links}
+    elif kind.startswith("text/") or kind == "application/json":
+        text = text_of(body, content_type)
+    envelope = {"WARC-Header-Metadata": headers, "Payload-Metadata": {"Actual-Content-Type": headers.get("Content-Type"), "HTTP-Response-Metadata": response}}
     out = []
-    for kind, content_type, content in (("metadata", "application/json", json.dumps({"Envelope": envelope}, ensure_ascii=False)), ("conversion", "text/plain", text)):
+    for record_type, made, content in (("metadata", "application/json", json.dumps({"Envelope": envelope}, ensure_ascii=False)), ("conversion", "text/plain; charset=utf-8", text)):
+        if content is None:
+            continue
         own = content.encode("utf-8", "replace")
         head = {
-            "WARC-Type": kind,
-            "WARC-Record-ID": record_id(kind, source),
+            "WARC-Type": record_type,
+            "WARC-Record-ID": record_id(record_type, source),
             "WARC-Refers-To": source,
             "WARC-Date": headers.get("WARC-Date", DATE),
             "WARC-Target-URI": url,
+            "WARC-Source-Payload-Digest": payload_digest,
+            "WARC-Source-Block-Digest": headers.get("WARC-Block-Digest") or digest(block),
             "WARC-Block-Digest": digest(own),
-            "Content-Type": content_type,
+            "Content-Type": made,
             "Content-Length": str(len(own)),
         }
         out.append((head, content, serialize(head, own)))
@@ -143,10 +276,20 @@ def _derived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 500):
             rows = []
             part = batch.iloc[at : at + 500]
-            for page_id, headers, block in zip(part["page_id"], part["headers"], part["block"], strict=True):
-                headers = dict(headers)
-                for head, content, record in derivatives(headers, bytes(block)):
-                    rows.append((page_id, head["WARC-Type"], head["WARC-Record-ID"], head["WARC-Refers-To"], head["WARC-Target-URI"], head["WARC-Date"], headers, headers.get("WARC-Payload-Digest"), head["WARC-Block-Digest"], content, record))
+            for page_id, record, error in zip(part["page_id"], part["record"], part["error"], strict=True):
+                headers: dict[str, str] = {}
+                try:
+                    if error:
+                        raise ValueError(error)
+                    headers, block = parse_record(bytes(record or b""))
+                    if headers.get("WARC-Type") != "response":
+                        continue
+                    made = derivatives(headers, block)
+                except ValueError as e:
+                    rows.append((page_id, "error", None, headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), headers, headers.get("WARC-Payload-Digest"), None, None, None, str(e)))
+                    continue
+                for head, content, made_record in made:
+                    rows.append((page_id, head["WARC-Type"], head["WARC-Record-ID"], head["WARC-Refers-To"], head["WARC-Target-URI"], head["WARC-Date"], headers, head["WARC-Source-Payload-Digest"], head["WARC-Block-Digest"], content, made_record, None))
             yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
 
 
@@ -155,43 +298,51 @@ def _responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), 500):
             part = batch.iloc[at : at + 500]
             made = [response_record(None if pd.isna(i) else int(i), u or "", h or "") for i, u, h in zip(part["page_id"], part["url"], part["html"], strict=True)]
-            yield pd.DataFrame({"page_id": part["page_id"].astype("Int64").to_numpy(), "headers": [x for x, _ in made], "block": [x for _, x in made]})
+            yield pd.DataFrame({"page_id": part["page_id"].astype("Int64").to_numpy(), "record": made, "error": [None] * len(made)})
 
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> page_id and one response record each (headers,
-    block). A null url or page is empty; ids follow from id, url and payload,
-    so repeated rows have one record id."""
+    """(page_id, url, html) -> page_id and one response record each, as it
+    stands in a WARC file, and no error. A null url or page is empty; ids follow
+    from id, url and payload, so repeated rows have one record id."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return base.mapInPandas(_responses, f"page_id long, {RECORDS}")
+    return base.mapInPandas(_responses, RECORDS)
 
 
 def read_warc_files(files: DataFrame) -> DataFrame:
-    """Rows of Spark's binaryFile source -> (page_id null, headers, block) of
-    their response records; a file is cut where its records say."""
+    """Rows of Spark's binaryFile source (content), plain or gzip -> (page_id
+    null, record, error), one row for each record; a broken one has its error,
+    and those after it are read all the same."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                got = [(h, b) for h, b in parse(bytes(content)) if h.get("WARC-Type") == "response"]
+                got = list(split_records(bytes(content or b"")))
                 for at in range(0, len(got), 500):
-                    yield pd.DataFrame({"page_id": pd.array([None] * len(got[at : at + 500]), "Int64"), "headers": [h for h, _ in got[at : at + 500]], "block": [b for _, b in got[at : at + 500]]})
+                    part = got[at : at + 500]
+                    yield pd.DataFrame({"page_id": pd.array([None] * len(part), "Int64"), "record": [r for r, _ in part], "error": [e for _, e in part]})
 
-    return files.select("content").mapInPandas(run, f"page_id long, {RECORDS}")
+    return files.select("content").mapInPandas(run, RECORDS)
 
 
-def build_derivatives(responses: DataFrame) -> DataFrame:
-    """Response records (page_id, headers, block) -> two rows each, metadata and
-    conversion: own and source identifiers, source headers and digests,
+def build_derivatives(records: DataFrame) -> DataFrame:
+    """Records (page_id, record, error) -> two rows for each response, metadata
+    and conversion: own and source identifiers, source headers and digests,
     content, and the whole record as it stands in a WARC file.
 
-    The metadata record is JSON: the response's WARC and HTTP headers, title and
-    links made absolute; the conversion record is the page's text, a line for
-    each block, without scripts, styles and comments. Both refer to the
-    response and carry its date and address. An empty page gives an empty text
-    and no links; repeated rows give repeated records; other columns are
-    ignored; an empty table gives an empty table. Rows are independent: no
-    shuffle, a few hundred pages in memory at a time.
+    The metadata record is JSON: the response's WARC and HTTP headers (repeated
+    ones as a list), title and links made absolute; the conversion record is the
+    page's text, a line for each block, without scripts, styles and comments.
+    Both refer to the response and carry its date, address and digests. Chunks
+    and content codings (gzip, deflate; LARGEST bytes at most) are undone, the
+    character set is that of the type, else of the page, else UTF-8. Plain text
+    and JSON are their own conversion; other types have metadata only.
+
+    What isn't a response is left out. A broken record or message gives one row
+    of type ``error`` that tells why. An empty page gives an empty text and no
+    links; repeated rows give repeated records; other columns are ignored; an
+    empty table gives an empty table; pages are read in one pass, however long
+    or broken. Rows are independent: no shuffle, some pages in memory at a time.
     """
-    text_batches(responses.sparkSession)
-    return responses.select("page_id", "headers", "block").mapInPandas(_derived, DERIVED)
+    text_batches(records.sparkSession, 500)
+    return records.select("page_id", "record", "error").mapInPandas(_derived, DERIVED)
