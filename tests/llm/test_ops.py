@@ -386,6 +386,30 @@ def test_op7_short_items(spark, monkeypatch, most):
     assert len(want) > 300 and {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
 
 
+def test_op7_items_that_share_most_shingles(spark, docs):
+    """Every pair is found, whatever items have in common, in documents of all lengths."""
+    rng = random.Random(12)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+    head, tail = prose(12), prose(9)
+    items = [(i, f"{head} {prose(2 + i)} {tail}") for i in range(30)] + [(100 + i, f"{prose(5 + i)} {tail}") for i in range(20)] + [(200 + i, prose(12 + i)) for i in range(40)]
+    texts = [(d, " ".join([prose(rng.choice([3, 50, 4000])), *(items[(7 * d + j) % len(items)][1] for j in range(3)), prose(rng.choice([2, 700]))])) for d in range(60)]
+    texts += [(1000, f"{prose(40)} {head} {prose(30)} {tail}"), (1001, None), (1002, "")]
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
+    want = {(d, i, len(sets(x) & sets(t))) for d, t in texts for i, x in items if len(sets(x) & sets(t)) >= 0.8 * len(sets(x))}
+    got = decontamination.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 150 and {(r["doc_id"], r["item_id"], r["n_common"]) for r in got} == want and len(got) == len(want)
+
+
+def test_op7_one_shingle_in_a_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    items = [(i, " ".join(f"w{i * 290 + k}" for k in range(5 + i % 3))) for i in range(100)]
+    got = decontamination.leaks(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(r["item_id"] for r in got) == list(range(100))
+
+
 def test_op2_tells_like_notices_apart(spark):
     gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
     cc = "This work is licensed under a Creative Commons {} 4.0 International License."
