@@ -79,34 +79,38 @@ def _by_language(values: dict[str, float]) -> Column:
 
 
 def _least_hashes(ids: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
-    """(doc_id, lang) of the ``most`` rows of each language whose ids hash least.
-    Hashes far over the one that is expected to be the last are left out before
-    rows meet; a language that has too few under it (one id in many rows) is
-    ranked whole."""
+    """(doc_id, lang), distinct, with their numbers by language -> those of the
+    ``most`` ids of each language that hash least. Hashes far over the one that
+    is expected to be the last are left out before rows meet; where too few are
+    under it, the bound is doubled for that language."""
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)  # 31 bits
-    near = {x: min(1 << 31, (1 << 31) * (most + 6 * int(most**0.5) + 36) // n) for x, n in counts.items()}
-    under = ids.where(place < _by_language(near))
-    enough = {r["lang"]: r["count"] >= min(most, counts[r["lang"]]) for r in under.groupBy("lang").count().collect()}
-    wide = {x: 1 << 31 if not enough.get(x) else near[x] for x in counts}
+    bound = {x: min(1 << 31, (1 << 31) * (most + 6 * int(most**0.5) + 36) // n) for x, n in counts.items()}
+    while True:
+        under = {r["lang"]: r["count"] for r in ids.where(place < _by_language(bound)).groupBy("lang").count().collect()}
+        short = [x for x, n in counts.items() if under.get(x, 0) < min(most, n) and bound[x] < 1 << 31]
+        if not short:
+            break
+        bound |= {x: min(1 << 31, 2 * bound[x]) for x in short}
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
-    ranked = ids.where(place < _by_language(wide)).withColumn("k", F.row_number().over(order))
+    ranked = ids.where(place < _by_language(bound)).withColumn("k", F.row_number().over(order))
     return ranked.where(F.col("k") <= most).select("doc_id", "lang")
 
 
 def learn(docs: DataFrame, most: int = DOCS_PER_LANGUAGE) -> Filters:
-    """Filters from (doc_id, text, lang), of at most ``most`` documents of each
-    language in hash order (a documented bound on the fit). An n-gram is a
-    language's if its share there is at least LEAST_SHARE and OF_LARGEST of its
-    share in any language. What is collected is bounded by the slots."""
-    ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+    """Filters from (doc_id, text, lang), of the documents of at most ``most``
+    ids of each language in hash order (a documented bound on the fit). An
+    n-gram is a language's if its share of all n-grams there is at least
+    LEAST_SHARE and OF_LARGEST of its share in any language. What is collected
+    is bounded by the slots."""
+    ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct()
     counts = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [r["lang"] for r in counts]
     if not languages:
         return Filters([], np.zeros((1, 1 << SLOT_BITS), np.uint64), np.zeros(0))
     chosen = _least_hashes(ids, {r["lang"]: r["count"] for r in counts}, most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("text", "lang")
+    sample = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang")
     seen = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    seen = materialize(seen.where("n > 1"), "language-grams")
+    seen = materialize(seen, "language-grams")
     totals = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     share = seen.withColumn("share", F.col("n") / _by_language(totals)).where(F.col("share") >= LEAST_SHARE)
     bits = _by_language({lang: i for i, lang in enumerate(languages)})

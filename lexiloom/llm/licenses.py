@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.quality_rules import split_words
 
 K = 3
-GAP = 3
+DRIFT = 8
 COVERAGE = 0.75
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,43 +22,187 @@ PHRASES = {
     "cc-by-nc": "cc by nc",
 }
 
-# Public licence notices, as their texts have them, and the
-# 3-grams of each that tell it from the notices of other licences.
+# Public licence texts and notices, and the 3-grams of each that
+# tell it from others.
 NOTICES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["deal in the"]),
-    ("mit", "released under the mit license", ["the mit license"]),
-    ("apache-2", "licensed under the apache license version 2 0", ["license version 2"]),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["www apache org", "licenses license 2"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc", "by nc 4"]),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["commons attribution noncommercial", "attribution noncommercial 4"]),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ["the gnu general", "license version 3"]),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["the gnu general", "version 3 of"]),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", []),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["commons attribution 4"]),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ["deal in the"],
+    ),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ["deal in the"]),
+    ("mit", "released under the MIT License", ["the mit license"]),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+        notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES
+        OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+        ["purpose with or"],
+    ),
+    (
+        "bsd-2",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+        ["the distribution this"],
+    ),
+    (
+        "bsd-3",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+        prior written permission.""",
+        ["neither the name"],
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of
+        this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+        subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
+        ["be held liable"],
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+        either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ["unencumbered software released"],
+    ),
+    (
+        "bsl-1",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+        (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software""",
+        ["person or organization"],
+    ),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", ["license version 2"]),
+    (
+        "apache-2",
+        """you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
+        by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        ["www apache org", "licenses license 2"],
+    ),
+    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ["www apache org", "licenses license 2"]),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["mozilla public license"]),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0", ["cc by nc", "by nc 4"]),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["commons attribution noncommercial", "attribution noncommercial 4"]),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["commons attribution 4"]),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["commons attribution sharealike", "attribution sharealike 4"]),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["commons attribution noderivatives", "attribution noderivatives 4"]),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", ["noncommercial sharealike 4"]),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["or neighboring rights"]),
+    ("gpl-3", "this work is licensed under the GNU General Public License version 3", ["the gnu general", "license version 3"]),
+    ("gpl-2", "this work is licensed under the GNU General Public License version 2", ["the gnu general", "license version 2"]),
+    *(
+        (
+            label,
+            f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation,
+            either version {version} of the License, or (at your option) any later version.""",
+            [f"the gnu {name.split()[0].lower()}", f"version {version} of"],
+        )
+        for label, name, version in (("gpl-2", "General Public License", 2), ("gpl-3", "General Public License", 3), ("lgpl-3", "Lesser General Public License", 3), ("agpl-3", "Affero General Public License", 3))
+    ),
 ]
 
 
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(SEPARATOR, text.lower()) if w]
+
+
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(template, label, base, n_grams, n_needed, tpos, needed, gram, hash): the k-grams of the
-    fixed templates, a few hundred rows, and one row (template -1) that every
-    document's closing mark meets."""
+    """(template, label, base, n_grams, n_needed, tpos, needed, hash, check): the
+    k-grams of the fixed templates, some two thousand rows, and one row
+    (template -1) that every document's closing mark meets."""
     rows = []
     for i, (label, text, base, needed) in enumerate([*((x, t, True, []) for x, t in PHRASES.items()), *((x, t, False, g) for x, t, g in NOTICES)]):
-        words = text.split()
+        words = template_words(text)
         n = len(words) - K + 1
-        rows += [(i, label, base, n, len(needed), p, " ".join(words[p : p + K]) in needed, words[p : p + K]) for p in range(n)]
+        told = {p for p in range(n) if " ".join(words[p : p + K]) in needed}
+        rows += [(i, label, base, n, len(told), p, p in told, words[p : p + K]) for p in range(n)]
     grams = spark.createDataFrame(rows, "template int, label string, base boolean, n_grams int, n_needed int, tpos int, needed boolean, words array<string>")
-    grams = grams.select("template", "label", "base", "n_grams", "n_needed", "tpos", "needed", F.array_join("words", " ").alias("gram"), F.xxhash64(*(F.get("words", F.lit(k)) for k in range(K))).alias("hash"))
-    mark = spark.createDataFrame([(-1, None, False, 0, 0, 0, False, None, 0)], grams.schema)
+    grams = grams.select("template", "label", "base", "n_grams", "n_needed", "tpos", "needed", *_hashed([F.get("words", F.lit(k)) for k in range(K)]))
+    mark = spark.createDataFrame([(-1, None, False, 0, 0, 0, False, 0, 0)], grams.schema)
     return grams.union(mark)
 
 
+def _hashed(words: list[Column]) -> list[Column]:
+    """96 bits of some words: the key of the join and its check."""
+    return [F.xxhash64(*words).alias("hash"), F.hash(*words).alias("check")]
+
+
 def words_of(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     ascii_only = F.octet_length(text) == F.char_length(text)
     return split_words(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), SEPARATOR)
 
 
+def _bands(docs: DataFrame) -> DataFrame:
+    """A row for each document, template and diagonal with a vote (and one of
+    template -1 for every document): where the template's places are found on it
+    and on those up to DRIFT above."""
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+
+    def grams(w: Column) -> Column:
+        at = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.struct(i.alias("pos"), *_hashed([F.get(w, i + k) for k in range(K)])))
+        end = F.array(F.struct(F.size(w).alias("pos"), F.lit(0).cast("long").alias("hash"), F.lit(0).alias("check")))
+        return F.when(F.size(w) >= K, F.concat(at, end)).otherwise(end)
+
+    votes = rows.select("rid", "doc_id", F.inline(F.transform(F.array("words"), grams)[0]))
+    met = votes.join(F.broadcast(template_grams(spark)), ["hash", "check"]).repartition("rid")
+    marked = F.col("template") < 0
+    keys = ["rid", "doc_id", "template", "label", "base", "n_grams", "n_needed"]
+    lines = met.groupBy(*keys, F.when(marked, 0).otherwise(F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
+        F.max(F.when(marked, F.col("pos"))).alias("n_words"),
+        F.collect_set("tpos").alias("places"),
+        F.collect_set(F.when(F.col("needed"), F.col("tpos"))).alias("telling"),
+    )
+    band = Window.partitionBy("rid", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    widest = F.col("diagonal") + F.least(F.lit(DRIFT), F.floor(F.col("n_grams") / 4))
+    lines = lines.withColumn("band", F.collect_list(F.struct("diagonal", "places", "telling")).over(band)).withColumn("band", F.filter("band", lambda x: x["diagonal"] <= widest))
+
+    def distinct(name: str) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.col("band")[name])))
+
+    return lines.select(
+        *keys,
+        "diagonal",
+        "n_words",
+        F.when(F.col("base"), F.size("places")).otherwise(distinct("places")).alias("found"),
+        distinct("telling").alias("told"),
+        F.array_min(F.transform("band", lambda x: x["diagonal"] + F.array_min(x["places"]))).alias("start_word"),
+        (F.array_max(F.transform("band", lambda x: x["diagonal"] + F.array_max(x["places"]))) + K).alias("end_word"),
+    )
+
+
+def _verdict(bands: DataFrame) -> DataFrame:
+    share = F.col("found") / F.col("n_grams")
+    stands = F.col("base") & (F.col("found") == F.col("n_grams"))
+    notice = ~F.col("base") & (F.col("n_grams") > 0)
+    return bands.withColumns({"stands": stands, "verified": stands | (notice & (share >= COVERAGE) & (F.col("told") == F.col("n_needed"))), "share": F.when(stands, 1.0).when(notice, share).otherwise(0.0)})
+
+
+def license_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, label, start_word, end_word, share): where
+    licence phrases and notices stand, in words from 0. Of overlapping spans of
+    one template the best stays, of equal ones the first."""
+    found = _verdict(_bands(docs)).where("verified")
+    near = Window.partitionBy("rid", "template").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
+    best = F.max(F.struct("share", (-F.col("diagonal")).alias("d"))).over(near)
+    kept = found.withColumn("best", best).where(F.col("base") | ((F.col("best.share") == F.col("share")) & (F.col("best.d") == -F.col("diagonal"))))
+    return kept.select("doc_id", "label", F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"), "share")
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score; one row for each row.
@@ -64,46 +210,25 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     All rolling 3-grams of words, hashed, meet the templates' by a join; votes
     are counted by document, template and diagonal (place in the text less
     place in the template). A base phrase stands where its diagonal has all its
-    votes. Diagonals of a notice that are at most 3 apart (words left out or put
-    in) are merged, and a merged span is verified: every vote's words equal
-    the template's, at least 75 % of the notice's 3-grams are found, and with
-    them all that tell it from other licences' notices. score is the best share
-    found, verified or not, 1 for a base phrase.
+    votes. A notice's neighbouring diagonals, up to DRIFT words left out or put
+    in, are merged from each one up: in so narrow a band places further apart
+    than the drift stand in the template's order, and a span is no longer than
+    the notice and the drift. It is verified if 75 % of the notice's 3-grams are
+    found in it, and with them all that tell it from other licences. score is
+    the best share found, verified or not, 1 for a base phrase.
 
     A null text has no words; repeated rows are scanned each; a null doc_id is
     kept; other columns are ignored; an empty table gives an empty table. A
-    text full of licences votes within its own rows, so none meets another's.
+    text full of licences votes within its own rows, so none meets another's;
+    work and memory grow in proportion to its length.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-
-    def hashed(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(K))))
-        return F.when(F.size(w) >= K, F.concat(grams, F.array(F.lit(0).cast("long")))).otherwise(F.array(F.lit(0).cast("long")))
-
-    votes = rows.select("rid", "doc_id", "words", F.posexplode(hashed(F.col("words"))).alias("pos", "hash"))
-    met = votes.join(F.broadcast(template_grams(spark)), "hash")
-    met = met.where((F.col("template") < 0) | (F.array_join(F.slice("words", F.col("pos") + 1, K), " ") == F.col("gram")))
-    met = met.select("rid", "doc_id", F.size("words").alias("n_words"), "template", "label", "base", "n_grams", "n_needed", "tpos", "needed", "pos")
-    met = met.repartition("rid")
-    diagonal = F.col("pos") - F.col("tpos")
-    lines = met.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "n_grams", "n_needed", F.when(F.col("template") < 0, 0).otherwise(diagonal).alias("diagonal")).agg(
-        F.collect_set("tpos").alias("places"), F.collect_set(F.when(F.col("needed"), F.col("tpos"))).alias("telling")
-    )
-    order = Window.partitionBy("rid", "template").orderBy("diagonal")
-    lines = lines.withColumn("begins", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > GAP) | F.col("base"), F.lit(True)).cast("int"))
-    lines = lines.withColumn("span", F.sum("begins").over(order))
-    spans = lines.groupBy("rid", "doc_id", "n_words", "template", "label", "base", "n_grams", "n_needed", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.size(F.array_distinct(F.flatten(F.collect_list("telling")))).alias("told"), F.min("diagonal").alias("start")
-    )
-    share = F.col("found") / F.col("n_grams")
-    stands = F.col("base") & (F.col("found") == F.col("n_grams"))
-    verified = stands | (~F.col("base") & (F.col("n_grams") > 0) & (share >= COVERAGE) & (F.col("told") == F.col("n_needed")))
-    return spans.groupBy("rid", "doc_id", "n_words").agg(
-        F.sum(stands.cast("long")).alias("n_base"),
-        F.min(F.when(stands, F.col("start").cast("long"))).alias("first_word"),
-        F.max(F.when(stands, F.col("start").cast("long"))).alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(stands, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(verified, F.col("label")))), ",").alias("labels"),
-        F.max(F.when(F.col("n_grams") > 0, F.when(stands, 1.0).when(~F.col("base"), share).otherwise(0.0)).otherwise(0.0)).alias("score"),
-    ).select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    judged = _verdict(_bands(docs))
+    return judged.groupBy("rid", "doc_id").agg(
+        F.max("n_words").cast("long").alias("n_words"),
+        F.sum(F.col("stands").cast("long")).alias("n_base"),
+        F.min(F.when(F.col("stands"), F.col("diagonal").cast("long"))).alias("first_word"),
+        F.max(F.when(F.col("stands"), F.col("diagonal").cast("long"))).alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("stands"), F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("verified"), F.col("label")))), ",").alias("labels"),
+        F.max("share").alias("score"),
+    ).drop("rid")

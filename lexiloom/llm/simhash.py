@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.components import connected_components
@@ -138,20 +140,27 @@ def _triples(bits: int):
     """For members of a bucket over the bound: the whole fingerprint with each
     choice of ``bits`` of its 33 free bits wiped. Sharing one is the same as
     differing in at most so many bits, so no pair is compared."""
-    from itertools import combinations
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, fp in zip(batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64), strict=True):
-                tag = int(key) >> 32
-                half, bit = divmod(tag, 32)
-                free = [32 * half + bit, *range(32 * (1 - half), 32 * (1 - half) + 32)]
-                masks = np.array([sum(1 << i for i in c) for c in combinations(free, bits)], np.uint64)
-                yield pd.DataFrame({"mask": masks.view(np.int64), "rest": (fp & ~masks).view(np.int64), "fp": np.full(len(masks), fp.view(np.int64))})
+            key, fp = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
+            for tag in np.unique(key >> 32).tolist():
+                mine = fp[key >> 32 == tag]
+                masks = _masks(int(tag), bits)
+                for at in range(0, len(mine), 64):
+                    part = mine[at : at + 64]
+                    yield pd.DataFrame({"mask": np.tile(masks.view(np.int64), len(part)), "rest": (part[:, None] & ~masks[None, :]).ravel().view(np.int64), "fp": np.repeat(part.view(np.int64), len(masks))})
 
     return run
 
 
+@lru_cache(maxsize=64)
+def _masks(tag: int, bits: int) -> np.ndarray:
+    """All choices of ``bits`` of the bits that are free in a bucket whose variant has bit ``tag`` wiped."""
+    half, bit = divmod(tag, 32)
+    free = [32 * half + bit, *range(32 * (1 - half), 32 * (1 - half) + 32)]
+    return np.array([sum(1 << i for i in c) for c in combinations(free, bits)], np.uint64)
+
+
 def similar_links(prints: DataFrame, bits: int = 3, dense: int = DENSE) -> DataFrame:
     """Distinct fingerprints (fp long) -> (a, b) links that connect exactly what
     differs in at most ``bits`` (3) bits.
@@ -204,9 +213,16 @@ def near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
 
 def deduplicate(docs: DataFrame, bits: int = 3) -> DataFrame:
     """One row of each component of ``near_duplicates``, all columns: that of
-    the least doc_id (nulls last), then of the least hash of its text."""
+    the least doc_id (nulls last), then of the least hash of its text, then of
+    the least hash of its other columns; rows alike in all of them are one.
+
+    Null and wordless texts are one component, of which one row stays; columns
+    of any names and types are kept; an empty table gives an empty table."""
     prints, rooted = _rooted(docs, bits)
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     keep = prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(last.alias("__lex_id"), F.col("text_hash").alias("__lex_hash"))).alias("k"))
+    others = F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
     keyed = docs.withColumns({"__lex_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__lex_hash": F.xxhash64("text")})
-    return keyed.join(keep.select("k.__lex_id", "k.__lex_hash").distinct(), ["__lex_id", "__lex_hash"]).dropDuplicates(["__lex_id", "__lex_hash"]).select(*docs.columns)
+    met = keyed.join(keep.select("k.__lex_id", "k.__lex_hash").distinct(), ["__lex_id", "__lex_hash"])
+    first = Window.partitionBy("__lex_id", "__lex_hash").orderBy("__lex_others")
+    return met.withColumn("__lex_others", others).withColumn("__lex_n", F.row_number().over(first)).where("__lex_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
