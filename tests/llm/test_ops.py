@@ -10,10 +10,12 @@ from collections import Counter
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import decontamination, language_id, licenses, packing, pitman_yor, quality_model, quality_rules, simhash, substrings, warc
+from lexiloom.llm import decontamination, language_id, licenses, packing, pitman_yor, quality_model, quality_rules, simhash, substrings, textbytes, warc
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
@@ -59,30 +61,102 @@ def test_op1(docs, none):
         sums[i] = sum(np.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*re.findall(SPACE, lowered(t)), None])
     assert len(got) == len(ROWS)
     for r in got:
+        text = next(t for i, t, *_ in ROWS if i == r["doc_id"])
+        words = [*re.findall(SPACE, lowered(text)), None]
         assert r["base_score"] == pytest.approx(sums[r["doc_id"]], rel=1e-9) and r["train_tokens"] == n and r["score"] < 0
+        assert (r["n_tokens"], r["n_known"], r["held_out"]) == (len(words), sum(train[w] > 0 for w in words), r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
     assert pitman_yor.score_texts(none).count() == 0
 
 
-def test_op1_is_a_distribution():
-    """Over the vocabulary and one unknown word, probabilities after a context sum to 1."""
-    words = np.arange(1, 9, dtype=np.uint64)
-    plan = pitman_yor.Plan(1, 100, 8, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0.6, 0.4)
-    blob = pitman_yor.pack(words, np.full(8, 2, np.uint32), np.array([3, 5], np.uint64), np.tile([0, 1], 8).astype(np.uint16), np.array([pitman_yor.TRAINED] * 12 + [0] * 4, np.uint16))
-    bucket = pitman_yor.Bucket(plan, 0, [0], [blob])
-    score, _ = bucket.scores(bucket.sums())
-    seen = bucket.by_context(10**score)
-    assert np.all(seen < 1)
-    unseen = []
-    sums = bucket.sums()
-    for u in range(2):
-        left = 0.0
-        for s in range(pitman_yor.SAMPLES):
-            whole = plan.strength + sums[-2, 1 + s]
-            rest = (plan.strength + plan.root_discount * sums[-1, 1 + s]) / whole
-            left += (plan.strength + plan.discount * sums[u, 1 + s]) / (plan.strength + sums[u, 0]) * rest / 9
-        unseen.append(left / pitman_yor.SAMPLES)
-    assert seen + unseen == pytest.approx([1.0, 1.0])
+def dealt(texts, plan):
+    """Blobs of texts by bucket, as the dealing task makes them."""
+    batch = pa.record_batch([pa.array(texts), pa.array(range(len(texts))), pa.array([False] * len(texts))], names=["text", "doc_id", "held_out"])
+    out = {}
+    for some in pitman_yor.tokens(iter([batch])):
+        for b, blob in pitman_yor.dealt_run(some, plan):
+            out.setdefault(b, []).append(blob)
+    return out
+
+
+def summed(plan, buckets):
+    """(answers of each bucket, totals) as the owners' tasks give them."""
+    asked = pa.Table.from_pylist([{"owner": o, "bucket": b, "blob": blob} for x in buckets for o, b, blob in pitman_yor.asked_rows(plan, x)])
+    shared, answers, totals = type("", (), {"value": plan}), {}, 0
+    for o in set(asked["owner"].to_pylist()):
+        mine = asked.filter(pa.compute.equal(asked["owner"], o))
+        totals = totals + np.array(pitman_yor._rooted(shared)(mine)["totals"][0].as_py())
+        for r in pitman_yor._answered(shared)(mine).to_pylist():
+            answers.setdefault(r["bucket"], {})[o] = r["blob"]
+    return answers, totals
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_op1_is_a_distribution(parts):
+    """After any context, probabilities of all words and of the unknown one sum to 1,
+    at each level and over buckets, also where a word's followers are dealt in parts."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 13), k=rng.randint(1, 30))) for _ in range(60)]
+    every = [f"{x} {v} {w}" for x in words[-3:] for v in words for w in words]  # every word after some contexts
+    hot = np.sort(np.array([textbytes.word_hashes(np.frombuffer(b"w11", np.uint8), np.array([0, 3]))[0][0]]))
+    plan = pitman_yor.Plan(4, 1000, 13, hot if parts > 1 else hot[:0], np.array([parts] if parts > 1 else [], np.int64), (0.3, 0.5, 0.7))
+    buckets = [pitman_yor.Bucket(plan, b, list(range(len(blobs))), blobs) for b, blobs in dealt([*texts, *every], plan).items()]
+    answers, totals = summed(plan, buckets)
+    after, roots = {}, {}
+    for x in buckets:
+        list(pitman_yor.scored_rows(plan, x, sorted(answers[x.number].items()), totals))
+        owner = plan.owner(x.keys(), plan.owners)
+        sums, order = np.zeros((len(owner), 7), np.int64), np.argsort(owner, kind="stable")
+        for o, blob in answers[x.number].items():
+            sums[order[owner[order] == o]] = np.column_stack(pitman_yor.unpack(blob))
+        again = pitman_yor.Bucket(plan, x.number, list(range(len(dealt([*texts, *every], plan)[x.number]))), dealt([*texts, *every], plan)[x.number], x.seats())
+        score = x.scores(sums[:, :4], sums[:, 4:], totals)[0]
+        assert np.array_equal(score, again.scores(sums[:, :4], sums[:, 4:], totals)[0])
+        for t, p in enumerate(10**score):
+            c = x.context[t]
+            key = (x.names[x.context_further[c]], x.names[x.context_before[c]])
+            after.setdefault(key, {})[x.names[x.word[x.pair[t]]]] = p
+        dishes = x.shared()[0]
+        for d, one in zip(x.names[dishes], sums, strict=False):
+            roots[d] = one
+    whole = sum((np.concatenate([r[1:4], r[4:7]]) for r in roots.values()), np.zeros(6))
+    assert np.array_equal(whole, totals) and len(roots) == 13 and all((r[1:4] >= r[4:7]).all() for r in roots.values())
+    full = [sum(p.values()) for p in after.values() if len(p) == 13]
+    assert len(full) >= 36 and min(full) > 0.999 and max(sum(p.values()) for p in after.values()) < 1  # the rest is the unknown word's
+
+
+def test_op1_sends_no_more_rows_than_tokens():
+    """Rows that are sent grow with the tokens, not with buckets times runs or owners."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    for buckets in (200, 400):
+        plan = pitman_yor.Plan(buckets, 10**6, 3000, np.zeros(0, np.uint64), np.zeros(0, np.int64), (0.3, 0.5, 0.7))
+        texts = [[" ".join(rng.choices(words, k=100))] for _ in range(buckets // 2)]
+        blobs = {}
+        for t in texts:
+            for b, some in dealt(t, plan).items():
+                blobs.setdefault(b, []).extend(some)
+        n = 101 * len(texts)
+        made = [pitman_yor.Bucket(plan, b, list(range(len(x))), x) for b, x in blobs.items()]
+        assert sum(map(len, blobs.values())) <= n and sum(len(list(pitman_yor.asked_rows(plan, x))) for x in made) <= sum(len(x.keys()) for x in made) <= n
+        assert plan.owners == buckets // 8
+
+
+def test_op1_gibbs_sweeps_keep_parties():
+    """Customers stay with their dish; tables settle where the exact sampler of one restaurant has them."""
+    rng = np.random.default_rng(1)
+    customers, new = np.array([1, 2, 5, 40, 300]), np.array([0.5, 0.5, 2.0, 1.0, 1.0])
+    seats = pitman_yor.Seats.first(customers, np.ones(5, np.int64))
+    seen = []
+    for i in range(300):
+        seats.sweep(rng, new, 0.5)
+        assert np.array_equal(np.bincount(seats.party, weights=seats.size, minlength=5), customers) and (seats.size > 0).all() and (np.diff(seats.party) >= 0).all()
+        if i >= 50:
+            seen.append(seats.tables())
+    assert np.mean(seen, axis=0)[1] == pytest.approx(1 + 0.5 / (0.5 + 0.5), abs=0.1)
+    seats.match(rng, np.array([3, 1, 9, 40, 290]), new, 0.5)
+    assert seats.customers.tolist() == [3, 1, 9, 40, 290] == np.bincount(seats.party, weights=seats.size, minlength=5).tolist()
 
 
 def base_scan(text):
