@@ -18,11 +18,14 @@ INTENTS = [
 ]
 CLAUSES = "[，,；;、和与及或以]"
 CODE = r"[.\[\](){}\-><_]"
-WORD = r"[\p{L}\p{N}]+"
+#: A Chinese character, or a run of other letters and digits.
+WORD = r"[一-鿿]|[\p{L}\p{N}&&[^一-鿿]]+"
+LAW = r"(?:中华人民共和国)?[一-鿿]{2,20}(?:法|条例|规定|办法|决定|意见|通知|细则|准则|通则|方案|标准)(?:（[^）]+）)?"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
+    """Lower-cased runs of letters and digits; Chinese characters singly, as no
+    blank parts their words."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
@@ -94,11 +97,85 @@ def greedy_distinct(variants: Column, threshold: float = 0.7) -> Column:
     )
 
 
+def law_names(text: Column) -> Column:
+    """Names of laws and other rules: a Chinese name with its kind, and what stands in brackets after it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(LAW), F.lit(0)))
+
+
+def query_variants(reply: Column, most: int = 3) -> Column:
+    """A rewriter's reply, a variant each line: numbering and marks in front are dropped, blank lines too."""
+    lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:\d+[.)、]\s*|[-*•]\s*)", "")))
+    return F.slice(F.filter(lines, lambda x: x != ""), 1, most)
+
+
+def entity_lines(reply: Column) -> Column:
+    """Entities of a reply's lines ``(entity|name|type|description)``."""
+    return _lines(reply, r"\A\(entity\|(.+?)\|(.+?)\|(.+?)\)", ["name", "type", "description"])
+
+
+def relation_lines(reply: Column) -> Column:
+    """Relations of a reply's lines ``(relation|source|target|description)``, with
+    weight and keywords (parted by ;) where they are told, else 1 and none."""
+    full = _lines(reply, r"\A\(relation\|(.+?)\|(.+?)\|([^|]+?)(?:\|(\d+)\|(.+?))?\)", ["source", "target", "description", "weight", "keywords"])
+
+    def one(x: Column) -> Column:
+        words = F.filter(F.transform(F.split(x["keywords"], ";"), lambda k: F.trim(k)), lambda k: k != "")
+        return F.struct(x["source"].alias("source"), x["target"].alias("target"), x["description"].alias("description"), F.coalesce(x["weight"].try_cast("int"), F.lit(1)).alias("weight"), words.alias("keywords"))
+
+    return F.transform(full, one)
+
+
+def _lines(reply: Column, pattern: str, names: list[str]) -> Column:
+    lines = F.filter(F.transform(F.split(reply, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(pattern))
+    return F.transform(lines, lambda x: F.struct(*(F.trim(F.regexp_extract(x, pattern, i + 1)).alias(n) for i, n in enumerate(names))))
+
+
+def positive_counts(reply: Column) -> Column:
+    """A reply's JSON object of tags and counts, those over 0; empty where it is none."""
+    found = F.coalesce(lenient_json(reply, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    numbers = F.transform_values(found, lambda k, v: F.coalesce(v.try_cast("double").try_cast("int"), F.lit(0)))
+    return F.map_filter(numbers, lambda k, v: v > 0)
+
+
+def disclaimer(risk: Column, unsupported: Column, most: int = 3, length: int = 50) -> Column:
+    """What is put under an answer: nothing at low risk; at high risk the first
+    unsupported claims too, cut short."""
+    shown = F.transform(F.slice(unsupported, 1, most), lambda x: F.concat(F.lit("- "), F.when(F.char_length(x) > length, F.concat(F.left(x, F.lit(length)), F.lit("..."))).otherwise(x)))
+    high = F.concat(F.lit("⚠️ 该回答可能包含未经文档验证的内容。"), F.when(F.size(shown) > 0, F.concat(F.lit("\n以下内容可能缺乏支撑：\n"), F.array_join(shown, "\n"))).otherwise(""))
+    return F.when(risk == "low", "").when(risk == "medium", "⚠️ 部分内容可能缺乏文档支撑，请谨慎参考。").otherwise(high)
+
+
+def coerced(value: str) -> int | float | bool | str:
+    """A setting as told on a command line: a whole number, a number, true or false, or text."""
+    for kind in (int, float):
+        try:
+            return kind(value)
+        except ValueError:
+            continue
+    return value.lower() == "true" if value.lower() in ("true", "false") else value
+
+
+def expired(at: Column, now: Column, seconds: Column | int) -> Column:
+    """Whether an entry of a time is older than it may be."""
+    return F.coalesce(now.cast("double") - at.cast("double") > seconds, F.lit(True))
+
+
 def citations(answer: Column) -> Column:
     """Distinct cited numbers, in order of their first place."""
     return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"(?:\[来源\s*|\[|【来源\s*|参考\s*)(\d+)"), F.lit(1)), lambda x: x.cast("int")))
 
 
+CITED = r"(?:\[来源\s*|\[|【来源\s*|参考\s*)(\d+)"
+
+
+def citation_marks(answer: Column) -> Column:
+    """(index, marker, position) of each cited number's first place; positions count from 0."""
+    pattern = F.lit(CITED)
+    marks, numbers = F.regexp_extract_all(answer, pattern, F.lit(0)), F.regexp_extract_all(answer, pattern, F.lit(1))
+    pairs = F.transform(F.arrays_zip(marks.alias("m"), numbers.alias("n")), lambda x: F.struct(x["n"].cast("int").alias("index"), x["m"].alias("marker"), (F.instr(answer, x["m"]) - 1).alias("position")))
+    return F.aggregate(pairs, F.array().cast("array<struct<index:int,marker:string,position:int>>"), lambda kept, x: F.when(F.exists(kept, lambda k: k["index"] == x["index"]), kept).otherwise(F.array_append(kept, x)))
+
+
 def keyword_coverage(answer: Column, keywords: Column) -> Column:
     found = F.size(F.filter(keywords, lambda k: F.contains(F.lower(answer), F.lower(k))))
     return F.when(F.size(keywords) == 0, 0.0).otherwise(found / F.size(keywords))
@@ -135,5 +212,8 @@ def split_keywords(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[,，]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def headings(text: Column, most: int = 5) -> Column:
-    return F.slice(F.regexp_extract_all(text, F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1)), 1, most)
+def topics(text: Column, most: int = 5) -> Column:
+    """The first headings of the first three levels, else the first line's first hundred characters."""
+    found = F.transform(F.slice(F.regexp_extract_all(text, F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1)), 1, most), lambda x: F.trim(x))
+    line = F.trim(F.split(F.left(text, F.lit(100)), "\n")[0])
+    return F.when(F.size(found) > 0, found).when(F.trim(text) != "", F.array(line)).otherwise(F.array().cast("array<string>"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def t_test_p(t: float, df: float) -> float:
 
 
 def paired_t(pairs: DataFrame, by: str) -> DataFrame:
-    """(by, a, b) -> mean_a, mean_b, difference, percent, p_value, significant
+    """(by, a, b) -> mean_a, mean_b, difference, percent, t, p_value, significant
     for each ``by``. Equal values everywhere have p 1. The sums are Spark's;
     the p-value is worked out for one row of each metric."""
     agg = pairs.where("a is not null and b is not null").groupBy(by).agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("b") - F.col("a")).alias("difference"), F.stddev_samp(F.col("b") - F.col("a")).alias("sd"), F.count("*").alias("n"))
@@ -76,14 +78,135 @@ def paired_t(pairs: DataFrame, by: str) -> DataFrame:
 
     out = agg.withColumn("p_value", p_value("difference", "sd", "n"))
     percent = F.when(F.col("mean_a") == 0, 0.0).otherwise(100 * F.col("difference") / F.col("mean_a"))
-    return out.select(by, "n", "mean_a", "mean_b", "difference", percent.alias("percent"), "p_value", (F.col("p_value") < 0.05).alias("significant"))
+    return out.select(by, "n", "mean_a", "mean_b", "difference", percent.alias("percent"), F.try_divide(F.col("difference"), F.col("sd") / F.sqrt("n")).alias("t"), "p_value", (F.col("p_value") < 0.05).alias("significant"))
+
+
+def order_statistics(rows: DataFrame, by: str, value: str, at: dict[str, Callable[[Column], Column]], pieces: int = 64) -> DataFrame:
+    """For each ``by`` the values that stand at given places (from 0) of its sorted
+    values, as functions of their number: exact, and no key is sorted whole. Values
+    fall between approximate quantiles; counts tell which piece holds a place, and
+    only there rows are numbered."""
+    rows = rows.where(F.col(value).isNotNull()).select(by, value)
+    cuts = rows.groupBy(by).agg(F.percentile_approx(value, F.array(*(F.lit(i / pieces) for i in range(1, pieces))), 1000).alias("_cuts"))
+    placed = rows.join(F.broadcast(cuts), by).select(by, value, F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_p"))
+    counts = placed.groupBy(by, "_p").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "_n": F.sum("n").over(Window.partitionBy(by))})
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), f(F.col("_n")).cast("long").alias("place")) for name, f in at.items()))
+    asked = counts.select(by, "_p", "_before", "n", F.explode(wanted).alias("w")).where((F.col("w.place") >= F.col("_before")) & (F.col("w.place") < F.col("_before") + F.col("n")))
+    asked = asked.groupBy(by, "_p", "_before").agg(F.collect_list("w").alias("w"))
+    order = Window.partitionBy(by, "_p").orderBy(value)
+    numbered = placed.join(F.broadcast(asked), [by, "_p"]).withColumn("_i", F.row_number().over(order) - 1 + F.col("_before"))
+    met = numbered.select(by, value, "_i", F.explode("w").alias("w")).where(F.col("_i") == F.col("w.place"))
+    return met.groupBy(by).agg(*(F.max(F.when(F.col("w.name") == name, F.col(value))).alias(name) for name in at))
 
 
 def latency_report(events: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, exact linear p50 and p95, and p95 by index int(0.95 n)."""
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = events.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(by))})
-    return ranked.groupBy(by).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.percentile(value, 0.5), 4).alias("p50"), F.round(F.percentile(value, 0.95), 4).alias("p95"),
-        F.round(F.max(F.when(F.col("_i") == F.floor(F.col("_n") * 0.95), F.col(value))), 4).alias("p95_index"), F.round(F.min(value), 4).alias("least"), F.round(F.max(value), 4).alias("most"),
+    """Number, mean, least and most; exact p50 and p95 with linear interpolation;
+    p95, p99 and median by index: int(0.95 n), int(0.99 n), n // 2."""
+
+    def low(q: float) -> Callable[[Column], Column]:
+        return lambda n: F.floor(q * (n - 1))
+
+    def high(q: float) -> Callable[[Column], Column]:
+        return lambda n: F.ceil(q * (n - 1))
+
+    at = {"_l50": low(0.5), "_h50": high(0.5), "_l95": low(0.95), "_h95": high(0.95), "p95_index": lambda n: F.floor(n * 0.95), "p99_index": lambda n: F.floor(n * 0.99), "median_index": lambda n: F.floor(n / 2)}
+    sums = events.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("_mean"), F.min(value).alias("_least"), F.max(value).alias("_most"))
+    joined = sums.join(order_statistics(events, by, value, at), by)
+
+    def linear(q: float, x: str) -> Column:
+        part = q * (F.col("n") - 1)
+        return F.round(F.col(f"_l{x}") + (part - F.floor(part)) * (F.col(f"_h{x}") - F.col(f"_l{x}")), 4)
+
+    return joined.select(
+        by, "n", F.round("_mean", 4).alias("mean"), linear(0.5, "50").alias("p50"), linear(0.95, "95").alias("p95"), *(F.round(x, 4).alias(x) for x in ("p95_index", "p99_index", "median_index")),
+        F.round("_least", 4).alias("least"), F.round("_most", 4).alias("most"),
     )
+
+
+def set_metrics(runs: DataFrame, qrels: DataFrame, samples: DataFrame) -> DataFrame:
+    """(query_id, rank, source), (query_id, source) and (query_id) -> recall,
+    precision, mrr and hit_rate of every sample by sets of sources; null for a
+    sample without relevant ones, so that means leave it out."""
+    relevant = qrels.select("query_id", "source").distinct()
+    size = relevant.groupBy("query_id").agg(F.count("*").alias("m"))
+    first = runs.groupBy("query_id", "source").agg(F.min("rank").alias("rank"))
+    judged = first.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "source"], "left")
+    found = judged.groupBy("query_id").agg(F.count("*").alias("got"), F.count("rel").alias("hits"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"))
+    joined = samples.select("query_id").distinct().join(size, "query_id", "left").join(found, "query_id", "left")
+
+    def value(x: Column) -> Column:
+        return F.when(F.col("m").isNotNull(), F.round(F.coalesce(x, F.lit(0.0)), 6))
+
+    return joined.select("query_id", value(F.col("hits") / F.col("m")).alias("recall"), value(F.col("hits") / F.col("got")).alias("precision"), value(1 / F.col("first")).alias("mrr"), value((F.col("hits") > 0).cast("double")).alias("hit_rate"))
+
+
+def mean_report(results: DataFrame, *metrics: str, by: list[str] | None = None) -> DataFrame:
+    """Means of metrics that are told, and how many samples there are."""
+    return results.groupBy(*(by or [])).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in metrics))
+
+
+def paired_samples(a: DataFrame, b: DataFrame, metrics: list[str], key: str = "query_id") -> DataFrame:
+    """Two runs' results (key, metrics) -> (metric, a, b) of samples that both have."""
+    x = a.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("a")) for m in metrics))).alias("m")).select(key, "m.*")
+    y = b.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("b")) for m in metrics))).alias("m")).select(key, "m.*")
+    return x.join(y, [key, "metric"]).select("metric", "a", "b")
+
+
+def composite(mrr: Column, recall: Column, faithfulness: Column) -> Column:
+    """A configuration's score; faithfulness is told from 1 to 5."""
+    return 0.4 * mrr + 0.3 * recall + 0.3 * faithfulness / 5
+
+
+def config_grid(**values: DataFrame) -> DataFrame:
+    """Every combination of the settings' small tables, one column each."""
+    out = None
+    for name, df in values.items():
+        one = df.select(F.col(df.columns[0]).alias(name)).distinct()
+        out = one if out is None else out.join(F.broadcast(one))
+    return out
+
+
+def best_config(scored: DataFrame, baseline: Column) -> DataFrame:
+    """Configurations (score, ...), the baseline first, then by score; ``best`` marks the highest."""
+    order = Window.orderBy(F.when(baseline, 0).otherwise(1), F.desc("score"), *scored.columns)
+    top = scored.agg(F.max("score").alias("_top"))
+    return scored.withColumn("place", F.row_number().over(order)).join(F.broadcast(top)).withColumn("best", F.col("score") == F.col("_top")).drop("_top")
+
+
+def improvement(base: Column, new: Column) -> Column:
+    """Percent by which ``new`` is more than ``base``; 0 where that is 0."""
+    return F.when(base == 0, 0.0).otherwise(100 * (new - base) / base)
+
+
+def cache_effect(pairs: DataFrame, share: float = 0.5) -> DataFrame:
+    """(cold, hot) latencies of the same queries -> hits (hot under half of cold), rate, means and speedup."""
+    agg = pairs.agg(F.count("*").alias("total"), F.sum((F.col("hot") < share * F.col("cold")).cast("long")).alias("hits"), F.avg("cold").alias("cold_mean"), F.avg("hot").alias("hot_mean"))
+    return agg.withColumns({"hit_rate": F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(0.0), "speedup": F.when(F.col("hot_mean") > 0, F.col("cold_mean") / F.col("hot_mean")).otherwise(0.0)})
+
+
+def throughput(requests: DataFrame, by: str) -> DataFrame:
+    """(by, ts) -> requests a second between a key's first and last."""
+    agg = requests.groupBy(by).agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("us"))
+    return agg.select(by, "n", F.when(F.col("us") > 0, F.col("n") * 1e6 / F.col("us")).otherwise(0.0).alias("per_second"))
+
+
+def chunk_stats(hits: DataFrame) -> DataFrame:
+    """(query_id, text) -> mean number of chunks a query got, and their mean length."""
+    each = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("size"))
+    return each.agg(F.avg("n").alias("avg_chunks_retrieved"), (F.sum("size") / F.sum("n")).alias("avg_chunk_size"))
+
+
+def judge(samples: DataFrame, ask: Callable[[pd.DataFrame], list[str]]) -> DataFrame:
+    """(query_id, question, answer, context) -> faithfulness and relevancy from 1
+    to 5 by a model's replies (JSON); null where a reply doesn't tell."""
+    from lexiloom.functions.text import lenient_json
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"query_id": batch["query_id"], "reply": ask(batch)})
+
+    said = samples.select("query_id", "question", "answer", "context").mapInPandas(run, f"query_id {samples.schema['query_id'].dataType.simpleString()}, reply string")
+    told = said.select("query_id", lenient_json(F.col("reply"), "faithfulness double, relevancy double").alias("r"))
+    return told.select("query_id", *(F.when(F.col(f"r.{x}").between(1, 5), F.col(f"r.{x}")).alias(x) for x in ("faithfulness", "relevancy")))

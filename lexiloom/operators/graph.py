@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import jaccard
+from lexiloom.functions.text import jaccard, law_names
 from lexiloom.session import materialize
 
 # Weights of known predicates; others weigh 0.5.
@@ -42,14 +42,21 @@ def _joined(descriptions: Column) -> Column:
     )
 
 
+def _described(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, description) -> each key's joined descriptions. Equal ones meet
+    before any is gathered, so an array holds a key's distinct texts only."""
+    told = rows.select(*keys, "ord", F.trim(F.coalesce("description", F.lit(""))).alias("d")).where("d != ''").groupBy(*keys, "d").agg(F.min("ord").alias("ord"))
+    gathered = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "d"))).alias("r"))
+    return gathered.select(*keys, _joined(F.col("r.d")).alias("description"))
+
+
 def merge_entities(entities: DataFrame) -> DataFrame:
     """(ord, name, type, description, source_id) -> one row for each name without
     case and outer blanks: first name and type, joined descriptions, sources."""
-    key = F.lower(F.trim("name"))
-    rows = F.array_sort(F.collect_list(F.struct("ord", "name", "type", F.trim(F.coalesce("description", F.lit(""))).alias("d"), "source_id")))
-    grouped = entities.where(key != "").groupBy(key.alias("key")).agg(rows.alias("r"))
-    sources = F.array_sort(F.array_distinct(F.filter(F.col("r.source_id"), lambda x: x.isNotNull() & (x != ""))))
-    return grouped.select("key", F.col("r")[0]["name"].alias("name"), F.col("r")[0]["type"].alias("type"), _joined(F.col("r.d")).alias("description"), sources.alias("source_ids"))
+    keyed = entities.withColumn("key", F.lower(F.trim("name"))).where("key != ''")
+    first = keyed.groupBy("key").agg(F.min_by(F.struct("name", "type"), F.struct("ord", "name", "type")).alias("f"), F.array_sort(F.collect_set(F.when(F.col("source_id") != "", F.col("source_id")))).alias("source_ids"))
+    joined = first.join(_described(keyed, ["key"]), "key", "left")
+    return joined.select("key", "f.name", "f.type", F.coalesce("description", F.lit("")).alias("description"), "source_ids")
 
 
 def merge_relations(relations: DataFrame) -> DataFrame:
@@ -57,9 +64,11 @@ def merge_relations(relations: DataFrame) -> DataFrame:
     unordered pair; rows whose description denies a relation are left out."""
     described = F.lower(F.coalesce("description", F.lit("")))
     kept = relations.where(~F.exists(F.array(*map(F.lit, DENIALS)), lambda p: F.contains(described, p)))
-    rows = F.array_sort(F.collect_list(F.struct("ord", F.trim(F.coalesce("description", F.lit(""))).alias("d"), "keywords")))
-    grouped = kept.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(F.coalesce("weight", F.lit(1))).alias("weight"), rows.alias("r"))
-    return grouped.select("a", "b", "weight", _joined(F.col("r.d")).alias("description"), F.array_sort(F.array_distinct(F.flatten(F.filter(F.col("r.keywords"), lambda x: x.isNotNull())))).alias("keywords"))
+    kept = kept.withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")})
+    sums = kept.groupBy("a", "b").agg(F.sum(F.coalesce("weight", F.lit(1))).alias("weight"))
+    words = kept.select("a", "b", F.explode("keywords").alias("w")).distinct().groupBy("a", "b").agg(F.array_sort(F.collect_list("w")).alias("keywords"))
+    out = sums.join(_described(kept, ["a", "b"]), ["a", "b"], "left").join(words, ["a", "b"], "left")
+    return out.select("a", "b", "weight", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def similar_names(a: Column, b: Column) -> Column:
@@ -75,39 +84,62 @@ def similar_names(a: Column, b: Column) -> Column:
 
 def entity_candidates(entities: DataFrame) -> DataFrame:
     """(name, type) -> pairs a < b of one type with similar names, blocked so
-    that a type never meets as a whole: Latin names share a variant with up to
-    two characters deleted (two edits always do), and Chinese ones a character."""
-    names = entities.select("type", "name").distinct()
-    characters = F.filter(F.split("name", ""), lambda c: c != "")
+    that a type never meets as a whole: names share a variant with up to two
+    characters deleted (two edits always do), or, with Chinese in one of them,
+    one of their rarest characters. Sets that agree to 80 % have four fifths of
+    the larger one in common, so of n characters the n - ceil(0.8 n) + 1 rarest
+    hold a shared one on either side; common characters block nothing."""
+    names = entities.select("type", "name").where("name is not null").distinct()
 
     def deleted(xs: Column) -> Column:
         return F.flatten(F.transform(xs, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1))), lambda i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.char_length(x))))))
 
     once = F.array_distinct(deleted(F.array("name")))
     variants = F.array_distinct(F.concat(F.array("name"), once, deleted(once)))
-    chinese = F.col("name").rlike("[一-鿿]")
-    keyed = names.select("type", "name", F.explode(F.when(chinese, F.transform(F.array_distinct(characters), lambda c: F.concat(F.lit("\u0001"), c))).otherwise(variants)).alias("k"))
-    left, right = keyed.select("type", "k", F.col("name").alias("a")), keyed.select("type", "k", F.col("name").alias("b"))
-    pairs = left.join(right, ["type", "k"]).where("a < b").select("type", "a", "b").distinct()
+    plain = names.where(~F.col("name").rlike("[一-鿿]")).select("type", "name", F.explode(variants).alias("k"))
+    each = names.select("type", "name", F.explode(F.array_distinct(F.filter(F.split("name", ""), lambda c: c != ""))).alias("c"))
+    common = each.groupBy("type", "c").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("type", "name").orderBy("n", "c"))
+    size = F.count("*").over(Window.partitionBy("type", "name"))
+    rare = each.join(common, ["type", "c"]).withColumns({"r": rank, "size": size}).where(F.col("r") <= F.col("size") - F.ceil(F.round(0.8 * F.col("size"), 6)) + 1).select("type", "name", F.concat(F.lit("\u0001"), "c").alias("k"))
+    rare = rare.withColumn("zh", F.col("name").rlike("[一-鿿]"))
+    met = [(plain, plain), (rare.where("zh"), rare)]
+    pairs = [x.select("type", "k", F.col("name").alias("x")).join(y.select("type", "k", F.col("name").alias("y")), ["type", "k"]).where("x != y") for x, y in met]
+    pairs = pairs[0].union(pairs[1]).select("type", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.where(similar_names(F.col("a"), F.col("b")))
 
 
 def resolve_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(query_id, query) and (alias, canonical) -> aliases that stand in a query
-    as whole words: word runs of a query meet the aliases by equality."""
-    words = F.split(F.trim(F.regexp_replace(F.lower("query"), r"[^\p{L}\p{N}]+", " ")), " ")
-    most = aliases.agg(F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1))).first()[0]
-    worded = queries.select("query_id", words.alias("w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(int(most))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    grams = worded.select("query_id", F.explode(F.array_distinct(runs)).alias("alias"))
-    return grams.join(aliases.select(F.lower("alias").alias("alias"), "canonical"), "alias").select("query_id", "alias", "canonical").distinct()
+    """(query_id, query) and (alias, canonical) -> aliases that stand in a query,
+    without case: every run of characters as long as some alias meets the
+    aliases by equality. Where a query begins or ends a run within a word of
+    letters without Chinese, it doesn't stand there."""
+    lowered = aliases.where("alias != ''").select(F.lower("alias").alias("alias"), "canonical").distinct()
+    lengths = [r[0] for r in lowered.select(F.char_length("alias")).distinct().collect()]
+    q = queries.select("query_id", F.lower("query").alias("q"))
+    runs = F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("q") - n + 1, F.lit(1))), lambda i: F.struct(F.substring("q", i, n).alias("alias"), i.alias("i")))))
+    edge = r"[\p{L}\p{N}&&[^一-鿿]]"
+    found = q.select("query_id", "q", F.explode(runs).alias("r")).select("query_id", "q", "r.*").join(lowered, "alias")
+    before, after = F.substring("q", F.col("i") - 1, F.lit(1)), F.substring("q", F.col("i") + F.char_length("alias"), F.lit(1))
+    starts = (F.col("i") == 1) | ~(before.rlike(edge) & F.col("alias").rlike(rf"\A{edge}"))
+    ends = ~(after.rlike(edge) & F.col("alias").rlike(rf"{edge}\z"))
+    return found.where(starts & ends).select("query_id", "alias", "canonical").distinct()
+
+
+def resolve_entities(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(query_id, query) -> (query_id, name): canonical names of the aliases in a
+    query, and of the laws it names, or these names themselves."""
+    known = resolve_aliases(queries, aliases).select("query_id", F.col("canonical").alias("name"))
+    laws = queries.select("query_id", F.explode(law_names(F.col("query"))).alias("law"))
+    named = laws.join(aliases.select(F.col("alias").alias("law"), "canonical"), "law", "left").select("query_id", F.coalesce("canonical", "law").alias("name"))
+    return known.union(named).distinct()
 
 
 def expand_paths(starts: DataFrame, edges: DataFrame, hops: int = 3, least_weight: float = 0.1) -> DataFrame:
     """(name) and (source, target, weight) -> (start, target, score, hops): the
-    best product of weights over directed paths of at most ``hops`` edges. As
-    weights are at most 1, only the best way to each end goes on, and ways
-    under ``least_weight`` end."""
+    best product of weights over directed paths of at most ``hops`` edges, and
+    the edges of the shortest path that has it. As weights are at most 1, only
+    the best way to each end goes on, and ways under ``least_weight`` end."""
     front = starts.select(F.col("name").alias("start"), F.col("name").alias("at"), F.lit(1.0).alias("score"))
     found = None
     for hop in range(1, hops + 1):
@@ -115,8 +147,99 @@ def expand_paths(starts: DataFrame, edges: DataFrame, hops: int = 3, least_weigh
         front = front.where(F.col("score") >= least_weight).groupBy("start", "at").agg(F.max("score").alias("score"))
         step = front.where("start != at").withColumn("hops", F.lit(hop))
         found = step if found is None else found.union(step)
-    best = found.groupBy("start", F.col("at").alias("target")).agg(F.max("score").alias("score"), F.min("hops").alias("hops"))
-    return best
+    best = found.groupBy("start", F.col("at").alias("target")).agg(F.max(F.struct("score", (-F.col("hops")).alias("h"))).alias("b"))
+    return best.select("start", "target", "b.score", (-F.col("b.h")).alias("hops"))
+
+
+def n_hop_paths(starts: DataFrame, edges: DataFrame, hops: int = 2, k: int = 50) -> DataFrame:
+    """(name) and (source, target, description) -> (start, path_text, hops): the
+    ``k`` first directed paths of every start by length and text, none using an
+    edge twice nor ending where it began."""
+    step = edges.select(F.col("source").alias("at"), F.col("target").alias("to"), F.coalesce("description", F.lit("related")).alias("d"))
+    front = starts.select(F.col("name").alias("start"), F.col("name").alias("at"), F.array().cast("array<string>").alias("used"), F.col("name").cast("string").alias("path_text"))
+    order = Window.partitionBy("start").orderBy("hops", "path_text")
+    found = None
+    for hop in range(1, hops + 1):
+        edge = F.concat_ws("\u0001", "at", "d", "to")
+        front = front.join(step, "at").where(~F.array_contains("used", edge)).select("start", F.col("to").alias("at"), F.array_append("used", edge).alias("used"), F.concat("path_text", F.lit(" →("), "d", F.lit(")→ "), F.col("to").cast("string")).alias("path_text"))
+        done = front.where("start != at").select("start", "path_text", F.lit(hop).alias("hops"))
+        found = done if found is None else found.union(done)
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+
+
+def touching_edges(edges: DataFrame, nodes: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` heaviest edges (source, target, weight) with an end among ``nodes`` (name)."""
+    ends = [edges.join(nodes.select(F.col("name").alias(end)).distinct(), end, "left_semi").select(*edges.columns) for end in ("source", "target")]
+    return ends[0].union(ends[1]).distinct().orderBy(F.coalesce("weight", F.lit(1)).desc(), "source", "target").limit(k)
+
+
+def search_entities(entities: DataFrame, names: list[str], types: list[str], k: int = 10) -> DataFrame:
+    """Entities (name, type, pagerank) whose name contains one of ``names`` (any
+    if none is given) and whose type is among ``types``, by rank; a missing rank is 0.001."""
+    named = F.exists(F.array(*map(F.lit, names)), lambda x: F.contains(F.col("name"), x)) if names else F.lit(True)
+    typed = F.col("type").isin(types) if types else F.lit(True)
+    return ranked_entities(entities.where(named & typed), k)
+
+
+def ranked_entities(entities: DataFrame, k: int) -> DataFrame:
+    ranked = entities.withColumn("pagerank", F.coalesce("pagerank", F.lit(0.001)))
+    return ranked.orderBy(F.desc("pagerank"), "name").limit(k)
+
+
+def visual_graph(entities: DataFrame, edges: DataFrame, k: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` entities of the highest rank, and the edges among them."""
+    nodes = ranked_entities(entities, k)
+    return nodes, induced_edges(edges, nodes)
+
+
+def graph_stats(entities: DataFrame, relations: DataFrame, communities: DataFrame) -> DataFrame:
+    """(kind, n) of entities, relations and communities."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, df in (("entities", entities), ("relations", relations), ("communities", communities))]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+def community_weights(members: DataFrame) -> DataFrame:
+    """(node, community) -> (community, weight): how many members each has."""
+    return members.groupBy("community").agg(F.count("*").alias("weight"))
+
+
+def community_reports(members: DataFrame, reports: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
+    """Reports (community, report, weight) of the communities that ``nodes`` are
+    in, the ``k`` heaviest."""
+    mine = members.join(nodes.select(F.col("name").alias("node")), "node", "left_semi").select("community").distinct()
+    return reports.join(mine, "community", "left_semi").orderBy(F.desc("weight"), "community").limit(k)
+
+
+def graph_context(queries: DataFrame, entities: DataFrame, relations: DataFrame, paths: DataFrame, reports: DataFrame, most_paths: int = 5) -> DataFrame:
+    """One text for each query of what a graph tells: entities (query_id, name,
+    type, description, pagerank), relations (query_id, source, target,
+    description, weight), the first paths (query_id, path_text) and community
+    reports (query_id, report), each kind under its heading if there is any."""
+    e = entities.select("query_id", F.lit(0).alias("part"), F.format_string("- **%s** (%s): %s [重要性: %.3f]", "name", F.coalesce("type", F.lit("")), F.coalesce("description", F.lit("")), F.coalesce("pagerank", F.lit(0.0))).alias("t"))
+    r = relations.select("query_id", F.lit(1).alias("part"), F.format_string("- %s → %s: %s (权重: %s)", "source", "target", F.coalesce("description", F.lit("")), F.coalesce("weight", F.lit(1)).cast("string")).alias("t"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("path_text"))
+    p = paths.withColumn("n", first).where(F.col("n") <= most_paths).select("query_id", F.lit(2).alias("part"), F.concat(F.lit("- "), "path_text").alias("t"))
+    c = reports.select("query_id", F.lit(3).alias("part"), F.concat(F.lit("- "), "report").alias("t"))
+    parts = e.union(r).union(p).union(c).groupBy("query_id", "part").agg(F.array_join(F.array_sort(F.collect_list("t")), "\n").alias("t"))
+    heading = F.get(F.array(*(F.lit(f"## 知识图谱 - {x}\n") for x in ("相关实体", "相关关系", "关联路径", "社区报告"))), F.col("part"))
+    joined = parts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("part", F.concat(heading, "t").alias("t")))).alias("p"))
+    return queries.select("query_id").join(joined.select("query_id", F.array_join(F.col("p.t"), "\n\n").alias("context")), "query_id", "left")
+
+
+def ingest(chunks: DataFrame) -> dict[str, DataFrame]:
+    """Extraction results (source, chunk_id, entities array<struct<name, type,
+    aliases>>, relations array<struct<subject, predicate, object>>) -> tables
+    documents, entities, aliases, mentions and relates, one row for each natural
+    key; a relation weighs what its predicate does."""
+    e = chunks.select("source", "chunk_id", F.explode("entities").alias("e")).select("source", "chunk_id", "e.*").where("name != ''")
+    r = chunks.select("chunk_id", F.explode("relations").alias("r")).select("chunk_id", "r.*")
+    return {
+        "documents": chunks.groupBy("source").agg(F.countDistinct("chunk_id").alias("chunk_count")),
+        "entities": e.groupBy("name").agg(F.min_by("type", F.struct("chunk_id", "type")).alias("type")),
+        "aliases": e.select(F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name"))).alias("alias"), F.col("name").alias("canonical")).where("alias != canonical").groupBy("alias").agg(F.min("canonical").alias("canonical")),
+        "mentions": e.select("name", "chunk_id", "source").distinct(),
+        "relates": r.groupBy(F.col("subject").alias("source"), "predicate", F.col("object").alias("target")).agg(F.min("chunk_id").alias("chunk_id")).withColumn("weight", predicate_weight(F.col("predicate"))),
+    }
 
 
 def bridge_chunks(scored: DataFrame, mentions: DataFrame, k: int = 20) -> DataFrame:
@@ -128,18 +251,20 @@ def bridge_chunks(scored: DataFrame, mentions: DataFrame, k: int = 20) -> DataFr
 
 def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
     """(a, b) undirected -> (node, rank). Nodes without edges don't occur, so no
-    mass dangles. Each round joins ranks with degrees already on the edges and
-    sums partially; a hub's edges are spread over tasks by Spark's skew join."""
+    mass dangles. Links are written once with their degrees and shuffled by
+    node once: every round's join reads that exchange again, and sums leave
+    ranks parted by node as the next round needs them. Ranks are written every
+    tenth round."""
     both = edges.select("a", "b").where("a != b").union(edges.select("b", "a").where("a != b")).distinct()
     degree = both.groupBy("a").agg(F.count("*").alias("d"))
     links = materialize(both.join(degree, "a"), "pagerank-links")
-    nodes = degree.select(F.col("a").alias("node"))
+    nodes = links.select(F.col("a").alias("node")).distinct()
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(rounds):
-        passed = links.join(ranks, links.a == ranks.node).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") / F.col("d")).alias("s"))
+        passed = links.join(ranks.hint("shuffle_hash"), links.a == ranks.node).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") / F.col("d")).alias("s"))
         ranks = passed.select("node", ((1 - alpha) / max(n, 1) + alpha * F.col("s")).alias("rank"))
-        if i % 5 == 4:
+        if i % 10 == 9 and i + 1 < rounds:
             ranks = materialize(ranks, "pagerank-ranks")
     return ranks
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,36 +12,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import tokens
+from lexiloom.operators.tables import condition
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows; a larger
-    one is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+NO_TERM = ""
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, least_match: float = 0.7) -> DataFrame:
     """(doc_id, text) and (query_id, query) -> (query_id, doc_id, matched, score, rank).
 
-    Only query terms leave the tokenised scan; a document's counts are summed
-    before they meet the queries. A hit matches at least ``least_match`` of the
-    query's distinct terms, rounded down.
+    One pass over the documents: only query terms leave the tokenised scan, and
+    for every document one empty term, whose postings are the number of
+    documents and their lengths. Counts are summed before they meet the queries.
+    A hit matches at least ``least_match`` of the query's distinct terms, rounded
+    down. Which side is broadcast is left to Spark, which knows their sizes.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     needed = wanted.groupBy("query_id").agg(F.floor(F.count("*") * least_match).alias("needed"))
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    postings = sized.select("doc_id", "length", F.explode("terms").alias("term")).join(small(wanted.select("term").distinct()), "term", "left_semi")
-    postings = postings.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(whole)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    weighed = postings.join(small(idf), "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("w"))
-    scored = weighed.join(small(wanted), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.round(F.sum("w"), 6).alias("score"))
-    scored = scored.join(small(needed), "query_id").where(F.col("matched") >= F.col("needed")).drop("needed")
+    every = queries.select(F.lit(NO_TERM).alias("term")).limit(1)
+    sized = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    each = sized.select("doc_id", F.size("terms").alias("length"), F.explode(F.array_append("terms", F.lit(NO_TERM))).alias("term"))
+    postings = each.join(wanted.select("term").union(every).distinct(), "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    whole = df.where(F.col("term") == NO_TERM).select(F.col("df").alias("n"), "mean")
+    idf = df.where(F.col("term") != NO_TERM).drop("mean").join(F.broadcast(whole)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
+    weighed = postings.join(idf, "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("w"))
+    scored = weighed.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.round(F.sum("w"), 6).alias("score"))
+    scored = scored.join(needed, "query_id").where(F.col("matched") >= F.col("needed")).drop("needed")
     return top_k(scored, k)
 
 
@@ -49,25 +49,34 @@ def top_k(scored: DataFrame, k: int, offset: int = 0) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 100_000) -> DataFrame:
     """(doc_id, embedding) and (query_id, embedding) -> (query_id, doc_id, score,
-    rank): exact cosine, queries in blocks of about ``block``. Each task keeps k
-    of its rows for each query; a zero vector scores 0."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
+    rank): exact cosine. Queries are broadcast in blocks of about ``block``, one
+    scan of the vectors each; a task keeps the best k of all its rows for each
+    query. A zero vector scores 0."""
+    blocks = max(1, -(-queries.count() // block))
 
     def search(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, 0), np.int64), np.zeros((0, 0)))] * -(-len(ids) // 2000)
             for batch in batches:
-                if not len(batch) or not len(ids):
+                if not len(batch):
                     continue
                 v = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                score = np.round((q @ v.T) / np.where((x := np.linalg.norm(v, axis=1)) == 0, 1, x), 6)
+                norm = np.linalg.norm(v, axis=1)
                 docs = batch["doc_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(docs, score.shape), -score))[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pd.DataFrame({"query_id": ids[rows], "doc_id": docs[order.ravel()], "score": score[rows, order.ravel()]})
+                for i in range(len(best)):
+                    part = q[2000 * i : 2000 * (i + 1)].astype(np.float64)
+                    score = np.round((part @ v.T) / np.where(norm == 0, 1, norm), 6)
+                    found = np.broadcast_to(docs, score.shape)
+                    if best[i][1].size:
+                        found, score = np.hstack([best[i][0], found]), np.hstack([best[i][1], score])
+                    order = np.lexsort((found, -score))[:, :k]
+                    best[i] = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
+            for i, (found, score) in enumerate(best):
+                if score.size:
+                    yield pd.DataFrame({"query_id": np.repeat(ids[2000 * i : 2000 * (i + 1)], score.shape[1]), "doc_id": found.ravel(), "score": score.ravel()})
 
         return run
 
@@ -137,3 +146,127 @@ def merge_results(first: DataFrame, second: DataFrame, key: Column, k: int) -> D
     order = Window.partitionBy("query_id").orderBy("_from", "rank")
     kept = both.withColumn("_n", F.row_number().over(once)).where("_n = 1")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_n", "_from", "_key")
+
+
+# ---- what stands around a search
+
+
+@dataclass(frozen=True)
+class Search:
+    """A search as data: text and vector queries (query_id, query) and (query_id,
+    embedding), how to fuse them, a filter, an order, and which rows to return."""
+
+    text: DataFrame | None = None
+    dense: DataFrame | None = None
+    method: str = "weighted_sum"
+    weights: tuple[float, float] = (0.3, 0.7)
+    where: dict[str, object] | None = None
+    fields: tuple[str, ...] = ()
+    order: tuple[tuple[str, bool], ...] = ()
+    k: int = 10
+    offset: int = 0
+
+
+def search(rows: DataFrame, asked: Search) -> DataFrame:
+    """Rows (doc_id, text, embedding, ...) as a ``Search`` asks for them. The
+    filter holds for both legs; without a query every row that passes has score
+    1. Multi-key order, then score and doc_id, decides ranks; ``fields`` are
+    joined to the hits."""
+    kept = rows.where(condition(asked.where)) if asked.where else rows
+    reach = asked.k + asked.offset
+    legs = []
+    if asked.text is not None:
+        legs.append((bm25(kept, asked.text, reach), asked.weights[0]))
+    if asked.dense is not None:
+        legs.append((knn(kept, asked.dense, reach), asked.weights[1]))
+    if not legs:
+        hits = kept.select(F.lit(0).cast("long").alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
+    elif len(legs) == 1:
+        hits = legs[0][0].select("query_id", "doc_id", "score")
+    elif asked.method == "rrf":
+        hits = rrf(legs, 1 << 30).drop("rank")
+    else:
+        hits = weighted_sum(legs[0][0], legs[1][0], *asked.weights, 1 << 30).drop("rank")
+    if not asked.order and not asked.fields:
+        return top_k(hits, asked.k, asked.offset)
+    names = list(dict.fromkeys([*asked.fields, *(n for n, _ in asked.order if n not in ("doc_id", "score"))]))
+    met = hits.join(kept.select("doc_id", *names), "doc_id")
+    chain = [F.col(n).asc() if up else F.col(n).desc() for n, up in asked.order]
+    order = Window.partitionBy("query_id").orderBy(*chain, F.desc("score"), "doc_id")
+    ranked = met.withColumn("rank", F.row_number().over(order)).where((F.col("rank") > asked.offset) & (F.col("rank") <= reach))
+    return ranked.select("query_id", "doc_id", "score", *asked.fields, "rank")
+
+
+def graph_candidates(hits: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Hits (query_id, doc_id, score, rank) and what a graph adds (query_id,
+    doc_id, score): those a query has not, behind its own."""
+    new = candidates.dropDuplicates(["query_id", "doc_id"]).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    last = hits.groupBy("query_id").agg(F.max("rank").alias("_last"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    placed = new.join(last, "query_id", "left").withColumn("rank", (F.coalesce("_last", F.lit(0)) + F.row_number().over(order)).cast("int"))
+    return hits.select("query_id", "doc_id", "score", "rank").unionByName(placed.select("query_id", "doc_id", "score", "rank"))
+
+
+def variant_search(docs: DataFrame, variants: DataFrame, k: int = 10, least_match: float = 0.7) -> DataFrame:
+    """(query_id, variant, query): every distinct variant of a query is searched,
+    and its ranked lists are fused by reciprocal rank."""
+    once = variants.dropDuplicates(["query_id", "query"]).withColumn("_v", F.struct("query_id", "variant"))
+    hits = bm25(docs, once.select(F.col("_v").alias("query_id"), "query"), k, least_match)
+    fused = hits.select(F.col("query_id.query_id").alias("query_id"), "doc_id", (1 / (RRF_K + F.col("rank"))).alias("s"))
+    return top_k(fused.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 8).alias("score")), k)
+
+
+def rerank(hits: DataFrame, score: Callable[[pd.DataFrame], pd.Series], k: int) -> DataFrame:
+    """Hits (query_id, query, doc_id, text) by a scorer of query and text batches,
+    such as a cross-encoder. Equal pairs are scored once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(score=np.asarray(score(batch), float))[["query", "text", "score"]]
+
+    scored = hits.select("query", "text").distinct().mapInPandas(run, "query string, text string, score double")
+    return top_k(hits.select("query_id", "query", "doc_id", "text").join(scored, ["query", "text"]).select("query_id", "doc_id", F.round("score", 6).alias("score")), k)
+
+
+def word_overlap(batch: pd.DataFrame) -> pd.Series:
+    """A scorer that needs no model: the share of a query's words that a text has."""
+    words = [set(re.findall(r"\w+", q.lower())) for q in batch["query"]]
+    return pd.Series([len(w & set(re.findall(r"\w+", t.lower()))) / max(1, len(w)) for w, t in zip(words, batch["text"], strict=True)], dtype=float)
+
+
+def rerank_by(strategy: str, scorers: dict[str, Callable[[pd.DataFrame], pd.Series]], hits: DataFrame, k: int, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
+    """A strategy by name: one scorer, or ``hybrid`` of the first two, blended by
+    document. With one scorer left hybrid is that one; without any, or for an
+    unknown name, hits keep their order (query_id, doc_id, score, rank)."""
+    if strategy == "hybrid" and len(scorers) >= 2:
+        a, b = list(scorers.values())[:2]
+        return blend(rerank(hits, a, 1 << 30), rerank(hits, b, 1 << 30), *weights).where(F.col("rank") <= k)
+    chosen = scorers.get(strategy) or (next(iter(scorers.values()), None) if strategy == "hybrid" else None)
+    if chosen is None:
+        return hits.select("query_id", "doc_id", "score", "rank").where(F.col("rank") <= k)
+    return rerank(hits, chosen, k)
+
+
+def embed(texts: DataFrame, encode: Callable[[list[str]], np.ndarray], most: int = 8192, batch: int = 64) -> DataFrame:
+    """(text) -> (text, embedding) for each distinct text, by an encoder of
+    batches; texts are cut to ``most`` characters for the model, vectors have length 1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for at in range(0, len(frame), batch):
+                part = frame["text"].iloc[at : at + batch]
+                v = np.asarray(encode([t[:most] for t in part]), float)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                yield pd.DataFrame({"text": part.to_numpy(), "embedding": list((v / np.where(norm == 0, 1, norm)).astype(np.float32))})
+
+    return texts.select("text").where("text is not null").distinct().mapInPandas(run, "text string, embedding array<float>")
+
+
+def refetch(hits: DataFrame, again: Callable[[DataFrame], DataFrame], threshold: float = 0.6, least_docs: int = 3) -> DataFrame:
+    """Hits (query_id, doc_id, score, rank) of a first search; queries of too
+    little confidence are searched once more by ``again``, which gets (query_id,
+    suggested_top_k), and both results are merged, the first one's in front."""
+    unsure = confidence(hits, threshold, least_docs).where("needs_refetch").select("query_id", "suggested_top_k")
+    second = again(unsure).select("query_id", "doc_id", "score", "rank")
+    both = merge_results(hits.select("query_id", "doc_id", "score", "rank"), second, F.col("doc_id"), 1 << 30)
+    return both.join(unsure, "query_id", "left").where(F.col("rank") <= F.coalesce("suggested_top_k", F.lit(1 << 30))).drop("suggested_top_k")

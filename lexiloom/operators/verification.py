@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +13,12 @@ def claim_support(answers: DataFrame, contexts: DataFrame, least: float = 0.3) -
     """(answer_id, answer) and (answer_id, text) -> claims (sentences of over 5
     characters with words of two letters), how many are supported (over 30 %
     of their words stand in a context) and their share."""
-    joined = contexts.groupBy("answer_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("all"))
     sentences = answers.select("answer_id", F.explode(F.split("answer", r"[。！？\n]")).alias("s")).select("answer_id", F.trim("s").alias("s")).where(F.char_length("s") > 5)
     words = sentences.withColumn("w", F.array_distinct(F.regexp_extract_all("s", F.lit("[一-龥a-zA-Z0-9]{2,}"), F.lit(0)))).where(F.size("w") > 0)
-    hits = words.join(joined, "answer_id", "left").withColumn("hit", F.size(F.filter("w", lambda x: F.contains(F.coalesce(F.col("all"), F.lit("")), x))) / F.size("w") > least)
+    claims = words.withColumn("claim", F.monotonically_increasing_id())
+    met = claims.select("answer_id", "claim", "w").join(contexts.select("answer_id", "text"), "answer_id").select("claim", F.explode(F.filter("w", lambda x: F.contains(F.col("text"), x))).alias("x"))
+    found = met.distinct().groupBy("claim").agg(F.count("*").alias("n"))
+    hits = claims.join(found, "claim", "left").withColumn("hit", F.coalesce("n", F.lit(0)) / F.size("w") > least)
     return hits.groupBy("answer_id").agg(F.count("*").alias("claims"), F.sum(F.col("hit").cast("long")).alias("supported")).withColumn("support_ratio", F.col("supported") / F.col("claims"))
 
 
@@ -26,15 +31,76 @@ def risk(confidence: Column, support: Column) -> Column:
 
 
 def prompt_context(hits: DataFrame, per_source: int = 2) -> DataFrame:
-    """(query_id, source, rank, text) -> one context for each query: sources by
-    their best rank, two chunks of each."""
+    """(query_id, source, rank, text, and parent_text if there is one) -> one
+    context for each query: sources by their best rank, two chunks of each, a
+    chunk's parent in its place, each parent once."""
+    text = F.coalesce("parent_text", "text") if "parent_text" in hits.columns else F.col("text")
+    once = hits.withColumn("text", text).withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "source", "text").orderBy("rank"))).where("_k = 1")
     w = Window.partitionBy("query_id", "source").orderBy("rank")
-    kept = hits.withColumns({"_n": F.row_number().over(w), "_best": F.min("rank").over(Window.partitionBy("query_id", "source"))}).where(F.col("_n") <= per_source)
+    kept = once.withColumns({"_n": F.row_number().over(w), "_best": F.min("rank").over(Window.partitionBy("query_id", "source"))}).where(F.col("_n") <= per_source)
     part = F.struct("_best", "rank", F.concat(F.lit("["), F.col("source"), F.lit("]\n"), F.col("text")).alias("t"))
     return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("context"))
 
 
+def prompts(questions: DataFrame, contexts: DataFrame, messages: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, conv_id, question), contexts by query and (conv_id, turn, role,
+    text) -> a prompt for each question: history, context, question."""
+    last = last_messages(messages, most)
+    lines = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))).alias("h")).select("conv_id", F.array_join(F.col("h.t"), "\n").alias("history"))
+    joined = questions.join(contexts, "query_id", "left").join(lines, "conv_id", "left")
+    return joined.select("query_id", F.concat_ws("\n\n", F.col("history"), F.col("context"), F.col("question")).alias("prompt"))
+
+
 def last_messages(messages: DataFrame, most: int = 10) -> DataFrame:
     """(conv_id, turn, ...) -> the last ``most`` messages of each conversation."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return messages.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def unsupported_claims(answers: DataFrame, contexts: DataFrame, least: float = 0.3, most: int = 3) -> DataFrame:
+    """The first claims of each answer of which no more than 30 % of the words stand in a context."""
+    sentences = answers.select("answer_id", F.posexplode(F.split("answer", r"[。！？\n]")).alias("i", "s")).select("answer_id", "i", F.trim("s").alias("s")).where(F.char_length("s") > 5)
+    words = sentences.withColumn("w", F.array_distinct(F.regexp_extract_all("s", F.lit("[一-龥a-zA-Z0-9]{2,}"), F.lit(0)))).where(F.size("w") > 0)
+    met = words.join(contexts.select("answer_id", "text"), "answer_id").select("answer_id", "i", F.explode(F.filter("w", lambda x: F.contains(F.col("text"), x))).alias("x"))
+    found = met.distinct().groupBy("answer_id", "i").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("answer_id").orderBy("i")
+    bad = words.join(found, ["answer_id", "i"], "left").where(F.coalesce("n", F.lit(0)) / F.size("w") <= least).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    return bad.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("c")).select("answer_id", F.col("c.s").alias("claims"))
+
+
+def context_coverage(answers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(answer_id, answer) and (answer_id, text) -> an answer's length over its
+    contexts', 1 at most; 0 without any."""
+    size = contexts.groupBy("answer_id").agg(F.sum(F.char_length("text")).alias("n"))
+    share = F.least(F.char_length("answer") / F.col("n"), F.lit(1.0))
+    return answers.join(size, "answer_id", "left").select("answer_id", F.when(F.coalesce("n", F.lit(0)) > 0, F.round(share, 3)).otherwise(0.0).alias("coverage"))
+
+
+def reflect(answers: DataFrame, ask: Callable[[pd.DataFrame], list[str]]) -> DataFrame:
+    """(answer_id, intent_type, question, answer, context): a model's reply (JSON
+    supported, revised) to analytical and exploratory answers; others, and those
+    whose reply can't be read, stay as they are."""
+    from lexiloom.functions.text import lenient_json
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"answer_id": batch["answer_id"], "reply": ask(batch)})
+
+    asked = answers.where(F.col("intent_type").isin("analytical", "exploratory")).select("answer_id", "question", "answer", "context")
+    said = asked.mapInPandas(run, f"answer_id {answers.schema['answer_id'].dataType.simpleString()}, reply string")
+    told = said.select("answer_id", lenient_json(F.col("reply"), "supported boolean, revised string").alias("r"))
+    revised = F.when(~F.col("r.supported") & (F.col("r.revised") != ""), F.col("r.revised"))
+    return answers.join(told, "answer_id", "left").select("answer_id", F.coalesce(revised, "answer").alias("answer"), F.coalesce(~F.col("r.supported"), F.lit(False)).alias("was_revised"))
+
+
+def context_images(contexts: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, rank, region_type, image) -> the first images of each query's figures."""
+    order = Window.partitionBy("query_id").orderBy("rank")
+    kept = contexts.where("region_type = 'figure' and image is not null").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    return kept.select("query_id", "n", "image")
+
+
+def first_sources(hits: DataFrame) -> DataFrame:
+    """(query_id, rank, source) -> each source of a query once, by its first rank."""
+    first = hits.groupBy("query_id", "source").agg(F.min("rank").alias("rank"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "source")))

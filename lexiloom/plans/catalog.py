@@ -38,7 +38,7 @@ def _like(words: str) -> str:
 
 
 CONV = "SELECT conv_id, turn, text FROM conversations"
-TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+TOKENS = r"regexp_extract_all(lower(text), '[一-鿿]|(?:[^\P{L}一-鿿]|\p{N})+')"
 
 # ---- text functions
 
@@ -53,7 +53,7 @@ def non_document_filter(spark, d):
     return table(spark, d, "conversations").where(~T.is_small_talk(F.col("text"))).select("conv_id", "turn")
 
 
-QUESTIONS = "SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN '如何' WHEN 1 THEN '比较' WHEN 2 THEN '全面' WHEN 3 THEN '什么是' WHEN 4 THEN '' ELSE 'a,b,' END || left(text, CAST(5 + turn * 11 AS INTEGER)) AS q FROM conversations"
+QUESTIONS = "SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN '如何' WHEN 1 THEN '比较' WHEN 2 THEN '全面' WHEN 3 THEN '什么是' WHEN 4 THEN '' ELSE 'a,b,' END || text AS q FROM conversations"
 INTENT = "CASE " + " ".join(f"WHEN regexp_matches(trim(q), '{w}') THEN '{n}'" for n, _, w in T.INTENTS) + " WHEN length(trim(q)) <= 15 THEN 'factoid' WHEN regexp_matches(trim(q), '[？?]') THEN 'factoid' ELSE 'analytical' END"
 SURE = "CASE " + " ".join(f"WHEN regexp_matches(trim(q), '{w}') THEN {c}" for _, c, w in T.INTENTS) + " WHEN length(trim(q)) <= 15 THEN 0.7 WHEN regexp_matches(trim(q), '[？?]') THEN 0.65 ELSE 0.6 END"
 COMPLEXITY = f"""CASE WHEN n <= 12 AND c = 0 AND NOT code THEN 'simple' WHEN (n <= 12 AND c = 0) OR (n <= 30 AND c <= 1) THEN 'medium'
@@ -64,7 +64,7 @@ k AS (SELECT conv_id, turn, {INTENT} AS intent_type, CAST({SURE} AS DOUBLE) AS c
 
 def _classified(spark, d):
     head = F.expr("CASE conv_id % 6 WHEN 0 THEN '如何' WHEN 1 THEN '比较' WHEN 2 THEN '全面' WHEN 3 THEN '什么是' WHEN 4 THEN '' ELSE 'a,b,' END")
-    q = table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, F.left("text", F.col("turn") * 11 + 5)).alias("q"))
+    q = table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, "text").alias("q"))
     return q.select("conv_id", "turn", F.inline(F.array(T.intent(F.col("q")))), T.complexity(F.col("q")).alias("complexity"))
 
 
@@ -80,8 +80,10 @@ def route_lookup(spark, d):
 
 @register("tokenize_df", f"SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
 def tokenize_df(spark, d):
-    each = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms = table(spark, d, "documents").select(T.tokens(F.col("text")).alias("w"))
+    once = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
+    every = F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
+    return terms.select(F.inline(F.concat(once, every))).groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
 
 
 @register("jaccard_turns", f"""WITH t AS (SELECT conv_id, turn, list_distinct({TOKENS}) AS w FROM conversations)
@@ -93,10 +95,10 @@ def jaccard_turns(spark, d):
     return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
-@register("citation_extract", "SELECT conv_id, turn, CAST(1 + turn AS INTEGER) AS first_cited, CAST(CASE WHEN turn = 0 THEN 2 ELSE 3 END AS BIGINT) AS n_cited FROM conversations")
+@register("citation_extract", r"""WITH c AS (SELECT conv_id, turn, regexp_extract_all(text || ' so [' || (turn + 1) || '] and [来源 1], 参考 77 and [1]', '(?:\[来源\s*|\[|【来源\s*|参考\s*)(\d+)', 1) AS n FROM conversations)
+SELECT conv_id, turn, CAST(n[1] AS INTEGER) AS first_cited, CAST(len(list_distinct(n)) AS BIGINT) AS n_cited FROM c""")
 def citation_extract(spark, d):
-    answer = F.concat(F.lit("so ["), F.col("turn") + 1, F.lit("] and [来源 1], 参考 77 and [1]"))
-    cited = T.citations(answer)
+    cited = T.citations(F.concat("text", F.lit(" so ["), F.col("turn") + 1, F.lit("] and [来源 1], 参考 77 and [1]")))
     return table(spark, d, "conversations").select("conv_id", "turn", cited[0].alias("first_cited"), F.size(cited).cast("long").alias("n_cited"))
 
 
@@ -114,7 +116,10 @@ def url_filename(spark, d):
     return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("filename"))
 
 
-@register("page_links")
+@register("page_links", r"""WITH f AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s[^>]*href=["'']([^"''#]+)', 1)) AS x, generate_subscripts(regexp_extract_all(html, '<a\s[^>]*href=["'']([^"''#]+)', 1), 1) AS i FROM pages),
+l AS (SELECT page_id, i, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, CASE WHEN regexp_matches(x, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN x WHEN starts_with(x, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || x WHEN starts_with(x, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || x ELSE regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || x END AS link FROM f),
+o AS (SELECT page_id, link, min(i) AS i FROM l WHERE regexp_extract(link, '^[a-z]+://([^/?#:]+)', 1) = host AND NOT regexp_matches(link, '(?i)\.(png|jpe?g|gif|svg|pdf|zip|gz|mp4)$') GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, link FROM o QUALIFY pos < 20""")
 def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(links(F.col("html"), F.col("url"))).alias("pos", "link"))
 
@@ -212,7 +217,7 @@ CAPPED = f"{BM25}, sc AS (SELECT *, row_number() OVER (PARTITION BY query_id, so
 
 @register("source_cap", f"{CAPPED} SELECT query_id, doc_id, source, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM sc WHERE n <= 2")
 def source_cap(spark, d):
-    hits = table(spark, d, "documents").select("doc_id", "source").join(retrieval.small(_hits(spark, d)), "doc_id")
+    hits = table(spark, d, "documents").select("doc_id", "source").join(_hits(spark, d), "doc_id")
     return retrieval.source_cap(hits).select("query_id", "doc_id", "source", "score", "rank")
 
 
@@ -260,10 +265,11 @@ def ir_metrics(spark, d):
     return _metrics(spark, d)
 
 
-@register("metric_aggregate", METRICS + " SELECT CAST(count(*) AS BIGINT) AS n, round(avg(hit_rate), 6) AS hit_rate, round(avg(recall_at_k), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg_at_k), 6) AS ndcg, round(0.4 * avg(mrr) + 0.3 * avg(recall_at_k) + 0.3 * 0.8, 6) AS composite FROM mt")
+@register("metric_aggregate", METRICS + ", f AS (SELECT avg(5 * (1 - l_discount)) AS f FROM lineitem) SELECT CAST(count(*) AS BIGINT) AS n, round(avg(hit_rate), 6) AS hit_rate, round(avg(recall_at_k), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg_at_k), 6) AS ndcg, round(0.4 * avg(mrr) + 0.3 * avg(recall_at_k) + 0.3 * max(f) / 5, 6) AS composite FROM mt, f")
 def metric_aggregate(spark, d):
     mean = {n: F.round(F.avg(c), 6).alias(n) for n, c in (("hit_rate", "hit_rate"), ("recall", "recall_at_k"), ("mrr", "mrr"), ("ndcg", "ndcg_at_k"))}
-    return _metrics(spark, d).agg(F.count("*").alias("n"), *mean.values(), F.round(0.4 * F.avg("mrr") + 0.3 * F.avg("recall_at_k") + 0.3 * 0.8, 6).alias("composite"))
+    faithful = table(spark, d, "lineitem").agg(F.avg(5 * (1 - F.col("l_discount"))).alias("f"))
+    return _metrics(spark, d).join(F.broadcast(faithful)).agg(F.count("*").alias("n"), *mean.values(), F.round(evaluation.composite(F.avg("mrr"), F.avg("recall_at_k"), F.max("f")), 6).alias("composite"))
 
 
 @register("dimension_groupby", "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))")
@@ -284,14 +290,19 @@ def ab_ttest(spark, d):
     return evaluation.paired_t(pairs, "l_returnflag")
 
 
-@register("config_grid", "SELECT CAST(k AS INTEGER) AS top_k, CAST(w AS DOUBLE) AS weight, s AS strategy FROM (VALUES (5), (10), (20)) a(k), (VALUES (0.3), (0.5), (0.7)) b(w), (VALUES ('fixed'), ('recursive')) c(s)")
+@register("ab_t_statistic", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(avg(l_tax), 8) AS mean_a, round(avg(l_discount), 8) AS mean_b, round(avg(l_discount - l_tax), 8) AS difference, round(100 * avg(l_discount - l_tax) / avg(l_tax), 6) AS percent, round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 4) AS t FROM lineitem GROUP BY l_returnflag")
+def ab_t_statistic(spark, d):
+    out = ab_ttest(spark, d)
+    return out.select("l_returnflag", "n", *(F.round(x, 8).alias(x) for x in ("mean_a", "mean_b", "difference")), F.round("percent", 6).alias("percent"), F.round("t", 4).alias("t"))
+
+
+@register("config_grid", "SELECT * FROM (SELECT DISTINCT r_name AS region FROM region), (SELECT DISTINCT o_orderpriority AS priority FROM orders), (SELECT DISTINCT l_returnflag AS flag FROM lineitem)")
 def config_grid(spark, d):
-    rows = [(k, w, s) for k in (5, 10, 20) for w in (0.3, 0.5, 0.7) for s in ("fixed", "recursive")]
-    return spark.createDataFrame(rows, "top_k int, weight double, strategy string")
+    return evaluation.config_grid(region=table(spark, d, "region").select("r_name"), priority=table(spark, d, "orders").select("o_orderpriority"), flag=table(spark, d, "lineitem").select("l_returnflag"))
 
 
 @register("latency_stats", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
-SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(max(CASE WHEN i = floor(n * 0.95) THEN value END), 4) AS p95_index, round(min(value), 4) AS least, round(max(value), 4) AS most FROM r GROUP BY event_type""")
+SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(max(CASE WHEN i = floor(n * 0.95) THEN value END), 4) AS p95_index, round(max(CASE WHEN i = floor(n * 0.99) THEN value END), 4) AS p99_index, round(max(CASE WHEN i = floor(n / 2) THEN value END), 4) AS median_index, round(min(value), 4) AS least, round(max(value), 4) AS most FROM r GROUP BY event_type""")
 def latency_stats(spark, d):
     return evaluation.latency_report(table(spark, d, "events"), "event_type", "value")
 
@@ -320,25 +331,25 @@ def delete_update(spark, d):
     return tables.update_where(tables.delete_where(docs, {"lang": "es", "source": ["src1", "src4"]}), {"source": "src3"}, {"source": "moved"})
 
 
-@register("upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@register("upsert_latest", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events), o AS (SELECT * FROM r WHERE n = 1 AND event_type = 'view'), w AS (SELECT * FROM r WHERE n = 1 AND event_type = 'purchase')
+SELECT user_id, event_id, event_type FROM o WHERE user_id NOT IN (SELECT user_id FROM w) UNION ALL SELECT user_id, event_id, event_type FROM w""")
 def upsert_latest(spark, d):
-    e = table(spark, d, "events")
-    newest = tables.latest(e, ["user_id"], F.desc("ts"), F.desc("event_id"))
-    return tables.upsert(e.where("false"), newest, ["user_id"]).select("user_id", "event_id", "event_type")
+    newest = tables.latest(table(spark, d, "events"), ["user_id", "event_type"], F.desc("ts"), F.desc("event_id"))
+    return tables.upsert(newest.where("event_type = 'view'"), newest.where("event_type = 'purchase'"), ["user_id"]).select("user_id", "event_id", "event_type")
 
 
-@register("change_detection", """WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 != 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE md5(text) END AS h FROM documents WHERE doc_id % 11 != 0)
+@register("change_detection", """WITH a AS (SELECT doc_id, md5(CAST(quality AS VARCHAR)) AS h FROM labels), b AS (SELECT doc_id, md5(CASE WHEN n_chars > 500 THEN '1' ELSE '0' END) AS h FROM documents)
 SELECT doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' WHEN a.h != b.h THEN 'modified' ELSE 'unchanged' END AS state FROM a FULL JOIN b USING (doc_id)""")
 def change_detection(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
-    now = docs.where("doc_id % 11 != 0").withColumn("h", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("h")))
-    return tables.change_detection(docs.where("doc_id % 7 != 0"), now, "doc_id", "h")
+    indexed = table(spark, d, "labels").select("doc_id", F.md5(F.col("quality").cast("string")).alias("h"))
+    now = table(spark, d, "documents").select("doc_id", F.md5(F.when(F.col("n_chars") > 500, "1").otherwise("0")).alias("h"))
+    return tables.change_detection(indexed, now, "doc_id", "h")
 
 
-@register("kb_visibility", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND (c_mktsegment = 'BUILDING' OR c_custkey % 9 = 0)")
+@register("kb_visibility", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND (c_mktsegment = 'BUILDING' OR c_acctbal < 0)")
 def kb_visibility(spark, d):
     mine = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
-    return table(spark, d, "customer").join(mine, "c_nationkey", "left_semi").where("c_mktsegment = 'BUILDING' or c_custkey % 9 = 0").select("c_custkey")
+    return table(spark, d, "customer").join(mine, "c_nationkey", "left_semi").where("c_mktsegment = 'BUILDING' or c_acctbal < 0").select("c_custkey")
 
 
 @register("team_members", "SELECT n_nationkey, n_name, CAST(count(c_custkey) AS BIGINT) AS members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -360,7 +371,7 @@ def last_n_history(spark, d):
 @register("prompt_context", f"""{BM25}, h2 AS (SELECT query_id, source, rank, doc_id, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n, min(rank) OVER (PARTITION BY query_id, source) AS best FROM bm JOIN (SELECT doc_id, source FROM documents) USING (doc_id))
 SELECT query_id, string_agg('[' || source || ']' || chr(10) || doc_id, chr(10) || chr(10) ORDER BY best, rank) AS context FROM h2 WHERE n <= 2 GROUP BY query_id""")
 def prompt_context(spark, d):
-    hits = table(spark, d, "documents").select("doc_id", "source").join(retrieval.small(_hits(spark, d)), "doc_id")
+    hits = table(spark, d, "documents").select("doc_id", "source").join(_hits(spark, d), "doc_id")
     return verification.prompt_context(hits.select("query_id", "source", "rank", F.col("doc_id").cast("string").alias("text")))
 
 
@@ -389,24 +400,30 @@ def chunk_recursive(spark, d):
 
 @register("chunk_parent_child")
 def chunk_parent_child(spark, d):
-    children = chunking.chunk_documents(table(spark, d, "documents"), chunking.parent_child)
-    return children.withColumn("parent", F.floor(F.col("chunk_index") / 4))
+    docs = table(spark, d, "documents")
+    return chunking.with_parents(chunking.chunk_documents(docs, chunking.parent_child), docs)
 
 
-@register("heading_sections")
+@register("heading_sections", r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS x FROM documents), t AS (SELECT doc_id, i, trim(regexp_replace(CASE WHEN i = 1 THEN x ELSE '## ' || x END, '^\s+|\s+$', '', 'g')) AS content FROM l)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS section, content FROM t WHERE content != ''""")
 def heading_sections(spark, d):
     marked = F.regexp_replace("text", "\n", "\n## ")
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.heading_sections(marked)).alias("section", "content"))
 
 
-@register("chunk_semantic_breaks")
+@register("chunk_semantic_breaks", """WITH RECURSIVE v AS (SELECT vec_id // 25 AS doc_id, CAST(vec_id % 25 AS INTEGER) AS pos, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.doc_id, a.pos, list_cosine_similarity(a.e, b.e) AS sim FROM v a LEFT JOIN v b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
+q AS (SELECT doc_id, quantile_cont(sim, 0.25) AS t FROM s GROUP BY doc_id), w AS (SELECT doc_id, pos, coalesce(sim < t, false) AS low FROM s JOIN q USING (doc_id)),
+f AS (SELECT doc_id, pos, 0 AS chunk, 1 AS size, low FROM w WHERE pos = 0 UNION ALL SELECT w.doc_id, w.pos, CASE WHEN (f.low AND f.size >= 2) OR f.size >= 20 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN (f.low AND f.size >= 2) OR f.size >= 20 THEN 1 ELSE f.size + 1 END, w.low FROM f JOIN w ON w.doc_id = f.doc_id AND w.pos = f.pos + 1)
+SELECT doc_id, pos, CAST(chunk AS INTEGER) AS chunk FROM f""")
 def chunk_semantic_breaks(spark, d):
     v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 25).alias("doc_id"), (F.col("vec_id") % 25).cast("int").alias("pos"), "embedding")
     after = v.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("embedding").alias("e"))
     return chunking.semantic_breaks(v.join(after, ["doc_id", "pos"], "left").select("doc_id", "pos", T.cosine(F.col("embedding"), F.col("e")).alias("sim")))
 
 
-@register("budget_batches")
+@register("budget_batches", """WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (SELECT conv_id, turn, k, 0 AS batch, n AS total FROM r WHERE k = 1 UNION ALL SELECT r.conv_id, r.turn, r.k, CASE WHEN f.total > 0 AND f.total + r.n > 400 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.total > 0 AND f.total + r.n > 400 THEN r.n ELSE f.total + r.n END FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)
+SELECT conv_id, turn, CAST(batch AS INTEGER) AS batch FROM f""")
 def budget_batches(spark, d):
     return chunking.budget_batches(table(spark, d, "conversations"), "conv_id", "turn", F.char_length("text"), 400)
 
@@ -426,20 +443,25 @@ def _edges(spark, d):
     return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
 
 
-@register("entity_merge", """WITH e AS (SELECT lower(trim(p_brand)) AS key, arg_min(p_brand, p_partkey) AS name, arg_min(p_type, p_partkey) AS type, CAST(count(DISTINCT p_partkey % 50) AS BIGINT) AS sources FROM part GROUP BY 1) SELECT * FROM e""")
+JOINED = "list_reduce(list(d ORDER BY o), lambda got, x: CASE WHEN contains(got, x) THEN got ELSE got || '<SEP>' || x END)"
+
+
+@register("entity_merge", f"""WITH e AS (SELECT lower(trim(p_brand)) AS key, p_brand AS name, p_type AS type, p_partkey AS o, p_type AS d, CAST(p_partkey % 50 AS VARCHAR) AS s FROM part), t AS (SELECT key, d, min(o) AS o FROM e GROUP BY ALL), j AS (SELECT key, {JOINED} AS description FROM t GROUP BY key)
+SELECT key, arg_min(name, o) AS name, arg_min(type, o) AS type, any_value(description) AS description, CAST(count(DISTINCT s) AS BIGINT) AS sources FROM e JOIN j USING (key) GROUP BY key""")
 def entity_merge(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("name"), F.col("p_type").alias("type"), F.lit("").alias("description"), (F.col("p_partkey") % 50).cast("string").alias("source_id"))
-    return graph.merge_entities(rows).select("key", "name", "type", F.size("source_ids").cast("long").alias("sources"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("name"), F.col("p_type").alias("type"), F.col("p_type").alias("description"), (F.col("p_partkey") % 50).cast("string").alias("source_id"))
+    return graph.merge_entities(rows).select("key", "name", "type", "description", F.size("source_ids").cast("long").alias("sources"))
 
 
-@register("relation_merge", "SELECT least(s, t) AS a, greatest(s, t) AS b, CAST(sum(l_linenumber) AS BIGINT) AS weight, list_sort(list(DISTINCT l_returnflag)) AS keywords FROM (SELECT 'n' || l_suppkey % 20 AS s, 'n' || l_partkey % 20 AS t, l_linenumber, l_returnflag FROM lineitem WHERE l_linestatus = 'O') GROUP BY ALL")
+@register("relation_merge", f"""WITH r AS (SELECT least('s' || l_suppkey, 'p' || l_partkey) AS a, greatest('s' || l_suppkey, 'p' || l_partkey) AS b, l_linenumber AS w, l_returnflag AS k, 'ships ' || l_linenumber AS d, l_orderkey AS o FROM lineitem WHERE l_linestatus = 'O'), t AS (SELECT a, b, d, min(o) AS o FROM r GROUP BY ALL), j AS (SELECT a, b, list_reduce(list(d ORDER BY o, d), lambda got, x: CASE WHEN contains(got, x) THEN got ELSE got || '<SEP>' || x END) AS description FROM t GROUP BY ALL)
+SELECT a, b, CAST(sum(w) AS BIGINT) AS weight, any_value(description) AS description, list_sort(list(DISTINCT k)) AS keywords FROM r JOIN j USING (a, b) GROUP BY a, b""")
 def relation_merge(spark, d):
-    said = F.when(F.col("l_linestatus") == "O", "").otherwise("there is No clear relationship here")
+    said = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("ships "), "l_linenumber")).otherwise("there is No clear relationship here")
     rows = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("ord"), F.concat(F.lit("n"), F.col("l_suppkey") % 20).alias("source"), F.concat(F.lit("n"), F.col("l_partkey") % 20).alias("target"),
+        F.col("l_orderkey").alias("ord"), F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"),
         F.col("l_linenumber").alias("weight"), said.alias("description"), F.array("l_returnflag").alias("keywords"),
     )
-    return graph.merge_relations(rows).select("a", "b", "weight", "keywords")
+    return graph.merge_relations(rows)
 
 
 @register("entity_candidates", "WITH n AS (SELECT DISTINCT CAST(n_regionkey % 2 AS INTEGER) AS type, lower(n_name) AS name FROM nation UNION SELECT DISTINCT 0, lower(p_brand) FROM part) SELECT a.type, a.name AS a, b.name AS b FROM n a JOIN n b ON a.type = b.type AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 2")
@@ -457,24 +479,27 @@ def alias_resolve(spark, d):
     return graph.resolve_aliases(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), aliases.select("alias", F.concat(F.lit("="), "alias").alias("canonical")))
 
 
-RING = "e AS (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS source, CAST(l_partkey % 97 AS BIGINT) AS target, CAST(CASE l_suppkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS weight FROM lineitem WHERE l_linenumber = 1)"
+WEIGHED = "w AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p, CAST(CASE l_suppkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS weight FROM lineitem), e AS (SELECT s AS source, p AS target, weight FROM w UNION ALL SELECT p, s, weight FROM w)"
 
 
-def _ring(spark, d):
+def _weighed(spark, d):
+    """Suppliers and parts both ways, of every line."""
     weight = F.when(F.col("l_suppkey") % 3 == 0, 0.9).when(F.col("l_suppkey") % 3 == 1, 0.6).otherwise(0.4)
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 97).alias("target"), weight.alias("weight")).distinct()
+    w = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), weight.alias("weight")).distinct()
+    return w.union(w.select("target", "source", "weight"))
 
 
-PATHS = f"""WITH {RING}, s AS (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation WHERE n_nationkey BETWEEN 1 AND 8),
+PATHS = f"""WITH {WEIGHED}, s AS (SELECT 's' || s_suppkey AS n FROM supplier WHERE s_suppkey % 50 = 0 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_partkey % 50 = 0),
 h1 AS (SELECT n AS start, target AS here, max(weight) AS score FROM s JOIN e ON source = n WHERE weight >= 0.1 GROUP BY ALL),
 h2 AS (SELECT start, target AS here, max(score * weight) AS score FROM h1 JOIN e ON source = here WHERE score * weight >= 0.1 GROUP BY ALL),
 h3 AS (SELECT start, target AS here, max(score * weight) AS score FROM h2 JOIN e ON source = here WHERE score * weight >= 0.1 GROUP BY ALL),
-pa AS (SELECT start, here AS target, round(max(score), 6) AS score, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) WHERE start != here GROUP BY ALL)"""
+pa AS (SELECT start, here AS target, round(max(score), 6) AS score, CAST(arg_min(hops, (-score, hops)) AS INTEGER) AS hops FROM (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) WHERE start != here GROUP BY ALL)"""
 
 
 def _paths(spark, d):
-    starts = table(spark, d, "nation").where("n_nationkey between 1 and 8").select(F.col("n_nationkey").cast("long").alias("name"))
-    return graph.expand_paths(starts, _ring(spark, d)).withColumn("score", F.round("score", 6))
+    """From every supplier and part whose key is divisible by 50, the query set of searches."""
+    starts = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("name")).union(table(spark, d, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), "p_partkey")))
+    return graph.expand_paths(starts, _weighed(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @register("path_expand_3hop", PATHS + " SELECT * FROM pa")
@@ -482,10 +507,10 @@ def path_expand_3hop(spark, d):
     return _paths(spark, d)
 
 
-@register("bridge_rank", PATHS + ", m AS (SELECT target AS name, max(score) AS score FROM pa GROUP BY target) SELECT l_orderkey AS chunk_id, CAST(count(DISTINCT name) AS BIGINT) AS bridges, max(score) AS score FROM m JOIN lineitem ON l_suppkey = name GROUP BY l_orderkey ORDER BY bridges DESC, score DESC, chunk_id LIMIT 20")
+@register("bridge_rank", PATHS + ", m AS (SELECT target AS name, max(score) AS score FROM pa GROUP BY target) SELECT l_orderkey AS chunk_id, CAST(count(DISTINCT name) AS BIGINT) AS bridges, max(score) AS score FROM m JOIN lineitem ON 's' || l_suppkey = name GROUP BY l_orderkey ORDER BY bridges DESC, score DESC, chunk_id LIMIT 20")
 def bridge_rank(spark, d):
     scored = _paths(spark, d).groupBy(F.col("target").alias("name")).agg(F.max("score").alias("score"))
-    return graph.bridge_chunks(scored, table(spark, d, "lineitem").select(F.col("l_suppkey").alias("name"), F.col("l_orderkey").alias("chunk_id")))
+    return graph.bridge_chunks(scored, table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("name"), F.col("l_orderkey").alias("chunk_id")))
 
 
 @register("induced_edges", f"WITH e AS ({EDGES}) SELECT * FROM e WHERE source IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND target IN (SELECT 'p' || p_partkey FROM part WHERE p_size < 20)")
@@ -494,11 +519,10 @@ def induced_edges(spark, d):
     return graph.induced_edges(_edges(spark, d), nodes)
 
 
-@register("node_merge", f"WITH {RING}, m AS (SELECT CASE WHEN source % 10 = 3 THEN source - 1 ELSE source END AS source, CASE WHEN target % 10 = 3 THEN target - 1 ELSE target END AS target, weight FROM e) SELECT source, target, round(sum(weight), 6) AS weight FROM m WHERE source != target GROUP BY ALL")
+@register("node_merge", f"WITH {WEIGHED}, k AS (SELECT 's' || s_suppkey AS name, 's' || (s_suppkey - 1) AS kept FROM supplier WHERE s_acctbal < 0), m AS (SELECT coalesce(a.kept, source) AS source, coalesce(b.kept, target) AS target, weight FROM e LEFT JOIN k a ON source = a.name LEFT JOIN k b ON target = b.name) SELECT source, target, round(sum(weight), 6) AS weight FROM m WHERE source != target GROUP BY ALL")
 def node_merge(spark, d):
-    edges = _ring(spark, d)
-    nodes = edges.select(F.col("source").alias("name")).union(edges.select("target")).distinct().where("name % 10 = 3")
-    return graph.merge_nodes(edges, nodes.select("name", (F.col("name") - 1).alias("kept"))).withColumn("weight", F.round("weight", 6))
+    mapping = table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.concat(F.lit("s"), F.col("s_suppkey") - 1).alias("kept"))
+    return graph.merge_nodes(_weighed(spark, d), mapping).withColumn("weight", F.round("weight", 6))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -521,9 +545,15 @@ def components(spark, d):
     return connected_components(near.join(v.select(F.col("vec_id").alias("b"), "label"), ["b", "label"]).select("a", "b"))
 
 
-@register("communities")
+def _communities_sql(rounds: int) -> str:
+    steps = ["WITH l0 AS MATERIALIZED (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem), t AS MATERIALIZED (SELECT a, b FROM l0 UNION SELECT b, a FROM l0 UNION SELECT a, a FROM l0 UNION SELECT b, b FROM l0), c0 AS (SELECT DISTINCT a AS node, a AS community FROM t)"]
+    steps += [f"v{i} AS (SELECT t.a, community, count(*) AS n FROM t JOIN c{i} ON node = t.b GROUP BY ALL), c{i + 1} AS MATERIALIZED (SELECT a AS node, arg_min(community, (-n, community)) AS community FROM v{i} GROUP BY a)" for i in range(rounds)]
+    return ", ".join(steps) + f" SELECT node, community FROM c{rounds}"
+
+
+@register("communities", _communities_sql(5))
 def communities(spark, d):
-    edges = _ring(spark, d).select(F.col("source").alias("a"), (F.col("target") + 1000).alias("b"))
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
     return graph.label_propagation(edges)
 
 

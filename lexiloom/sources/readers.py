@@ -214,8 +214,14 @@ def image_address(content: Column) -> Column:
 
 
 def links(html: Column, base: Column, most: int = 20) -> Column:
-    """The first distinct links of a page to its own host, without fragments
-    and binary files."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(r"""<a\s[^>]*href=["']([^"'#]+)"""), F.lit(1)), lambda x: F.when(x.startswith("/"), F.concat(F.parse_url(base, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(base, F.lit("HOST")), x)).otherwise(x))
-    own = F.filter(found, lambda x: F.coalesce(F.try_parse_url(x, F.lit("HOST")) == F.parse_url(base, F.lit("HOST")), F.lit(False)) & ~x.rlike(r"(?i)\.(png|jpe?g|gif|svg|pdf|zip|gz|mp4)$"))
+    """The first distinct links of a page to its own host, relative ones made
+    absolute, without fragments and binary files."""
+    root, folder = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1), F.regexp_extract(base, r"^([a-z]+://[^?#]*/)", 1)
+
+    def absolute(x: Column) -> Column:
+        return F.when(x.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), x).when(x.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), x)).when(x.startswith("/"), F.concat(root, x)).otherwise(F.concat(folder, x))
+
+    found = F.transform(F.regexp_extract_all(html, F.lit(r"""<a\s[^>]*href=["']([^"'#]+)"""), F.lit(1)), absolute)
+    host = r"^[a-z]+://([^/?#:]+)"
+    own = F.filter(found, lambda x: (F.regexp_extract(x, host, 1) == F.regexp_extract(base, host, 1)) & ~x.rlike(r"(?i)\.(png|jpe?g|gif|svg|pdf|zip|gz|mp4)$"))
     return F.slice(F.array_distinct(own), 1, most)

@@ -38,23 +38,69 @@ def batch_rollup(tasks: DataFrame) -> DataFrame:
     return agg.withColumn("done", F.col("completed") + F.col("failed") >= F.col("total"))
 
 
-def error_alerts(events: DataFrame, failed: Column, by: str, least: int = 20, every: int = 10, rate: float = 0.05) -> DataFrame:
+def _ranged(events: DataFrame, by: str, width: str) -> DataFrame:
+    """Adds _slice (``width`` of time) and what a key had before it (_rows, and
+    _failed of a column of that name), from counts of slices; so running numbers
+    are taken in slices and no key is one task."""
+    cut = events.withColumn("_slice", F.window("ts", width)["start"])
+    failed = "_failed" in events.columns
+    sums = cut.groupBy(by, "_slice").agg(F.count("*").alias("_n"), *([F.sum("_failed").alias("_f")] if failed else []))
+    before = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = {"_rows": F.coalesce(F.sum("_n").over(before), F.lit(0))} | ({"_before": F.coalesce(F.sum("_f").over(before), F.lit(0))} if failed else {})
+    return cut.join(sums.withColumns(carried).drop("_n", "_f"), [by, "_slice"])
+
+
+def error_alerts(events: DataFrame, failed: Column, by: str, least: int = 20, every: int = 10, rate: float = 0.05, width: str = "1 day") -> DataFrame:
     """Every tenth event of a key from the twentieth on at which the rate of
     failures so far is at least ``rate``."""
-    so_far = Window.partitionBy(by).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    counted = events.withColumns({"n": F.count("*").over(so_far), "errors": F.sum(failed.cast("long")).over(so_far)})
+    ranged = _ranged(events.withColumn("_failed", failed.cast("long")), by, width)
+    so_far = Window.partitionBy(by, "_slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranged.withColumns({"n": F.col("_rows") + F.count("*").over(so_far), "errors": F.col("_before") + F.sum("_failed").over(so_far)})
     return counted.where((F.col("n") >= least) & (F.col("n") % every == 0) & (F.col("errors") / F.col("n") >= rate)).select(by, "event_id", "n", "errors")
 
 
-def rolling(events: DataFrame, by: str, value: str, rows: int = 1000) -> DataFrame:
-    """Mean and maximum of the last ``rows`` values of a key at every event."""
-    last = Window.partitionBy(by).orderBy("ts", "event_id").rowsBetween(1 - rows, 0)
-    return events.select(by, "event_id", F.avg(value).over(last).alias("mean"), F.max(value).over(last).alias("most"), F.count(value).over(last).alias("n"))
+def rolling(events: DataFrame, by: str, value: str, rows: int = 1000, width: str = "1 day") -> DataFrame:
+    """Mean and maximum of the last ``rows`` values of a key at every event. A
+    key's events are numbered in slices of time, and each stretch of ``rows``
+    numbers is worked out with the stretch before it."""
+    numbered = _ranged(events, by, width)
+    at = Window.partitionBy(by, "_slice").orderBy("ts", "event_id")
+    numbered = numbered.select(by, "ts", "event_id", F.col(value).alias("_v"), F.floor((F.col("_rows") + F.row_number().over(at) - 1) / rows).alias("_b"))
+    both = numbered.select(by, "ts", "event_id", "_v", F.explode(F.array(F.struct(F.col("_b").alias("b"), F.lit(True).alias("own")), F.struct((F.col("_b") + 1).alias("b"), F.lit(False).alias("own")))).alias("x")).select(by, "ts", "event_id", "_v", "x.*")
+    last = Window.partitionBy(by, "b").orderBy("ts", "event_id").rowsBetween(1 - rows, 0)
+    return both.select(by, "event_id", "own", F.avg("_v").over(last).alias("mean"), F.max("_v").over(last).alias("most"), F.count("_v").over(last).alias("n")).where("own").drop("own")
+
+
+def enqueue(messages: DataFrame, ttl: int = 24 * 3600) -> tuple[DataFrame, DataFrame]:
+    """Task messages (task_id, batch_id, file_path, source, user_id, at) -> the
+    pending states of their tasks, with when they expire, and a row for each batch."""
+    states = messages.dropDuplicates(["task_id"]).select("task_id", "batch_id", "source", "user_id", F.lit("pending").alias("status"), F.lit("queued").alias("phase"), F.lit(0).alias("retry"), F.col("at").alias("started_at"), (F.col("at") + ttl).alias("expires_at"))
+    batches = states.groupBy("batch_id").agg(F.count("*").alias("total")).withColumns({"completed": F.lit(0).cast("long"), "failed": F.lit(0).cast("long")})
+    return states, batches
+
+
+def replay_cache(requests: DataFrame, ttl: int = 300) -> DataFrame:
+    """(key, ts) requests in order -> whether a cache with this time to live would
+    have answered each. An entry is written at a miss and lives ``ttl`` seconds from then."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, written = None, 0.0
+        for batch in batches:
+            hits = []
+            for k, at in zip(batch["key"], batch["at"], strict=True):
+                hit = k == key and at - written <= ttl
+                hits.append(hit)
+                if not hit:
+                    key, written = k, at
+            yield batch.assign(hit=hits)
+
+    timed = requests.select("key", F.col("ts").cast("double").alias("at"))
+    return timed.repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, "key string, at double, hit boolean")
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """A task's messages in order: started, then completed or failed; a failure
-    goes back to pending, three times at most."""
+    goes back to pending, in the high queue, three times at most."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -70,7 +116,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
             status, phase, completed, chunks = "completed", "done", m.at, int(m.chunks)
         elif m.event == "failed":
             error = m.error
-            status, phase, retry = ("pending", "queued", retry + 1) if retry < 3 else ("failed", "done", retry)
+            status, phase, retry = ("pending", "queued high", retry + 1) if retry < 3 else ("failed", "done", retry)
     state.update((batch, status, phase, retry, chunks, started, completed, error))
     state.setTimeoutDuration(24 * 3600 * 1000)
     yield pd.DataFrame([(key[0], batch, status, phase, retry, chunks, started, completed, error)], columns=[x.split()[0] for x in OUTPUT.split(", ")])

@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import time
 import zipfile
 
@@ -82,24 +83,58 @@ def test_text_functions(spark):
     assert kept == ["a b c", "x y"]
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab .!?\n。", max_size=400), st.integers(5, 60), st.integers(0, 4))
-def test_chunkers_end_and_bound(text, size, overlap):
+def test_chunkers_end_bound_and_cover(text, size, overlap):
     for split in (chunking.fixed_size, chunking.recursive):
-        chunks = split(text, size, overlap)
-        assert all(0 < len(c) <= size for c in chunks)
-        assert bool(chunks) == bool(text.strip())
+        spans = split(text, size, overlap)
+        chunks = [c for _, _, c in chunking.sliced(text, spans)]
+        assert all(0 < e - s <= size for s, e in spans if s < e) and bool(chunks) == bool(text.strip())
+        covered = {i for s, e in spans for i in range(s, e)}
+        marks = set("".join(chunking.SEPARATORS))
+        assert all(i in covered or text[i] in marks for i in range(len(text)))
+        assert [s for s, _ in spans] == sorted(s for s, _ in spans)
+    spans = chunking.parent_child(text)
+    assert bool(spans) == bool(text.strip())
+
+
+def test_chunkers_by_example():
+    text = "一二三四五。六七八九十！甲乙丙丁"
+    assert [c for *_, c in chunking.sliced(text, chunking.fixed_size(text, 10, 2))] == ["一二三四五。", "五。", "六七八九十！甲乙丙丁"]
+    text = "aa bb\n\ncc dd ee ff\ngg"
+    assert [c for *_, c in chunking.sliced(text, chunking.recursive(text, 8, 0))] == ["aa bb", "cc dd ee", "ff", "gg"]
+    assert [c for *_, c in chunking.sliced(text, chunking.recursive(text, 8, 3))] == ["aa bb", "cc dd ee", "ee ff", "gg"]
+    assert chunking.recursive("x" * 20, 8, 2) == [(0, 8), (6, 14), (12, 20)]
+    assert [text[s:e] for text in ["A. B! C? D"] for s, e in chunking.parent_child(text)] == ["A. B! C?", "C? D"]
+    for bad in (chunking.fixed_size, chunking.recursive):
+        with pytest.raises(ValueError):
+            bad("x", 5, 5)
 
 
 def test_chunk_tables(spark):
-    docs = spark.createDataFrame([(1, "# A\nx\n## B\ny"), (2, None), (3, "  ")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "s", "# A\nx\n## B\ny"), (2, "s", None), (3, "s", "  ")], "doc_id int, source string, text string")
     assert docs.where("doc_id = 1").select(chunking.heading_sections(F.col("text"))).first()[0] == ["# A\nx", "## B\ny"]
-    assert rows(chunking.chunk_documents(docs, chunking.recursive)) == [(1, 0, "# A\nx\n## B\ny")]
+    assert rows(chunking.chunk_documents(docs, chunking.recursive)) == [(1, 0, 0, 12, "# A\nx\n## B\ny")]
     sized = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate([30, 30, 50, 10, 200])], "g int, o int, t string")
     got = chunking.budget_batches(sized, "g", "o", F.char_length("t"), 80)
     assert [r["batch"] for r in got.orderBy("o").collect()] == [0, 0, 1, 1, 2]
-    with pytest.raises(ValueError):
-        chunking.fixed_size("x", 5, 5)
+    lines = spark.createDataFrame([(1, "A one. B two. C three. D four. E five. F six. G seven. H eight. I nine. J ten.")], "doc_id int, text string")
+    got = chunking.with_parents(chunking.chunk_documents(lines, chunking.parent_child), lines).orderBy("chunk_index").collect()
+    assert [r["content"] for r in got] == ["A one. B two. C three.", "C three. D four. E five.", "E five. F six. G seven.", "G seven. H eight. I nine.", "I nine. J ten."]
+    assert [r["parent"] for r in got] == [0, 0, 0, 0, 1] and got[1]["parent_text"] == lines.first()["text"][:-7] and got[4]["parent_text"] == "I nine. J ten."
+
+
+def test_document_pipeline(spark):
+    text = "intro one。\n# A\nfirst。second！\nthird\n```\na。b\n```\n# B\n\n## C\nlast"
+    docs = spark.createDataFrame([(1, "f.md", text), (2, "g.md", None)], "doc_id int, source string, text string")
+    assert [tuple(r) for r in chunking.sections(docs).select("heading", "body").collect()] == [("概述", "intro one。"), ("A", "first。second！\nthird\n```\na。b\n```"), ("C", "last")]
+    got = chunking.process_documents(docs).orderBy("chunk_index").collect()
+    assert [(r["chunk_index"], r["section"], r["text"]) for r in got] == [(0, "概述", "[f.md - 概述]\nintro one。"), (1, "A", "[f.md - A]\nfirst。\nsecond！"), (2, "A", "[f.md - A]\nthird\n```\na。b\n```"), (3, "C", "[f.md - C]\nlast")]
+    got = chunking.process_documents(docs, 2, chunking.recursive).orderBy("chunk_index").collect()
+    assert [r["section"] for r in got] == ["概述", "A", "C"] and got[1]["text"].endswith("```\na。b\n```")
+    regions = [(1, "d", 0, "text", "before", None), (1, "d", 1, "header", "H", None), (1, "d", 2, "text", "one. two.", None), (1, "d", 3, "table", "| a |", "x"), (1, "d", 4, "figure", "pic", "p.png"), (2, "e", 0, "equation", "x=y", None)]
+    got = chunking.chunk_regions(spark.createDataFrame(regions, "doc_id int, source string, pos int, type string, content string, image string"), chunking.recursive)
+    assert [tuple(r) for r in got.orderBy("doc_id", "chunk_index").collect()] == [(1, 0, "", "text", None, "[d]\nbefore"), (1, 1, "H", "text", None, "[d - H]\none. two."), (1, 2, "H", "table", None, "[d - H]\n| a |"), (1, 3, "H", "figure", "p.png", "[d - H]\npic"), (2, 0, "", "equation", None, "[e]\nx=y")]
 
 
 def test_graph(spark):
@@ -111,7 +146,7 @@ def test_graph(spark):
     assert {tuple(x)[1:] for x in graph.entity_candidates(names).collect()} == {("spark", "sparks"), ("spark", "spork"), ("sparks", "spork"), ("民法典条例", "民法典条例例")}
     edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.5), ("a", "c", 0.3), ("c", "a", 1.0)], "source string, target string, weight double")
     got = {x["target"]: (round(x["score"], 6), x["hops"]) for x in graph.expand_paths(spark.createDataFrame([("a",)], "name string"), edges).collect()}
-    assert got == {"b": (0.9, 1), "c": (0.45, 1)}
+    assert got == {"b": (0.9, 1), "c": (0.45, 2)}
     ranks = {x["node"]: x["rank"] for x in graph.pagerank(spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a int, b int"), 30).collect()}
     assert sum(ranks.values()) == pytest.approx(1) and max(ranks, key=ranks.get) == 1
     asked = spark.createDataFrame([(1, "What does big data law say?"), (2, "bigdata")], "query_id int, query string")
@@ -119,6 +154,40 @@ def test_graph(spark):
     assert rows(graph.resolve_aliases(asked, aliases)) == [(1, "big data", "BD"), (1, "law", "L")]
 
 
+def test_entity_candidates_equal_all_pairs(spark):
+    rng = random.Random(1)
+    names = {("t", "".join(rng.choice("ab民法典条例规") for _ in range(rng.randint(1, 6)))) for _ in range(250)} | {("t", "abcde"), ("t", "abcde法"), ("u", "abcde")}
+    df = spark.createDataFrame(sorted(names), "type string, name string")
+    zh = lambda x: any("一" <= c <= "鿿" for c in x)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def alike(a, b):
+        return len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) if zh(a) or zh(b) else edits(a, b) <= 2
+
+    want = {(t, a, b) for t, a in names for u, b in names if t == u and a < b and alike(a, b)}
+    assert set(rows(graph.entity_candidates(df))) == want and ("t", "abcde", "abcde法") in want
+
+
+def test_chinese(spark):
+    """Text without blanks is found: by search, by alias and by the names of laws."""
+    queries = [(1, "数据安全法有什么规定？"), (2, "劳动合同法适用于哪些情形？"), (3, "今天天气怎么样？"), (4, "中华人民共和国民法典实施细则（2020）是什么")]
+    asked = spark.createDataFrame(queries, "query_id int, query string")
+    aliases = spark.createDataFrame([("数据安全法", "中华人民共和国数据安全法"), ("劳动合同法", "中华人民共和国劳动合同法"), ("合同法", "合同法")], "alias string, canonical string")
+    assert {(q, c) for q, _, c in rows(graph.resolve_aliases(asked, aliases))} == {(1, "中华人民共和国数据安全法"), (2, "中华人民共和国劳动合同法"), (2, "合同法")}
+    assert (4, "中华人民共和国民法典实施细则（2020）") in rows(graph.resolve_entities(asked, aliases))
+    docs = spark.createDataFrame([(1, "本规定依据数据安全法制定，Spark SQL 3"), (2, "天气很好"), (3, None)], "doc_id int, text string")
+    assert docs.where("doc_id = 1").select(T.tokens(F.col("text"))).first()[0] == [*"本规定依据数据安全法制定", "spark", "sql", "3"]
+    assert [(r["query_id"], r["doc_id"]) for r in retrieval.bm25(docs, asked, 1).orderBy("query_id").collect()] == [(1, 1)]
+    assert retrieval.bm25(docs, asked.where("false"), 3).count() == 0 and retrieval.bm25(docs.where("false"), asked, 3).count() == 0
+
+
 def test_tables(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "f string, h string")
     b = spark.createDataFrame([("y", "1"), ("z", "2"), ("w", "1")], "f string, h string")
