@@ -188,7 +188,7 @@ def cache_effect(pairs: DataFrame, share: float = 0.5) -> DataFrame:
 
 def throughput(requests: DataFrame, by: str) -> DataFrame:
     """(by, ts) -> requests a second between a key's first and last."""
-    agg = requests.groupBy(by).agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("us"))
+    agg = requests.groupBy(by).agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("us"))
     return agg.select(by, "n", F.when(F.col("us") > 0, F.col("n") * 1e6 / F.col("us")).otherwise(0.0).alias("per_second"))
 
 

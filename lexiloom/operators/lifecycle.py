@@ -178,7 +178,7 @@ def log_lines(events: DataFrame, kept: list[str]) -> DataFrame:
 def report_lines(results: DataFrame, title: str) -> DataFrame:
     """A Markdown report of a small table of results: (line, text), numbers with
     four digits; rows in the order of their first column."""
-    shown = [F.coalesce(F.format_number(F.col(f.name), "0.0000") if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string"), F.lit("-")) for f in results.schema]
+    shown = [F.coalesce(F.format_string("%.4f", F.col(f.name)) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string"), F.lit("-")) for f in results.schema]
     order = Window.orderBy(results.columns[0])
     rows = results.select((F.row_number().over(order) + 3).alias("line"), F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("text"))
     head = [f"# {title}", "| " + " | ".join(results.columns) + " |", "| " + " | ".join(["---"] * len(results.columns)) + " |"]

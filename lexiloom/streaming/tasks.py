@@ -94,7 +94,7 @@ def replay_cache(requests: DataFrame, ttl: int = 300) -> DataFrame:
                     key, written = k, at
             yield batch.assign(hit=hits)
 
-    timed = requests.select("key", F.col("ts").cast("double").alias("at"))
+    timed = requests.select("key", F.col("ts").cast("timestamp").cast("double").alias("at"))
     return timed.repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, "key string, at double, hit boolean")
 
 
