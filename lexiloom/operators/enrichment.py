@@ -21,13 +21,13 @@ REGION_TYPES = ["text", "table", "figure", "equation", "header"]
 
 
 def replies(prompts: DataFrame, model: Model) -> DataFrame:
-    """(prompt) -> (prompt, reply) for each distinct prompt, in batches."""
+    """(prompt) -> (prompt, reply) for each distinct prompt that isn't null, in batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"prompt": batch["prompt"], "reply": model(batch["prompt"].tolist())})
 
-    return prompts.select("prompt").distinct().mapInPandas(run, "prompt string, reply string")
+    return prompts.select("prompt").where("prompt is not null").distinct().mapInPandas(run, "prompt string, reply string")
 
 
 def asked(rows: DataFrame, prompt: Column, model: Model) -> DataFrame:
