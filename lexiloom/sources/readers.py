@@ -12,6 +12,7 @@ import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -23,6 +24,11 @@ from pyspark.sql import functions as F
 ENCODINGS = ["utf-8", "utf-16", "gbk", "gb2312", "latin-1"]
 DROPPED = ["nav", "footer", "script", "style", "header", "aside"]
 MAIN = ["article", "main", "body"]
+#: Classes of what is no content either, and of the element that holds it.
+SIDE = re.compile(r"sidebar|sphinxsidebar|related|navigation|navbar|breadcrumb")
+CENTRE = re.compile(r"document|body|content|main")
+# What is put before a recognised text, a description and a slide's notes.
+OCR_TITLE, SEEN_TITLE, NOTES_TITLE = "[OCR 文字内容]", "[图片内容描述]", "[备注]"
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
@@ -46,6 +52,7 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.tags: list[str] = []
         self.found: dict[str, list[str]] = {"": []} | {x: [] for x in MAIN}
 
     def put(self, text: str) -> None:
@@ -54,7 +61,10 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in VOID:
-            self.open.append("main" if tag != "main" and ("role", "main") in attrs else tag)
+            kinds = dict(attrs).get("class") or ""
+            role = "main" if ("role", "main") in attrs or (tag == "div" and CENTRE.search(kinds)) else tag
+            self.open.append("aside" if SIDE.search(kinds) else role)
+            self.tags.append(tag)
         if re.fullmatch("h[1-6]", tag):
             self.put("\n" + "#" * int(tag[1]) + " ")
         elif tag == "pre":
@@ -63,9 +73,10 @@ class _Page(HTMLParser):
             self.put("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
+        if tag in self.tags:
+            while self.tags.pop() != tag:
+                self.open.pop()
+            self.open.pop()
         if tag == "pre":
             self.put("\n```\n")
         elif re.fullmatch("h[1-6]|p|div|li|tr", tag):
@@ -76,8 +87,56 @@ class _Page(HTMLParser):
             self.put(data if "pre" in self.open else re.sub(r"\s+", " ", data))
 
 
+class _Markdown(_Page):
+    """The same with lists, links and tables as Markdown has them."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.links: list[str] = []
+        self.cells: int | None = None
+        self.headed = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        super().handle_starttag(tag, attrs)
+        if any(x in DROPPED for x in self.open):
+            return
+        if tag == "li":
+            self.put("1. " if [x for x in self.tags if x in ("ul", "ol")][-1:] == ["ol"] else "- ")
+        elif tag == "a":
+            self.links.append(dict(attrs).get("href") or "")
+            self.put("[")
+        elif tag == "table":
+            self.headed = False
+        elif tag == "tr":
+            self.cells = 0
+            self.put("|")
+        elif tag in ("td", "th") and self.cells is not None:
+            self.cells += 1
+            self.put(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if not any(x in DROPPED for x in self.open):
+            if tag == "a" and self.links:
+                self.put(f"]({self.links.pop()})")
+            elif tag in ("td", "th"):
+                self.put(" |")
+            elif tag == "tr" and self.cells:
+                self.put("" if self.headed else "\n|" + " --- |" * self.cells)
+                self.headed, self.cells = True, None
+        super().handle_endtag(tag)
+
+
+def html_markdown(page: str) -> str:
+    """A page's content as Markdown: headings, lists, links, code and tables;
+    items and rows stand on lines that follow one another."""
+    return re.sub(r"(?m)^((?:\||- |1\. ).*)\n+(?=\||- |1\. )", r"\1\n", _text_of(_Markdown(), page))
+
+
 def html_text(page: str) -> str:
-    parser = _Page()
+    return _text_of(_Page(), page)
+
+
+def _text_of(parser: _Page, page: str) -> str:
     parser.feed(page)
     parser.close()
     parts = next((parser.found[x] for x in MAIN if "".join(parser.found[x]).strip()), parser.found[""])
@@ -129,12 +188,30 @@ def docx_text(data: bytes) -> str:
 
 
 def pptx_text(data: bytes) -> str:
+    """Every slide's paragraphs, its tables' rows with bars, and its notes."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        slides = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        names = set(archive.namelist())
+        slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+        def said(node: ElementTree.Element) -> str:
+            return "".join(t.text or "" for t in node.iter() if _local(t.tag) == "t")
+
+        def paragraphs(node: ElementTree.Element) -> Iterator[str]:
+            for child in node:
+                if _local(child.tag) == "p":
+                    yield said(child)
+                elif _local(child.tag) == "tr":
+                    yield " | ".join(" ".join(x for x in paragraphs(c) if x.strip()).strip() for c in child if _local(c.tag) == "tc")
+                else:
+                    yield from paragraphs(child)
+
         out = []
         for i, name in enumerate(slides, 1):
-            lines = ["".join(t.text or "" for t in p.iter() if _local(t.tag) == "t") for p in _xml(archive, name).iter() if _local(p.tag) == "p"]
-            out.append("\n".join([f"## Slide {i}", *(x for x in lines if x.strip())]))
+            lines = [x for x in paragraphs(_xml(archive, name)) if x.strip()]
+            notes = name.replace("slides/slide", "notesSlides/notesSlide")
+            if notes in names and (note := "\n".join(x for x in paragraphs(_xml(archive, notes)) if x.strip())):
+                lines.append(f"{NOTES_TITLE} {note}")
+            out.append("\n".join([f"## Slide {i}", *lines]))
         return "\n\n".join(out)
 
 
@@ -164,6 +241,7 @@ def xlsx_text(data: bytes) -> str:
 READERS: dict[str, Callable[[bytes], str]] = {
     "txt": decode,
     "md": decode,
+    "markdown": decode,
     "html": lambda b: html_text(decode(b)),
     "htm": lambda b: html_text(decode(b)),
     "csv": csv_text,
@@ -199,6 +277,46 @@ def read_texts(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | No
     return named.mapInPandas(run, "path string, extension string, text string, error string")
 
 
+@dataclass(frozen=True)
+class PdfPage:
+    """What a PDF library tells of a page: its text, itself and its figures as images, its tables' rows."""
+
+    text: str
+    image: bytes = b""
+    figures: tuple[bytes, ...] = ()
+    tables: tuple[list[list[str]], ...] = ()
+
+
+def is_scanned(texts: list[str], least: int = 50) -> bool:
+    """Whether pages have under ``least`` characters on average."""
+    return not texts or sum(len(t.strip()) for t in texts) / len(texts) < least
+
+
+def image_reader(recognize: Callable[[bytes], str] | None = None, describe: Callable[[bytes], str] | None = None) -> Callable[[bytes], str]:
+    """A reader of images by a text recogniser, a describer, or both."""
+
+    def read(data: bytes) -> str:
+        parts = [(title, f(data).strip()) for title, f in ((OCR_TITLE, recognize), (SEEN_TITLE, describe)) if f]
+        return "\n\n".join(f"{title}\n{text}" for title, text in parts if text)
+
+    return read
+
+
+def pdf_reader(pages: Callable[[bytes], list[PdfPage]], recognize: Callable[[bytes], str] | None = None, describe: Callable[[bytes], str] | None = None, least: int = 50) -> Callable[[bytes], str]:
+    """A reader of PDF by a library's pages: text, recognised where a page has
+    under ``least`` characters, its figures' descriptions and its tables."""
+
+    def read(data: bytes) -> str:
+        out = []
+        for page in pages(data):
+            scanned = len(page.text.strip()) < least and recognize is not None
+            parts = [recognize(page.image) if scanned else page.text, *(describe(x) for x in page.figures if describe), *(markdown_table(t) for t in page.tables)]
+            out.append("\n\n".join(x.strip() for x in parts if x and x.strip()))
+        return "\n\n".join(x for x in out if x)
+
+    return read
+
+
 def directory_state(spark: SparkSession, path: str) -> DataFrame:
     """(filename, hash) of all files under a folder, for change detection."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -1,7 +1,9 @@
 """Lifecycle, datasets, enrichment, search and time slices on small literal tables."""
 
+import io
 import json
 import random
+import zipfile
 
 import numpy as np
 import pandas as pd
@@ -9,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.functions.models import Models
 from lexiloom.operators import datasets, enrichment, evaluation, graph, lifecycle, retrieval, verification
+from lexiloom.sources import readers
 from lexiloom.streaming import tasks
 
 
@@ -187,3 +191,27 @@ def test_running_numbers_in_slices(spark):
                 if j + 1 >= 20 and (j + 1) % 10 == 0 and errors / (j + 1) >= 0.05:
                     want.add((key, i, j + 1, errors))
         assert alerts == want
+
+
+def test_readers_of_pages_and_models():
+    page = "<body><div class='navbar'><p>no</p></div><div class='main content'><h2>T</h2><ul><li>a</li><li>b <a href='/x'>c</a><ol><li>d</li></ol></li></ul><table><tr><th>h</th><th>i</th></tr><tr><td>1</td><td>2</td></tr></table><pre>k  l</pre></div><p>out</p></body>"
+    assert readers.html_markdown(page) == "## T\n\n- a\n- b [c](/x)\n1. d\n| h | i |\n| --- | --- |\n| 1 | 2 |\n\n```\nk  l\n```"
+    assert "no" not in readers.html_text(page).split() and "out" not in readers.html_text(page)
+    assert readers.is_scanned(["x" * 10, "y" * 60]) and not readers.is_scanned(["x" * 60]) and readers.is_scanned([])
+    image = readers.image_reader(lambda b: " text ", lambda b: "")
+    assert image(b"") == "[OCR 文字内容]\ntext" and readers.image_reader()(b"") == ""
+    pages = [readers.PdfPage("long " * 20, figures=(b"f",), tables=([["a", "b"], ["1"]],)), readers.PdfPage("", b"scan")]
+    read = readers.pdf_reader(lambda b: pages, lambda b: b.decode(), lambda b: "a figure")
+    assert read(b"").split("\n\n")[1:] == ["a figure", "| a | b |\n| --- | --- |\n| 1 |  |", "scan"]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", "<s xmlns:a='a'><a:p><a:r><a:t>one</a:t></a:r></a:p><a:tbl><a:tr><a:tc><a:txBody><a:p><a:t>x</a:t></a:p></a:txBody></a:tc><a:tc><a:p><a:t>y</a:t></a:p></a:tc></a:tr></a:tbl></s>")
+        z.writestr("ppt/notesSlides/notesSlide1.xml", "<s xmlns:a='a'><a:p><a:t>note</a:t></a:p></s>")
+    assert readers.pptx_text(out.getvalue()) == "## Slide 1\none\nx | y\n[备注] note"
+    models = Models()
+    models.add("rerank", "words", retrieval.word_overlap)
+    assert models.get("rerank", "words") is retrieval.word_overlap and models.names("chat") == [] and list(models.of_kind("rerank")) == ["words"]
+    with pytest.raises(KeyError):
+        models.get("chat", "none")
+    with pytest.raises(ValueError):
+        models.add("odd", "x", len)
