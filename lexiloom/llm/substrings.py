@@ -24,7 +24,7 @@ MARKS = np.array(sorted(map(ord, "\u037e\u0387\u0589\u05c3\u060c\u061b\u061f\u06
 NO_BLANKS = np.array([(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x3190, 0xA4CF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)])
 LEADS = np.zeros(256, dtype=bool)
 LEADS[[0xCD, 0xCE, 0xD6, 0xD7, 0xD8, 0xDB, 0xDC, *range(0xE0, 0xF5)]] = True
-SPANS = "doc_id long, text_hash long, lo int, hi int, span long, check int"
+SPANS = "doc_id long, text_hash int, place long, span long, check int"
 
 
 def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +97,14 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, row[first], ends[last - 1], start, end, words, weight
 
 
+def run_hashes(first: np.ndarray, last: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the words of pieces lo .. hi - 1."""
+    up, down = textbytes._power_table("up", len(words) + 1), textbytes._power_table("down", len(words) + 1)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+    length = (last[hi - 1] - first[lo]).astype(np.uint64)
+    return textbytes.mix((prefix[last[hi - 1]] - prefix[first[lo]]) * down[first[lo]] + length)
+
+
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of pieces: from each start of a sentence SENTENCES sentences, or as
     many more as it takes to hold WORDS words; from each start of a piece as
@@ -126,16 +134,9 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     lo, hi = lo[ok], hi[ok]
     ok = row[hi - 1] == row[lo]
     lo, hi = lo[ok], hi[ok]
-    up, down = textbytes._power_table("up", len(words) + 1), textbytes._power_table("down", len(words) + 1)
-    length = (last[hi - 1] - first[lo]).astype(np.uint64)
-
-    def hashed(values: np.ndarray) -> np.ndarray:
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(words)])])
-        return textbytes.mix((prefix[last[hi - 1]] - prefix[first[lo]]) * down[first[lo]] + length)
-
-    check = hashed(textbytes.mix(words + np.uint64(1))) >> np.uint64(32)
+    hashed, check = run_hashes(first, last, words, lo, hi), run_hashes(first, last, textbytes.mix(words + np.uint64(1)), lo, hi) >> np.uint64(32)
     base = np.searchsorted(row, row[lo])
-    return row[lo], lo - base, hi - base, hashed(words), check
+    return row[lo], lo - base, hi - base, hashed, check
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,20 +145,28 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, lo, hi, span, check = spans(data, offsets)
             row = pa.array(row + at)
             yield pa.record_batch(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(span.view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32))],
-                names=["doc_id", "text_hash", "lo", "hi", "span", "check"],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(lo.astype(np.int64) << 32 | hi), pa.array(span.view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32))],
+                names=["doc_id", "text_hash", "place", "span", "check"],
             )
 
 
 def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the pieces of the given ranges, and how many were
-    removed. What stands before the first piece stays."""
+    """The text without the pieces of the given (place, span)s, and how many were
+    removed. A place is first piece and one past the last; where the span isn't
+    what stands there, it is another document's of the same hash. What stands
+    before the first piece stays."""
     raw = text.encode("utf-8")
-    first, _, _, _, start, *_ = pieces(textbytes.LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
+    first, last, _, _, start, _, words, _ = pieces(textbytes.LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
+    place, span = np.array(covered, np.int64).reshape(-1, 2).T
+    lo, hi = place >> 32, place & 0xFFFFFFFF
+    own = hi <= len(first)
+    lo, hi, span = lo[own], hi[own], span[own]
+    if len(lo):
+        own = run_hashes(first, last, words, lo, hi) == span.view(np.uint64)
+        lo, hi = lo[own], hi[own]
     gone = np.zeros(len(first) + 1, np.int64)
-    for lo, hi in covered:
-        gone[lo] += 1
-        gone[hi] -= 1
+    np.add.at(gone, lo, 1)
+    np.add.at(gone, hi, -1)
     gone = np.cumsum(gone)[:-1] > 0
     edges = [*start[first].tolist(), len(raw)]
     kept = [raw[: edges[0]], *(raw[edges[i] : edges[i + 1]] for i in range(len(first)) if not gone[i])]
@@ -173,7 +182,7 @@ def _cleaned(text_at: int, covered_at: int, names: list[str]):
             if len(touched):
                 values = texts.to_pylist()
                 for i in touched.tolist():
-                    values[i], removed[i] = without(values[i], [(c["lo"], c["hi"]) for c in covered[i].as_py()])
+                    values[i], removed[i] = without(values[i], [(c["place"], c["span"]) for c in covered[i].as_py()])
                 texts = pa.array(values, texts.type)
             columns = [texts if i == text_at else c for i, c in enumerate(batch.columns) if i != covered_at]
             yield pa.record_batch([*columns, pa.array(removed)], names=[*names, "n_removed"])
@@ -193,9 +202,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     36 words the run that holds twenty, is hashed over A-Z-lowered words and joined over all documents; in scripts
     without blanks two characters count as a word. So a passage of 48 words has a
     run that its copies have too, whatever its marks. The first place is the
-    least (doc_id, hash of text, piece), nulls first; places in one document
+    least (doc_id, 32-bit hash of text, piece), nulls first; places in one document
     count too.
 
+    A place is told by doc_id, that hash and its pieces, and before it is taken
+    out its words are hashed again: texts of one id and hash can't harm each other.
     A column n_removed of the input is replaced. A null text stays null; rows alike in doc_id and text are one document, all
     get its text; a text whose every piece is repeated becomes empty, its
     row stays; an empty table gives an empty table. Counts and first places
@@ -205,15 +216,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     text_batches(docs.sparkSession)
     docs = docs.drop("n_removed")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text")
     places = keyed.where("text is not null").mapInArrow(_spans, SPANS)
-    repeated = places.groupBy("span", "check").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "lo")).alias("first")).where("n > 1")
+    repeated = places.groupBy("span", "check").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first")).where("n > 1")
     repeated = materialize(repeated.select("span", "check", "first"), "substring-spans")
     later = places.join(repeated.hint("merge"), ["span", "check"]).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("lo") == F.col("first.lo")))
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("place") == F.col("first.place")))
     )
-    covered = later.select(F.col("doc_id").alias("__lex_doc"), F.col("text_hash").alias("__lex_hash"), "lo", "hi").groupBy("__lex_doc", "__lex_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("__lex_covered"))
-    joined = docs.withColumn("__lex_hash_of", F.xxhash64("text")).join(
+    covered = later.select(F.col("doc_id").alias("__lex_doc"), F.col("text_hash").alias("__lex_hash"), "place", "span").groupBy("__lex_doc", "__lex_hash").agg(F.collect_set(F.struct("place", "span")).alias("__lex_covered"))
+    joined = docs.withColumn("__lex_hash_of", F.hash("text")).join(
         covered, (F.col("__lex_hash_of") == F.col("__lex_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__lex_doc")), "left"
     )
     out = joined.select(*docs.columns, "__lex_covered")
