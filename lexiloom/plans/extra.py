@@ -9,6 +9,7 @@ from lexiloom.functions import text as T
 from lexiloom.operators import chunking, datasets, enrichment, evaluation, graph, lifecycle, retrieval, tables, verification
 from lexiloom.plans.catalog import EDGES, METRICS, TOKENS, WEIGHED, _edges, _metrics, _weighed, register
 from lexiloom.session import table
+from lexiloom.sources.readers import html_markdown, image_address, read_texts
 from lexiloom.streaming import tasks
 
 # ---- search tables
@@ -464,3 +465,85 @@ def conversation_prompts(spark, d):
     questions = c.select("conv_id").distinct().select("conv_id", F.col("conv_id").alias("query_id"), F.lit("why?").alias("question"))
     none = questions.select("query_id", F.lit("").alias("context")).where("false")
     return verification.prompts(questions, none, c.select("conv_id", "turn", "role", "text"))
+
+
+# ---- small functions and readers over whole tables
+
+
+@register("content_keys", "SELECT doc_id, left(sha256(lang || chr(1) || source || chr(1) || text), 16) AS key FROM documents")
+def content_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.content_key(F.col("lang"), F.col("source"), F.col("text")).alias("key"))
+
+
+@register("section_prefixes", "SELECT doc_id, md5('[' || source || CASE WHEN lang != 'en' THEN ' - ' || lang ELSE '' END || ']' || chr(10) || text) AS digest FROM documents")
+def section_prefixes(spark, d):
+    section = F.when(F.col("lang") != "en", F.col("lang")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.md5(T.section_prefix(F.col("source"), section, F.col("text"))).alias("digest"))
+
+
+@register("score_distances", "SELECT s_suppkey, CASE WHEN s_acctbal / 10000 > 0 THEN greatest(0.0, 1 - s_acctbal / 10000) ELSE 1.0 END AS distance FROM supplier")
+def score_distances(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", T.distance(F.col("s_acctbal") / 10000).alias("distance"))
+
+
+@register("keyword_lists", "SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(text, '[,，]'), lambda x: trim(x)), lambda x: x != '')) AS BIGINT) AS n, md5(array_to_string(list_filter(list_transform(string_split_regex(text, '[,，]'), lambda x: trim(x)), lambda x: x != ''), '|')) AS digest FROM documents")
+def keyword_lists(spark, d):
+    words = T.split_keywords(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n"), F.md5(F.array_join(words, "|")).alias("digest"))
+
+
+@register("adjacent_similarity", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+def adjacent_similarity(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e"))
+    return v.join(after, "vec_id").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("e")), 6).alias("sim"))
+
+
+@register("lenient_json", "SELECT event_id, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events")
+def lenient_json(spark, d):
+    reply = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("it is\n```json\n"), "props", F.lit("\n```\nso"))).otherwise(F.concat(F.lit("it is "), "props", F.lit(" so")))
+    return table(spark, d, "events").select("event_id", T.lenient_json(reply, "k long")["k"].alias("k"))
+
+
+@register("first_topics", "SELECT doc_id, trim(source) AS topic FROM documents")
+def first_topics(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.topics(F.concat(F.lit("## "), "source", F.lit("\n"), "text"))[0].alias("topic"))
+
+
+@register("citation_marks", "SELECT conv_id, turn, CAST(turn + 1 AS INTEGER) AS index, '[' || (turn + 1) AS marker, CAST(length(regexp_replace(text, '[\\[【]', '', 'g')) AS INTEGER) AS position FROM conversations")
+def citation_marks(spark, d):
+    answer = F.concat(F.regexp_replace("text", r"[\[【]", ""), F.lit("["), F.col("turn") + 1, F.lit("]"))
+    first = F.get(F.filter(T.citation_marks(answer), lambda x: x["marker"].startswith("[")), F.lit(0))
+    return table(spark, d, "conversations").select("conv_id", "turn", first["index"].alias("index"), first["marker"].alias("marker"), first["position"].alias("position"))
+
+
+def _files(df, name, content):
+    return df.select(name.alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+@register("read_csv_files", "SELECT 'n' || n_nationkey || '.csv' AS path, '| name | key |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_nationkey || ' |' || chr(10) || '| only |  |' AS text FROM nation")
+def read_csv_files(spark, d):
+    content = F.concat(F.lit("name,key\n"), "n_name", F.lit(","), "n_nationkey", F.lit(",more\n\nonly\n"))
+    return read_texts(_files(table(spark, d, "nation"), F.concat(F.lit("n"), "n_nationkey", F.lit(".csv")), content)).select("path", "text")
+
+
+@register("read_json_files", "SELECT 'c' || c_custkey || '.json' AS path, 'who.name: ' || c_name || chr(10) || 'who.tags[0]: ' || c_mktsegment || chr(10) || 'who.tags[1]: ' || c_nationkey || chr(10) || 'none: {}' AS text FROM customer")
+def read_json_files(spark, d):
+    who = F.concat(F.lit('{"who": {"name": "'), "c_name", F.lit('", "tags": ["'), "c_mktsegment", F.lit('", '), "c_nationkey", F.lit(']}, "none": {}}'))
+    return read_texts(_files(table(spark, d, "customer"), F.concat(F.lit("c"), "c_custkey", F.lit(".json")), who)).select("path", "text")
+
+
+@register("read_unknown_files", "SELECT 'p' || page_id || '.xyz' AS path, 'unsupported format: xyz' AS error FROM pages")
+def read_unknown_files(spark, d):
+    return read_texts(_files(table(spark, d, "pages"), F.concat(F.lit("p"), "page_id", F.lit(".xyz")), F.col("html"))).select("path", "error")
+
+
+@register("html_markdown")
+def html_markdown_query(spark, d):
+    each = F.pandas_udf(lambda s: s.map(lambda x: html_markdown(x or "")), "string")
+    return table(spark, d, "pages").select("page_id", each("html").alias("text"))
+
+
+@register("image_addresses", "SELECT page_id, left(md5(html), 12) || '.png' AS name FROM pages")
+def image_addresses(spark, d):
+    return table(spark, d, "pages").select("page_id", image_address(F.encode("html", "UTF-8")).alias("name"))
