@@ -43,14 +43,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later stages and
     recomputations after a lost executor start from these files."""
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this process has written, once no
+    result that reads them is needed any more; tells how many there were."""
+    paths, hadoop = [_written.pop() for _ in range(len(_written))], spark._jvm.org.apache.hadoop.fs
+    for name in paths:
+        path = hadoop.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Caps the rows of an Arrow batch, for operators that hand whole texts to
     Python: the default of 10,000 long documents is more than a worker needs."""

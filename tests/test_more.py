@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom import session
 from lexiloom.functions import text as T
 from lexiloom.functions.models import Models
 from lexiloom.operators import datasets, enrichment, evaluation, graph, lifecycle, retrieval, verification
@@ -215,3 +216,11 @@ def test_readers_of_pages_and_models():
         models.get("chat", "none")
     with pytest.raises(ValueError):
         models.add("odd", "x", len)
+
+
+def test_clear_scratch(spark, monkeypatch):
+    monkeypatch.setattr(session, "_written", [])
+    df = session.materialize(spark.range(3), "x")
+    assert df.count() == 3 and session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|not found|FILE_NOT_EXIST"):
+        spark.read.parquet(df.inputFiles()[0]).count()
