@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, on a small table
 with nulls, empty, long and repeated texts, ties and clashing columns."""
 
+import bisect
 import gzip
 import random
 import re
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontamination, language_id, licenses, packing, pitman_yor, quality_model, quality_rules, simhash, substrings, textbytes, warc
@@ -95,7 +97,7 @@ def summed(plan, buckets):
 def test_op1_is_a_distribution(parts):
     """After any context, probabilities of all words and of the unknown one sum to 1,
     at each level and over buckets, also where a word's followers are dealt in parts."""
-    rng = random.Random(4)
+    s, rng = pitman_yor.SAMPLES, random.Random(4)
     words = [f"w{i}" for i in range(12)]
     texts = [" ".join(rng.choices(words, weights=range(1, 13), k=rng.randint(1, 30))) for _ in range(60)]
     every = [f"{x} {v} {w}" for x in words[-3:] for v in words for w in words]  # every word after some contexts
@@ -107,12 +109,12 @@ def test_op1_is_a_distribution(parts):
     for x in buckets:
         list(pitman_yor.scored_rows(plan, x, sorted(answers[x.number].items()), totals))
         owner = plan.owner(x.keys(), plan.owners)
-        sums, order = np.zeros((len(owner), 7), np.int64), np.argsort(owner, kind="stable")
+        sums, order = np.zeros((len(owner), 1 + 2 * s), np.int64), np.lexsort((x.keys(), owner))
         for o, blob in answers[x.number].items():
             sums[order[owner[order] == o]] = np.column_stack(pitman_yor.unpack(blob))
         again = pitman_yor.Bucket(plan, x.number, list(range(len(dealt([*texts, *every], plan)[x.number]))), dealt([*texts, *every], plan)[x.number], x.seats())
-        score = x.scores(sums[:, :4], sums[:, 4:], totals)[0]
-        assert np.array_equal(score, again.scores(sums[:, :4], sums[:, 4:], totals)[0])
+        score = x.scores(sums[:, : 1 + s], sums[:, 1 + s :], totals)[0]
+        assert np.array_equal(score, again.scores(sums[:, : 1 + s], sums[:, 1 + s :], totals)[0])
         for t, p in enumerate(10**score):
             c = x.context[t]
             key = (x.names[x.context_further[c]], x.names[x.context_before[c]])
@@ -120,8 +122,8 @@ def test_op1_is_a_distribution(parts):
         dishes = x.shared()[0]
         for d, one in zip(x.names[dishes], sums, strict=False):
             roots[d] = one
-    whole = sum((np.concatenate([r[1:4], r[4:7]]) for r in roots.values()), np.zeros(6))
-    assert np.array_equal(whole, totals) and len(roots) == 13 and all((r[1:4] >= r[4:7]).all() for r in roots.values())
+    whole = sum((r[1:] for r in roots.values()), np.zeros(2 * s))
+    assert np.array_equal(whole, totals) and len(roots) == 13 and all((r[1 : 1 + s] >= r[1 + s :]).all() for r in roots.values())
     full = [sum(p.values()) for p in after.values() if len(p) == 13]
     assert len(full) >= 36 and min(full) > 0.999 and max(sum(p.values()) for p in after.values()) < 1  # the rest is the unknown word's
 
@@ -225,6 +227,38 @@ def test_op3(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def brute_fingerprint(text):
+    words = [w.encode() for w in re.findall(SPACE, lowered(text))]
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_op3_against_brute_force(spark):
+    """Fingerprints, and components by all pairs, of texts with near copies."""
+    rng = random.Random(9)
+    long = passage(3000).split()
+    texts = [*TEXTS, " ".join(long), "ÀÉ İ\x0bx\x1cy z", "A b", "\u3000a b c", "x" * 5000]
+    for _ in range(60):
+        near = long[:]
+        for _ in range(rng.choice([1, 2, 30])):
+            near[rng.randrange(len(near))] = "zz"
+        texts.append(" ".join(near))
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    prints = [brute_fingerprint(t) for t in texts]
+    want = groups(prints, list(range(len(texts))))
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{p:016x}", want[i]) for i, p in enumerate(prints)}
+    assert len(set(want.values())) < len(set(prints)) < len(texts)
+
+
+def test_op3_deduplicate_ties(spark):
+    """Of rows alike in doc_id and text one stays, whichever partition it comes from."""
+    rows = [(1, BASE[0], s, {"k": s}) for s in "cab"] + [(None, BASE[1], "z", None), (None, BASE[1], None, None), (2, None, "q", None), (3, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, m map<string,string>")
+    kept = [{tuple(map(str, r)) for r in simhash.deduplicate(df.repartition(n)).collect()} for n in (1, 4)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
 def test_op3_dense_buckets(spark):
     """A ball of near fingerprints is linked alike by comparing and by wiping bits."""
     rng = np.random.default_rng(3)
@@ -248,6 +282,59 @@ def test_op4(docs, none):
     assert substrings.remove_repeats(docs).count() == len(ROWS) and substrings.remove_repeats(none).count() == 0
 
 
+def brute_spans(text):
+    """Pieces of a text as (start, end) and its runs {(lo, hi): words}, told word by word (ASCII)."""
+    raw = text.encode()
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    words = [raw[s:e].lower() for s, e in at]
+    n = len(words)
+    ends = [i == n - 1 or raw[at[i][1] - 1 : at[i][1]] in b".!?;:," or b"\n" in raw[at[i][1] : at[i + 1][0]] for i in range(n)]
+    hashed = [int(textbytes.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) >> 32 for w in words]
+    closes = ends[:]
+    for i in range(n - 9):
+        if not any(ends[i : i + 10]):
+            closes[min(range(i, i + 10), key=lambda j: (hashed[j], -j))] = True
+    last = [i + 1 for i in range(n) if closes[i]]
+    pieces = list(zip([0, *last[:-1]], last, strict=False))
+    runs, opens = set(), [0] + [k + 1 for k, (_, e) in enumerate(pieces) if ends[e - 1]]
+    for k in range(len(pieces)):
+        short = False
+        if k in opens[:-1]:
+            s = opens.index(k)
+            to = next((t for t in range(s + 3, len(opens)) if pieces[opens[t] - 1][1] - pieces[k][0] >= 10), None)
+            if to:
+                runs.add((k, opens[to]))
+                short = pieces[opens[to] - 1][1] - pieces[k][0] <= 36
+        to = next((t for t in range(k + 1, len(pieces) + 1) if pieces[t - 1][1] - pieces[k][0] >= 20), None)
+        if to and not short:
+            runs.add((k, to))
+    return [at[s][0] for s, _ in pieces] + [len(raw)], {(a, b): tuple(words[pieces[a][0] : pieces[b - 1][1]]) for a, b in runs}
+
+
+def test_op4_against_brute_force(spark):
+    """Texts and removed pieces are those of a word-by-word version, with repeats within and between documents and equal ids."""
+    rng = random.Random(8)
+    passages = [" ".join(rng.choice(WORDS[:40]) + rng.choice(["", "", "", ".", ",", "\n"]) for _ in range(rng.randint(12, 70))) for _ in range(12)]
+    texts = [(i, " ".join(rng.choice([rng.choice(passages), passage(rng.randint(3, 30))]) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    texts += [(7, "one two three. " * 9), (7, passages[0]), (61, ""), (62, " .\n ")]
+    kept, seen = {}, Counter()
+    made = {x: brute_spans(x[1]) for x in texts}
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    hashes = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1))).collect()}
+    first = {}
+    for x, (_, runs) in made.items():
+        for (lo, hi), words in runs.items():
+            place = (x[0], hashes[x], lo)
+            first[words] = min(first.get(words, place), place)
+            seen[words] += 1
+    for x, (edges, runs) in made.items():
+        gone = {k for (lo, hi), words in runs.items() if first[words] != (x[0], hashes[x], lo) for k in range(lo, hi)}
+        raw = x[1].encode()
+        kept[x] = (raw[: edges[0]] + b"".join(raw[edges[k] : edges[k + 1]] for k in range(len(edges) - 1) if k not in gone)).decode(), len(gone)
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in substrings.remove_repeats(df).collect()]
+    assert sorted(got) == sorted((x[0], *kept[x]) for x in texts) and sum(n for _, n in kept.values()) > 200
+
+
 def test_op5(spark, docs, none):
     labels = docs.where("doc_id is not null").select("doc_id", (F.length("text") > 300).cast("int").alias("quality"), F.lit(1).alias("score"))
     got = quality_model.score_quality(docs, labels).collect()
@@ -260,6 +347,55 @@ def test_op5(spark, docs, none):
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.85
 
 
+def test_op5_scores_are_sums_of_lookups():
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, len(quality_model.NAMES)))
+    model = quality_model.fit(x[:2000], (x[:2000, 0] + x[:2000, 3] * x[:2000, 4] > 0.8).astype(float))
+    for row, score in zip(x[2000:2100], model.score(x[2000:2100]), strict=True):
+        total = model.base + sum(model.tables[f][bisect.bisect_right(model.edges[f].tolist(), v)] for f, v in enumerate(row))
+        total += sum(t[bisect.bisect_right(model.coarse[f].tolist(), row[f])][bisect.bisect_right(model.coarse[g].tolist(), row[g])] for (f, g), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_op5_and_op6_on_held_out_rows(spark):
+    """Quality and language of rows that were not learnt from, on the generated tables."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    scored = quality_model.score_quality(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    assert len(scored) > 50 and np.mean([r["predicted"] == r["quality"] for r in scored]) > 0.95
+    told = language_id.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred != 'und'").collect()
+    assert len(told) > 150 and np.mean([r["lang_pred"] == r["lang"] for r in told]) > 0.98
+
+
+def test_op6_against_exact_sets(spark):
+    """Filters answer as exact sets of n-grams do, but for the share that they tell by chance."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh" if i % 3 else "efghijkl") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(5, 60))), "xyz"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    counts = {x: Counter(t.encode()[i : i + 4] for _, t, y in rows if y == x for i in range(len(t) - 3)) for x in "xyz"}
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    for i, x in enumerate(model.languages):
+        exact = {g for g, s in share[x].items() if s >= language_id.LEAST_SHARE and s >= language_id.OF_LARGEST * max(o.get(g, 0) for o in share.values())}
+        every = set().union(*share.values())
+        grams = np.array([int.from_bytes(g, "little") for g in every], np.uint32)
+        mask = np.bitwise_and.reduce([model.masks[0][s] for s in language_id.slots(grams)])
+        said = {g for g, m in zip(every, mask.tolist(), strict=True) if m >> i & 1}
+        assert exact <= said and len(said - exact) <= 3 * model.false_rate[i] * len(every) + 5
+
+
+@pytest.mark.parametrize("text", ["word " * 200_000, "x" * 1_000_000, "\n" * 300_000, "é。" * 200_000])
+def test_very_long_texts(spark, text):
+    """One text of a million bytes passes every operator on documents, beside a short one."""
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, BASE[0], "en", "s")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    outs = [pitman_yor.score_texts(docs), licenses.scan_licenses(docs), simhash.near_duplicates(docs), substrings.remove_repeats(docs), quality_model.score_quality(docs, labels), language_id.identify(docs), quality_rules.quality_verdicts(docs, labels)]
+    assert [x.count() for x in outs] == [2] * 7 and decontamination.leaks(docs, items).count() == 0
+
+
 def test_op6(spark, none):
     rng = random.Random(1)
     texts = [(i, " ".join("".join(rng.choice("abcde" if i % 2 else "vwxyz") for _ in range(5)) for _ in range(30)), "ab"[i % 2], None, 0, True, 0, "") for i in range(200)]
@@ -296,10 +432,37 @@ def test_op8(spark, docs, none):
         lines = [x for x in (r["text"] or "").split("\n") if re.search(SPACE, x)]
         failed = len(w) < 50 or 100 * len(places) > 50 * len(w)
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"], r["base_failed"]) == (len(w), sum(map(len, w)), len(places), len(lines) - len(set(lines)), failed)
-        assert not (failed and r["kept"])
+        assert r["n_symbols"] == sum((r["text"] or "").count(c) for c in "#*$%&|<>") and r["kept"] == (not failed and r["llr"] >= quality_rules.LEAST)
     assert quality_rules.quality_verdicts(none, labels).count() == 0
 
 
+def test_op8_ratio_against_brute_force(spark, docs):
+    """The mean log ratio of every document, from counts that are taken gram by gram."""
+    labels = docs.where("doc_id < 20").select("doc_id", F.lit(1).alias("quality"))
+    texts = [(i, n, re.findall(SPACE, r["text"] or "")) for n, r in enumerate(docs.select("doc_id", "text").collect()) for i in [r["doc_id"]]]
+    grams = [(i, n, k, g) for i, n, w in texts for j, x in enumerate(w) for k, g in enumerate([(x,), (x, w[j + 1] if j + 1 < len(w) else ""), (x[-3:],)])]
+    table = spark.createDataFrame([(i, n, k, *g, *[None] * (2 - len(g))) for i, n, k, g in grams], "doc_id long, n int, kind int, a string, b string")
+    hashed = table.withColumn("bucket", F.pmod(F.when(F.col("kind") == 1, F.xxhash64("a", "b")).otherwise(F.xxhash64("a")), F.lit(quality_rules.BUCKETS))).select("doc_id", "n", "kind", "bucket").collect()
+    raw, target = Counter(), Counter()
+    for r in hashed:
+        raw[r["kind"], r["bucket"]] += 1
+        target[r["kind"], r["bucket"]] += r["doc_id"] is not None and r["doc_id"] < 20
+    total = {k: (sum(v for (x, _), v in raw.items() if x == k), sum(v for (x, _), v in target.items() if x == k)) for k in range(3)}
+
+    def ratio(k, b):
+        n, m = total[k]
+        q = raw[k, b] / n
+        p = (target[k, b] + q) / (m + 1)
+        return np.log((m * p + quality_rules.BUCKETS * q) / (m + quality_rules.BUCKETS) / q)
+
+    sums = Counter()
+    for r in hashed:
+        sums[r["n"]] += ratio(r["kind"], r["bucket"])
+    want = sorted((round(sums[n] / (3 * len(w)), 5) if w else 0.0) for _, n, w in texts)
+    got = sorted(round(r["llr"], 5) for r in quality_rules.quality_verdicts(docs, labels).select("llr").collect())
+    assert got == pytest.approx(want, abs=2e-5)
+
+
 def test_op9(spark):
     page = '<html><head><title>A &amp; B</title><script>no()</script></head><body><p>one <a href="/x?y=1">two</a></p><!-- no --><p>three</body>'
     pages = spark.createDataFrame([(1, "http://h.org/d/", page), (1, "http://h.org/d/", page), (2, None, None)], "page_id long, url string, html string")
@@ -459,6 +622,34 @@ def test_pipeline(spark):
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_a_fixture(spark, tmp_path, empty):
+    """Nulls, repeats, clashing columns and an empty table; every stage's decisions, and all tokens of what is left packed once."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([] if empty else ROWS, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert sorted(now.columns) == sorted(docs.columns)
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        left.append({r["doc_id"]: r["text"] for r in now.collect()})
+    tokenizer = Tokenizer.from_file(pipeline.public_tokenizers.path(pipeline.TOKENIZER))
+    packed = pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in left[-1].values())
+    assert {r["doc_id"] for r in packed} == set(left[-1])
+    if not empty:
+        long = {i: t for i, t, *_ in ROWS if len((t or "").split()) >= 50}
+        assert set(left[0]) <= set(long) and {40, 41} & set(left[0]) and not {40, 41} & set(left[1]) and set(range(9)) <= set(left[1])
+        assert SHARED[20:] in left[1][44] and SHARED[20:] not in left[2][44] and set(left[2]) == set(left[1])
+        assert set(left[2]) - set(left[3]) == {45}
+
+
 @pytest.mark.parametrize("kind", ["no marks", "few words", "chinese", "chinese marks", "arabic"])
 def test_op4_passages_without_ascii_marks(spark, kind):
     """A passage between differing texts of one line loses all but its ends in the second place."""
