@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import tokens
 from lexiloom.operators.tables import condition
+from lexiloom.session import materialize
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -24,8 +25,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, least_match: float =
 
     One pass over the documents: only query terms leave the tokenised scan, and
     for every document one empty term, whose postings are the number of
-    documents and their lengths. Counts are summed before they meet the queries.
-    A hit matches at least ``least_match`` of the query's distinct terms, rounded
+    documents and their lengths. Counts are summed before they meet the queries,
+    and these postings, all that is read again, are written. A hit matches at least ``least_match`` of the query's distinct terms, rounded
     down. Which side is broadcast is left to Spark, which knows their sizes.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
@@ -34,6 +35,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, least_match: float =
     sized = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     each = sized.select("doc_id", F.size("terms").alias("length"), F.explode(F.array_append("terms", F.lit(NO_TERM))).alias("term"))
     postings = each.join(wanted.select("term").union(every).distinct(), "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    postings = materialize(postings, "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
     whole = df.where(F.col("term") == NO_TERM).select(F.col("df").alias("n"), "mean")
     idf = df.where(F.col("term") != NO_TERM).drop("mean").join(F.broadcast(whole)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
