@@ -24,7 +24,8 @@ MARKS = np.array(sorted(map(ord, "\u037e\u0387\u0589\u05c3\u060c\u061b\u061f\u06
 NO_BLANKS = np.array([(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x3190, 0xA4CF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)])
 LEADS = np.zeros(256, dtype=bool)
 LEADS[[0xCD, 0xCE, 0xD6, 0xD7, 0xD8, 0xDB, 0xDC, *range(0xE0, 0xF5)]] = True
-SPANS = "doc_id long, text_hash int, place long, span long, check int"
+SPANS = "doc long, mark long, tail long, span long"
+TEXT_BITS, RUN_BITS = 24, 40
 
 
 def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,25 +141,27 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, mark, tail, span) of every run: the document; first piece and check;
+    bits of its text's hash and the number of pieces. Four full words for each, as
+    these rows are what the shuffles hold."""
     for batch in batches:
+        bits = batch.column(1).to_numpy() & ((1 << TEXT_BITS) - 1)
         for at, data, offsets in textbytes.chunks(batch.column(2)):
             row, lo, hi, span, check = spans(data, offsets)
-            row = pa.array(row + at)
-            yield pa.record_batch(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(lo.astype(np.int64) << 32 | hi), pa.array(span.view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32))],
-                names=["doc_id", "text_hash", "place", "span", "check"],
-            )
-
-
-def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the pieces of the given (place, span)s, and how many were
-    removed. A place is first piece and one past the last; where the span isn't
-    what stands there, it is another document's of the same hash. What stands
-    before the first piece stays."""
+            mark = lo.astype(np.int64) << 32 | check.astype(np.int64)
+            tail = bits[row + at] << RUN_BITS | (hi - lo)
+            yield pa.record_batch([batch.column(0).take(pa.array(row + at)), pa.array(mark), pa.array(tail), pa.array(span.view(np.int64))], names=["doc", "mark", "tail", "span"])
+
+
+def without(text: str, covered: list[tuple[int, int, int]]) -> tuple[str, int]:
+    """The text without the pieces of the given runs (mark, tail, span), and how
+    many were removed. Where a run's words aren't what stands there, it is
+    another text's of the same document. What stands before the first piece stays."""
     raw = text.encode("utf-8")
     first, last, _, _, start, _, words, _ = pieces(textbytes.LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]))
-    place, span = np.array(covered, np.int64).reshape(-1, 2).T
-    lo, hi = place >> 32, place & 0xFFFFFFFF
+    mark, tail, span = np.array(covered, np.int64).reshape(-1, 3).T
+    lo = mark >> 32
+    hi = lo + (tail & ((1 << RUN_BITS) - 1))
     own = hi <= len(first)
     lo, hi, span = lo[own], hi[own], span[own]
     if len(lo):
@@ -182,7 +185,7 @@ def _cleaned(text_at: int, covered_at: int, names: list[str]):
             if len(touched):
                 values = texts.to_pylist()
                 for i in touched.tolist():
-                    values[i], removed[i] = without(values[i], [(c["place"], c["span"]) for c in covered[i].as_py()])
+                    values[i], removed[i] = without(values[i], [(c["mark"], c["tail"], c["span"]) for c in covered[i].as_py()])
                 texts = pa.array(values, texts.type)
             columns = [texts if i == text_at else c for i, c in enumerate(batch.columns) if i != covered_at]
             yield pa.record_batch([*columns, pa.array(removed)], names=[*names, "n_removed"])
@@ -202,11 +205,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     36 words the run that holds twenty, is hashed over A-Z-lowered words and joined over all documents; in scripts
     without blanks two characters count as a word. So a passage of 48 words has a
     run that its copies have too, whatever its marks. The first place is the
-    least (doc_id, 32-bit hash of text, piece), nulls first; places in one document
+    least (doc_id, 24 bits of the text's hash, piece), a null id being the hash of its text; places in one document
     count too.
 
-    A place is told by doc_id, that hash and its pieces, and before it is taken
-    out its words are hashed again: texts of one id and hash can't harm each other.
+    Before a run is taken out its words are hashed again: texts of one id and
+    equal bits can't harm each other.
     A column n_removed of the input is replaced. A null text stays null; rows alike in doc_id and text are one document, all
     get its text; a text whose every piece is repeated becomes empty, its
     row stays; an empty table gives an empty table. Counts and first places
@@ -216,17 +219,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     text_batches(docs.sparkSession)
     docs = docs.drop("n_removed")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text")
-    places = keyed.where("text is not null").mapInArrow(_spans, SPANS)
-    repeated = places.groupBy("span", "check").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "place")).alias("first")).where("n > 1")
-    repeated = materialize(repeated.select("span", "check", "first"), "substring-spans")
-    later = places.join(repeated.hint("merge"), ["span", "check"]).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("place") == F.col("first.place")))
-    )
-    covered = later.select(F.col("doc_id").alias("__lex_doc"), F.col("text_hash").alias("__lex_hash"), "place", "span").groupBy("__lex_doc", "__lex_hash").agg(F.collect_set(F.struct("place", "span")).alias("__lex_covered"))
-    joined = docs.withColumn("__lex_hash_of", F.hash("text")).join(
-        covered, (F.col("__lex_hash_of") == F.col("__lex_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__lex_doc")), "left"
-    )
+    document = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    places = docs.where("text is not null").select(document.alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_spans, SPANS)
+    repeated = places.groupBy("span").agg(F.count("*").alias("n"), F.min(F.struct("doc", F.shiftrightunsigned("tail", RUN_BITS).alias("bits"), "mark")).alias("first")).where("n > 1")
+    repeated = materialize(repeated.select("span", "first"), "substring-spans")
+    met = places.join(repeated.hint("merge"), "span").withColumn("bits", F.shiftrightunsigned("tail", RUN_BITS))
+    low = F.lit((1 << 32) - 1)
+    alike = F.col("mark").bitwiseAND(low) == F.col("first.mark").bitwiseAND(low)
+    later = met.where(alike & ~((F.col("doc") == F.col("first.doc")) & (F.col("bits") == F.col("first.bits")) & (F.col("mark") == F.col("first.mark"))))
+    covered = later.select(F.col("doc").alias("__lex_doc"), F.col("bits").alias("__lex_bits"), "mark", "tail", "span").groupBy("__lex_doc", "__lex_bits").agg(F.collect_set(F.struct("mark", "tail", "span")).alias("__lex_covered"))
+    keyed = docs.withColumns({"__lex_of": document, "__lex_text": F.xxhash64("text").bitwiseAND(F.lit((1 << TEXT_BITS) - 1))})
+    joined = keyed.join(covered, (F.col("__lex_of") == F.col("__lex_doc")) & (F.col("__lex_text") == F.col("__lex_bits")), "left")
     out = joined.select(*docs.columns, "__lex_covered")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return out.mapInArrow(_cleaned(docs.columns.index("text"), len(docs.columns), docs.columns), f"{schema}, n_removed long")
