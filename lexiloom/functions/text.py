@@ -17,10 +17,14 @@ INTENTS = [
     ("factoid", 0.9, "什么是|是什么|有哪些|定义|含义|概念|作用|功能|特点|类型|分类|版本|区别"),
 ]
 CLAUSES = "[，,；;、和与及或以]"
+# How names of laws and rules are made, how sources are cited, and
+# what is put under an answer at medium risk, at high risk, and before its claims.
+LAW = r"(?:中华人民共和国)?[一-鿿]{2,20}(?:法|条例|规定|办法|决定|意见|通知|细则|准则|通则|方案|标准)(?:（[^）]+）)?"
+CITED = r"(?:\[来源\s*|\[|【来源\s*|参考\s*)(\d+)"
+DISCLAIMERS = ["⚠️ 部分内容可能缺乏文档支撑，请谨慎参考。", "⚠️ 该回答可能包含未经文档验证的内容。", "\n以下内容可能缺乏支撑：\n"]
 CODE = r"[.\[\](){}\-><_]"
 #: A Chinese character, or a run of other letters and digits.
 WORD = r"[一-鿿]|[\p{L}\p{N}&&[^一-鿿]]+"
-LAW = r"(?:中华人民共和国)?[一-鿿]{2,20}(?:法|条例|规定|办法|决定|意见|通知|细则|准则|通则|方案|标准)(?:（[^）]+）)?"
 
 
 def tokens(text: Column) -> Column:
@@ -141,8 +145,9 @@ def disclaimer(risk: Column, unsupported: Column, most: int = 3, length: int = 5
     """What is put under an answer: nothing at low risk; at high risk the first
     unsupported claims too, cut short."""
     shown = F.transform(F.slice(unsupported, 1, most), lambda x: F.concat(F.lit("- "), F.when(F.char_length(x) > length, F.concat(F.left(x, F.lit(length)), F.lit("..."))).otherwise(x)))
-    high = F.concat(F.lit("⚠️ 该回答可能包含未经文档验证的内容。"), F.when(F.size(shown) > 0, F.concat(F.lit("\n以下内容可能缺乏支撑：\n"), F.array_join(shown, "\n"))).otherwise(""))
-    return F.when(risk == "low", "").when(risk == "medium", "⚠️ 部分内容可能缺乏文档支撑，请谨慎参考。").otherwise(high)
+    medium, begins, claims = DISCLAIMERS
+    high = F.concat(F.lit(begins), F.when(F.size(shown) > 0, F.concat(F.lit(claims), F.array_join(shown, "\n"))).otherwise(""))
+    return F.when(risk == "low", "").when(risk == "medium", medium).otherwise(high)
 
 
 def coerced(value: str) -> int | float | bool | str:
@@ -162,10 +167,7 @@ def expired(at: Column, now: Column, seconds: Column | int) -> Column:
 
 def citations(answer: Column) -> Column:
     """Distinct cited numbers, in order of their first place."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"(?:\[来源\s*|\[|【来源\s*|参考\s*)(\d+)"), F.lit(1)), lambda x: x.cast("int")))
-
-
-CITED = r"(?:\[来源\s*|\[|【来源\s*|参考\s*)(\d+)"
+    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(CITED), F.lit(1)), lambda x: x.cast("int")))
 
 
 def citation_marks(answer: Column) -> Column:

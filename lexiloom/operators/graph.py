@@ -26,6 +26,8 @@ PREDICATES = {
 # Descriptions that deny a relation.
 DENIALS = ["no clear relationship", "not directly linked", "no direct relationship", "unrelated", "no relationship", "无明确关系", "无直接关联", "没有关系", "没有关联", "不相关"]
 SEPARATOR = "<SEP>"
+# Headings of what a graph tells of entities, relations, paths and communities.
+HEADINGS = ["## 知识图谱 - 相关实体", "## 知识图谱 - 相关关系", "## 知识图谱 - 关联路径", "## 知识图谱 - 社区报告"]
 
 
 def predicate_weight(predicate: Column) -> Column:
@@ -221,7 +223,7 @@ def graph_context(queries: DataFrame, entities: DataFrame, relations: DataFrame,
     p = paths.withColumn("n", first).where(F.col("n") <= most_paths).select("query_id", F.lit(2).alias("part"), F.concat(F.lit("- "), "path_text").alias("t"))
     c = reports.select("query_id", F.lit(3).alias("part"), F.concat(F.lit("- "), "report").alias("t"))
     parts = e.union(r).union(p).union(c).groupBy("query_id", "part").agg(F.array_join(F.array_sort(F.collect_list("t")), "\n").alias("t"))
-    heading = F.get(F.array(*(F.lit(f"## 知识图谱 - {x}\n") for x in ("相关实体", "相关关系", "关联路径", "社区报告"))), F.col("part"))
+    heading = F.get(F.array(*(F.lit(x + "\n") for x in HEADINGS)), F.col("part"))
     joined = parts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("part", F.concat(heading, "t").alias("t")))).alias("p"))
     return queries.select("query_id").join(joined.select("query_id", F.array_join(F.col("p.t"), "\n\n").alias("context")), "query_id", "left")
 
