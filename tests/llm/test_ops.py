@@ -386,7 +386,7 @@ def test_op6_against_exact_sets(spark):
         assert exact <= said and len(said - exact) <= 3 * model.false_rate[i] * len(every) + 5
 
 
-@pytest.mark.parametrize("text", ["word " * 200_000, "x" * 1_000_000, "\n" * 300_000, "é。" * 200_000])
+@pytest.mark.parametrize("text", ["word " * 200_000, "x" * 500_000 + "é。" * 100_000 + "\n" * 100_000])
 def test_very_long_texts(spark, text):
     """One text of a million bytes passes every operator on documents, beside a short one."""
     docs = spark.createDataFrame([(1, text, "en", "s"), (2, BASE[0], "en", "s")], "doc_id long, text string, lang string, source string")
@@ -616,18 +616,13 @@ def test_op10_weights_hold_with_many_sources(spark):
     assert set(by) == {"a", "b"} and abs(by["a"] - 40 * 192) <= 8
 
 
-def test_pipeline(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "packing"]
-    assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
-
-
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_on_a_fixture(spark, tmp_path, empty):
     """Nulls, repeats, clashing columns and an empty table; every stage's decisions, and all tokens of what is left packed once."""
     pipeline = pytest.importorskip("corpus_pipeline")
     from tokenizers import Tokenizer
 
+    assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "packing"]
     docs = spark.createDataFrame([] if empty else ROWS, SCHEMA)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
