@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm.decontamination import LEAKS_SQL
+from lexiloom.llm.source_audit import AUDIT_SQL
+from lexiloom.llm.source_mix import MIX_SQL
 from lexiloom.session import table
 
 
@@ -73,6 +75,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.source_audit import source_audit
+
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.source_mix import mixed_documents
+
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_license_scan": op2_license_scan,
@@ -84,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_packing": op10_packing,
+    "op11_source_audit": op11_source_audit,
+    "op12_source_mix": op12_source_mix,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLES: dict[str, str] = {"op7_decontamination": LEAKS_SQL}
+ORACLES: dict[str, str] = {"op7_decontamination": LEAKS_SQL, "op11_source_audit": AUDIT_SQL, "op12_source_mix": MIX_SQL}

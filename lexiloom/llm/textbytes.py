@@ -67,9 +67,10 @@ def chunks(texts: pa.Array, most: int = 4_000_000, lower: bool = True) -> Iterat
         row = end
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word; no word crosses rows."""
-    word = ~IS_SPACE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word, or of every run of the bytes that
+    ``word`` marks; none crosses rows."""
+    word = ~IS_SPACE[data] if word is None else word
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -109,3 +110,51 @@ def ngrams(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     m = len(words) - n + 1
     whole = row[:m] == row[n - 1 :]
     return combine(*(words[i : i + m][whole] for i in range(n))), row[:m][whole]
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow array of strings."""
+    sizes = end - start
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], sizes)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[at])))
+
+
+def terms_of_rows(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, row, count, start, end) of the distinct terms of each row, terms
+    being runs of marked bytes; start and end are those of one occurrence."""
+    start, end, row = spans(data, offsets, word)
+    keys = hashes(data, start, end)
+    _, first, count = np.unique(combine(keys, row.astype(np.uint64)), return_index=True, return_counts=True)
+    return keys[first], row[first], count, start[first], end[first]
+
+
+class Tally:
+    """Sums by group and term that a task gathers over its batches, so that
+    fewer rows leave it; given out by ``rows`` once ``full``."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, data: np.ndarray, group: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, *sums: np.ndarray) -> None:
+        _, first, which = np.unique(combine(keys, group.astype(np.uint64)), return_index=True, return_inverse=True)
+        added = [np.bincount(which, weights=x, minlength=len(first)).astype(np.int64) for x in sums]
+        self.parts.append((group[first], keys[first], strings(data, start[first], end[first]), *added))
+        self.size += len(first)
+
+    @property
+    def full(self) -> bool:
+        return self.size >= self.most
+
+    def rows(self, step: int = 100_000) -> Iterator[tuple[np.ndarray, pa.Array, list[np.ndarray]]]:
+        """(group, term, sums) in slices; the tally is empty thereafter."""
+        parts, self.parts, self.size = self.parts, [], 0
+        if not parts:
+            return
+        group, keys = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        terms = pa.concat_arrays([p[2] for p in parts])
+        _, first, which = np.unique(combine(keys, group.astype(np.uint64)), return_index=True, return_inverse=True)
+        sums = [np.bincount(which, weights=np.concatenate([p[i] for p in parts]), minlength=len(first)).astype(np.int64) for i in range(3, len(parts[0]))]
+        for at in range(0, len(first), step):
+            part = first[at : at + step]
+            yield group[part], terms.take(pa.array(part)).cast(pa.string()), [x[at : at + step] for x in sums]
