@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lexiloom.session import materialize
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
-SLICE_ROWS = 20_000
+ROOTS = 0.25
 MOST_BROADCAST = 20_000
 BLANKS = " \t\n\u000b\f\r"
 
@@ -78,11 +80,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     source is off its target by no more than its last document and what others'
     last documents leave over.
 
-    No queue is sorted in one task: a source's queue is cut by hash into slices
-    of about 20,000 documents, and the mix by finish time into ranges; words
-    arrive evenly over time, so ranges of time are ranges of like size that need
-    no sampling. Sums by slice and range are carried on. Texts are read once;
-    afterwards only sizes are shuffled, twice. Sums by source or slice are
+    No queue is sorted in one task: a source's queue is cut by hash into slices,
+    and the mix by finish time into ranges; words arrive evenly over time, so
+    ranges of time are ranges of like size that need no sampling. Sums by slice
+    and range are carried on. The numbers of slices and of their rows both grow
+    with the root of the documents' number. Texts are read once; afterwards only
+    sizes are shuffled, twice. Sums by source or slice are
     broadcast up to 20,000 of them, else joined.
 
     A null text has size 0. Documents without words take no place in the mix and
@@ -101,7 +104,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def _mixed(sized: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
     queued = sized.where("size > 0").join(_known(sources.withColumnRenamed("source", "own")), F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    slices = F.ceil(F.col("n_docs") / SLICE_ROWS)
+    slices = F.ceil(ROOTS * F.sqrt("n_docs"))
     part = F.conv(F.substr("hash", F.lit(1), F.lit(13)), 16, 10).cast("double") / float(1 << 52)
     queued = queued.withColumn("slice", F.least(F.floor(part * slices), slices - 1))
     line = Window.partitionBy("number", "slice").orderBy("hash", "doc_id", "size")
@@ -112,7 +115,7 @@ def _mixed(sized: DataFrame, sources: DataFrame, epochs: int) -> DataFrame:
     slice_sums = slice_sums.select("number", "slice", _before(slice_sums, ["number"], "slice").alias("queued"))
     copies = queued.join(_known(slice_sums), ["number", "slice"]).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("queued") + F.col("until")) / F.col("target"))
-    n_ranges = -(-sized.count() // SLICE_ROWS)
+    n_ranges = math.ceil(ROOTS * math.sqrt(sized.count()))
     copies = copies.withColumn("range", F.floor(F.col("finish") * n_ranges)).drop("n_docs", "until", "queued")
 
     range_sums = copies.groupBy("range").agg(F.sum("size").alias("size"))

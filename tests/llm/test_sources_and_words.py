@@ -125,9 +125,9 @@ def targets_brute(sizes, weights, share, epochs):
     return [float(epochs * s) for s in sizes]
 
 
-@pytest.mark.parametrize("slice_rows", [20_000, 7])
-def test_op12(docs, none, monkeypatch, slice_rows):
-    monkeypatch.setattr(source_mix, "SLICE_ROWS", slice_rows)
+@pytest.mark.parametrize("roots", [source_mix.ROOTS, 3.0])
+def test_op12(docs, none, monkeypatch, roots):
+    monkeypatch.setattr(source_mix, "ROOTS", roots)
     columns, want = by_sql(source_mix.MIX_SQL)
     got = source_mix.mixed_documents(docs)
     assert got.columns == columns
