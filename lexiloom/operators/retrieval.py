@@ -13,84 +13,150 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import tokens
 from lexiloom.operators.tables import condition
-from lexiloom.session import materialize
+from lexiloom.session import materialize, spread
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 NO_TERM = ""
+QUERY_BYTES = 32 << 20
+BLOCK_ROWS = 20_000
+QUERY_ROWS, VECTOR_ROWS = 1000, 10_000
+HITS = "query_id long, doc_id long, score double"
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, least_match: float = 0.7) -> DataFrame:
-    """(doc_id, text) and (query_id, query) -> (query_id, doc_id, matched, score, rank).
+    """(doc_id, text) and (query_id, query) -> (query_id, doc_id, matched, score, rank), by ``tokens``."""
+    sized = spread(docs.select("doc_id", "text")).select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    return bm25_terms(sized, queries.select("query_id", tokens(F.col("query")).alias("terms")), k, least_match)
+
+
+def bm25_terms(docs: DataFrame, queries: DataFrame, k: int = 10, least_match: float = 0.7) -> DataFrame:
+    """(doc_id, terms) and (query_id, terms) -> (query_id, doc_id, matched, score, rank).
 
     One pass over the documents: only query terms leave the tokenised scan, and
     for every document one empty term, whose postings are the number of
     documents and their lengths. Counts are summed before they meet the queries,
-    and these postings, all that is read again, are written. A hit matches at least ``least_match`` of the query's distinct terms, rounded
-    down. Which side is broadcast is left to Spark, which knows their sizes.
+    and these postings, all that is read again, are written. A hit matches at
+    least ``least_match`` of the query's distinct terms, rounded down. Which
+    side is broadcast is left to Spark, which knows their sizes.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     needed = wanted.groupBy("query_id").agg(F.floor(F.count("*") * least_match).alias("needed"))
     every = queries.select(F.lit(NO_TERM).alias("term")).limit(1)
-    sized = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
-    each = sized.select("doc_id", F.size("terms").alias("length"), F.explode(F.array_append("terms", F.lit(NO_TERM))).alias("term"))
+    each = docs.select("doc_id", F.size("terms").alias("length"), F.explode(F.array_append("terms", F.lit(NO_TERM))).alias("term"))
     postings = each.join(wanted.select("term").union(every).distinct(), "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
     postings = materialize(postings, "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
     whole = df.where(F.col("term") == NO_TERM).select(F.col("df").alias("n"), "mean")
-    idf = df.where(F.col("term") != NO_TERM).drop("mean").join(F.broadcast(whole)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    weighed = postings.join(idf, "term").select("term", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("w"))
+    idf = df.where(F.col("term") != NO_TERM).drop("mean").join(F.broadcast(whole)).select("term", inverse_frequency(F.col("n"), F.col("df")).alias("idf"), "mean")
+    weighed = postings.join(idf, "term").select("term", "doc_id", (F.col("idf") * saturation(F.col("tf"), F.col("length"), F.col("mean"))).alias("w"))
     scored = weighed.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.round(F.sum("w"), 6).alias("score"))
     scored = scored.join(needed, "query_id").where(F.col("matched") >= F.col("needed")).drop("needed")
     return top_k(scored, k)
 
 
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """(terms) -> term, df, cf: documents with a term and its occurrences. Each
+    document's terms are sorted, so the first of equal ones counts for df."""
+    ordered = docs.where(F.size("terms") > 0).select(F.array_sort("terms").alias("t"))
+    flagged = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get(F.col("t"), i - 1))).cast("long").alias("first")))
+    return ordered.select(F.inline(flagged)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
+
+
+def inverse_frequency(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf: Column, length: Column, mean: Column) -> Column:
+    """What a term's frequency counts for in a document of that length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def top_k(scored: DataFrame, k: int, offset: int = 0) -> DataFrame:
     """Rows of each query by score, ties by doc_id; adds rank from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") > offset) & (F.col("rank") <= offset + k))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 100_000) -> DataFrame:
+def _best(found: tuple[np.ndarray, np.ndarray], q: np.ndarray, docs: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) by query of the best ``k`` so far, with those among more vectors."""
+    norm, length = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1, keepdims=True)
+    score = np.round((q / np.where(length == 0, 1, length)) @ v.T / np.where(norm == 0, 1, norm), 6)
+    ids = np.broadcast_to(docs, score.shape)
+    if found[1].size:
+        ids, score = np.hstack([found[0], ids]), np.hstack([found[1], score])
+    order = np.lexsort((ids, -score))[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
+
+
+def _hits(ids: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": np.repeat(ids, found[1].shape[1]), "doc_id": found[0].ravel(), "score": found[1].ravel()})
+
+
+def best_in_groups(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, doc_id, embedding) and (keys, query_id, embedding) -> query_id,
+    doc_id, score: the best ``k`` of each query in each group by exact cosine. A
+    group is held by one task: keys are to bound it."""
+
+    def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(v):
+            docs, rows = v["doc_id"].to_numpy(), _matrix(v["embedding"])
+            for at in range(0, len(q), QUERY_ROWS):
+                part = q.iloc[at : at + QUERY_ROWS]
+                found, asked = (np.zeros((0, 0), np.int64), np.zeros((0, 0))), _matrix(part["embedding"])
+                for i in range(0, len(rows), VECTOR_ROWS):
+                    found = _best(found, asked, docs[i : i + VECTOR_ROWS], rows[i : i + VECTOR_ROWS], k)
+                parts.append(_hits(part["query_id"].to_numpy(), found))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+
+    return vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, HITS)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, most_broadcast: int = QUERY_BYTES) -> DataFrame:
     """(doc_id, embedding) and (query_id, embedding) -> (query_id, doc_id, score,
-    rank): exact cosine. Queries are broadcast in blocks of about ``block``, one
-    scan of the vectors each; a task keeps the best k of all its rows for each
-    query. A zero vector scores 0."""
-    blocks = max(1, -(-queries.count() // block))
-
-    def search(shared):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, 0), np.int64), np.zeros((0, 0)))] * -(-len(ids) // 2000)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                v = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-                norm = np.linalg.norm(v, axis=1)
-                docs = batch["doc_id"].to_numpy()
-                for i in range(len(best)):
-                    part = q[2000 * i : 2000 * (i + 1)].astype(np.float64)
-                    score = np.round((part @ v.T) / np.where(norm == 0, 1, norm), 6)
-                    found = np.broadcast_to(docs, score.shape)
-                    if best[i][1].size:
-                        found, score = np.hstack([best[i][0], found]), np.hstack([best[i][1], score])
-                    order = np.lexsort((found, -score))[:, :k]
-                    best[i] = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
-            for i, (found, score) in enumerate(best):
-                if score.size:
-                    yield pd.DataFrame({"query_id": np.repeat(ids[2000 * i : 2000 * (i + 1)], score.shape[1]), "doc_id": found.ravel(), "score": score.ravel()})
-
-        return run
-
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        q = np.stack(part["embedding"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))
-        norm = np.linalg.norm(q, axis=1, keepdims=True)
-        shared = vectors.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), q / np.where(norm == 0, 1, norm)))
-        found = vectors.select("doc_id", "embedding").mapInPandas(search(shared), "query_id long, doc_id long, score double")
-        out = found if out is None else out.union(found)
-    return top_k(out, k)
+    rank): exact cosine; a zero vector scores 0. Queries of up to
+    ``most_broadcast`` bytes are broadcast, and a task keeps the best k of its
+    rows for each of them. More stay in Spark: blocks of queries meet blocks of
+    vectors, each some tens of thousands of rows, and a pair of blocks keeps its best."""
+    asked = queries.select("query_id", "embedding")
+    n, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if n * (width or 0) * 8 > most_broadcast:
+        return top_k(_block_knn(vectors, asked, n, k), k)
+    part = asked.toPandas()
+    shared = vectors.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), _matrix(part["embedding"])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, 0), np.int64), np.zeros((0, 0)))] * -(-len(ids) // QUERY_ROWS)
+        for batch in batches:
+            if len(batch):
+                docs, v = batch["doc_id"].to_numpy(), _matrix(batch["embedding"])
+                best = [_best(b, q[QUERY_ROWS * i : QUERY_ROWS * (i + 1)], docs, v, k) for i, b in enumerate(best)]
+        for i, found in enumerate(best):
+            if found[1].size:
+                yield _hits(ids[QUERY_ROWS * i : QUERY_ROWS * (i + 1)], found)
+
+    return top_k(vectors.select("doc_id", "embedding").mapInPandas(run, HITS), k)
+
+
+def _block_knn(vectors: DataFrame, queries: DataFrame, n: int, k: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Every block of vectors meets every block of queries: blocks, not rows, are paired."""
+    v_blocks, q_blocks = -(-vectors.count() // block), -(-n // block)
+
+    def dealt(df: DataFrame, key: str, name: str, blocks: int) -> DataFrame:
+        return df.withColumn(name, F.pmod(F.xxhash64(key, "embedding"), F.lit(max(1, blocks))).cast("int"))
+
+    def each(name: str, blocks: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))).alias(name)
+
+    v = dealt(vectors.select("doc_id", "embedding"), "doc_id", "v_block", v_blocks).select("*", each("q_block", q_blocks))
+    q = dealt(queries, "query_id", "q_block", q_blocks).select("*", each("v_block", v_blocks))
+    return best_in_groups(v, q, ["v_block", "q_block"], k)
 
 
 def weighted_sum(text: DataFrame, vector: DataFrame, text_weight: float, vector_weight: float, k: int) -> DataFrame:

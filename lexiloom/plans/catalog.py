@@ -14,7 +14,7 @@ from lexiloom.functions import text as T
 from lexiloom.functions.routing import ROUTES, route
 from lexiloom.operators import chunking, evaluation, graph, retrieval, tables, verification
 from lexiloom.operators.components import connected_components
-from lexiloom.session import table
+from lexiloom.session import spread, table
 from lexiloom.sources.readers import html_text, links
 from lexiloom.streaming import tasks
 
@@ -80,10 +80,7 @@ def route_lookup(spark, d):
 
 @register("tokenize_df", f"SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
 def tokenize_df(spark, d):
-    terms = table(spark, d, "documents").select(T.tokens(F.col("text")).alias("w"))
-    once = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
-    every = F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    return terms.select(F.inline(F.concat(once, every))).groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+    return retrieval.term_frequencies(spread(table(spark, d, "documents").select("text")).select(T.tokens(F.col("text")).alias("terms")))
 
 
 @register("jaccard_turns", f"""WITH t AS (SELECT conv_id, turn, list_distinct({TOKENS}) AS w FROM conversations)

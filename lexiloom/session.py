@@ -65,6 +65,14 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where a scan has fewer parts than these: a
+    table of one row group would else be worked on by one task. Larger tables
+    stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Caps the rows of an Arrow batch, for operators that hand whole texts to
     Python: the default of 10,000 long documents is more than a worker needs."""
