@@ -159,7 +159,7 @@ def test_louvain(spark):
         return [(i, j, 1.0) for i in range(k * n) for j in range(i) if RNG.random() < (near if i // n == j // n else far)]
 
     graphs = [
-        planted(4, 10, 0.7, 0.05),
+        planted(4, 10, 0.9, 0.03),
         [(0, i, 1.0) for i in range(1, 20)],
         [(RNG.randrange(25), RNG.randrange(25), float(RNG.randint(1, 4))) for _ in range(60)],
     ]
