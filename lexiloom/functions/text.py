@@ -20,7 +20,7 @@ CLAUSES = "[，,；;、和与及或以]"
 # How names of laws and rules are made, how sources are cited, and
 # what is put under an answer at medium risk, at high risk, and before its claims.
 LAW = r"(?:中华人民共和国)?[一-鿿]{2,20}(?:法|条例|规定|办法|决定|意见|通知|细则|准则|通则|方案|标准)(?:（[^）]+）)?"
-CITED = r"(?:\[来源\s*|\[|【来源\s*|参考\s*)(\d+)"
+CITED = [r"\[来源\s*(\d+)\]", r"\[(\d+)\]", r"【来源\s*(\d+)】", r"参考\s*(\d+)"]
 DISCLAIMERS = ["⚠️ 部分内容可能缺乏文档支撑，请谨慎参考。", "⚠️ 该回答可能包含未经文档验证的内容。", "\n以下内容可能缺乏支撑：\n"]
 CODE = r"[.\[\](){}\-><_]"
 #: A Chinese character, or a run of other letters and digits.
@@ -165,16 +165,18 @@ def expired(at: Column, now: Column, seconds: Column | int) -> Column:
     return F.coalesce(now.cast("double") - at.cast("double") > seconds, F.lit(True))
 
 
+def _cited(answer: Column, group: int) -> Column:
+    return F.concat(*(F.regexp_extract_all(answer, F.lit(p), F.lit(group)) for p in CITED))
+
+
 def citations(answer: Column) -> Column:
-    """Distinct cited numbers, in order of their first place."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(CITED), F.lit(1)), lambda x: x.cast("int")))
+    """Distinct cited numbers, pattern by pattern, in order of their first place."""
+    return F.array_distinct(F.transform(_cited(answer, 1), lambda x: x.try_cast("int")))
 
 
 def citation_marks(answer: Column) -> Column:
-    """(index, marker, position) of each cited number's first place; positions count from 0."""
-    pattern = F.lit(CITED)
-    marks, numbers = F.regexp_extract_all(answer, pattern, F.lit(0)), F.regexp_extract_all(answer, pattern, F.lit(1))
-    pairs = F.transform(F.arrays_zip(marks.alias("m"), numbers.alias("n")), lambda x: F.struct(x["n"].cast("int").alias("index"), x["m"].alias("marker"), (F.instr(answer, x["m"]) - 1).alias("position")))
+    """(index, marker, position) of each cited number's first place, pattern by pattern; positions count from 0."""
+    pairs = F.transform(F.arrays_zip(_cited(answer, 0).alias("m"), _cited(answer, 1).alias("n")), lambda x: F.struct(x["n"].try_cast("int").alias("index"), x["m"].alias("marker"), (F.instr(answer, x["m"]) - 1).alias("position")))
     return F.aggregate(pairs, F.array().cast("array<struct<index:int,marker:string,position:int>>"), lambda kept, x: F.when(F.exists(kept, lambda k: k["index"] == x["index"]), kept).otherwise(F.array_append(kept, x)))
 
 

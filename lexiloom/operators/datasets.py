@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.session import materialize
+
 SAMPLE = "id int, question string, query_type string, difficulty string, expected_sources array<string>, expected_keywords array<string>, reference_answer string"
 # Fields that a sample must have, kinds and difficulties of questions, and how many of each are wanted of a hundred or so.
 REQUIRED = ["question", "expected_sources", "expected_keywords", "reference_answer"]
@@ -40,17 +42,19 @@ def validate(lines: DataFrame) -> DataFrame:
 
 
 def merge(parts: list[DataFrame], order: str) -> DataFrame:
-    """Datasets one after another, numbered anew from 1. Running numbers are taken
-    in each part and set on by the parts' sizes."""
+    """Datasets one after another, numbered anew from 1. Rows are dealt by ranges
+    of (part, order), each range is numbered within and set on by the sizes of
+    those before it, so no dataset is sorted in one task."""
     marked = None
     for i, part in enumerate(parts):
         one = part.withColumn("_part", F.lit(i))
         marked = one if marked is None else marked.unionByName(one)
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return marked.withColumn("_k", within).join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_k")).drop("_part", "_k", "_start")
+    ranges = materialize(marked.repartitionByRange("_part", order).withColumn("_range", F.spark_partition_id()), "datasets-merged")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_part", order))
+    return ranges.withColumn("_k", within).join(F.broadcast(starts), "_range").withColumn("id", F.col("_start") + F.col("_k")).drop("_part", "_range", "_k", "_start")
 
 
 def profile(samples: DataFrame) -> DataFrame:

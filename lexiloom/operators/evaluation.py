@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.session import materialize
+
 
 def ir_metrics(runs: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, source) and (query_id, source) -> one row for each query
@@ -83,21 +85,22 @@ def paired_t(pairs: DataFrame, by: str) -> DataFrame:
 
 def order_statistics(rows: DataFrame, by: str, value: str, at: dict[str, Callable[[Column], Column]], pieces: int = 64) -> DataFrame:
     """For each ``by`` the values that stand at given places (from 0) of its sorted
-    values, as functions of their number: exact, and no key is sorted whole. Values
-    fall between approximate quantiles; counts tell which piece holds a place, and
-    only there rows are numbered."""
-    rows = rows.where(F.col(value).isNotNull()).select(by, value)
-    cuts = rows.groupBy(by).agg(F.percentile_approx(value, F.array(*(F.lit(i / pieces) for i in range(1, pieces))), 1000).alias("_cuts"))
-    placed = rows.join(F.broadcast(cuts), by).select(by, value, F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_p"))
-    counts = placed.groupBy(by, "_p").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumns({"_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "_n": F.sum("n").over(Window.partitionBy(by))})
+    values, as functions of their number: exact. Equal values are counted before
+    anything is sorted, so a common one is one row. A key's distinct values are
+    cut into pieces at approximate quantiles, counts are carried on from piece to
+    piece, and only pieces that hold a place are sorted: no task sorts a key whole."""
+    counted = materialize(rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n")), "order-counts")
+    cuts = counted.groupBy(by).agg(F.percentile_approx(value, F.array(*(F.lit(i / pieces) for i in range(1, pieces))), 1000).alias("_cuts"))
+    placed = counted.join(cuts, by).select(by, value, "n", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_p"))
+    sums = placed.groupBy(by, "_p").agg(F.sum("n").alias("_m"))
+    whole, rising = Window.partitionBy(by), Window.partitionBy(by).orderBy("_p")
+    sums = sums.select(by, "_p", (F.sum("_m").over(rising) - F.col("_m")).alias("_before"), "_m", F.sum("_m").over(whole).alias("_n"))
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), f(F.col("_n")).cast("long").alias("place")) for name, f in at.items()))
-    asked = counts.select(by, "_p", "_before", "n", F.explode(wanted).alias("w")).where((F.col("w.place") >= F.col("_before")) & (F.col("w.place") < F.col("_before") + F.col("n")))
-    asked = asked.groupBy(by, "_p", "_before").agg(F.collect_list("w").alias("w"))
-    order = Window.partitionBy(by, "_p").orderBy(value)
-    numbered = placed.join(F.broadcast(asked), [by, "_p"]).withColumn("_i", F.row_number().over(order) - 1 + F.col("_before"))
-    met = numbered.select(by, value, "_i", F.explode("w").alias("w")).where(F.col("_i") == F.col("w.place"))
+    asked = sums.withColumn("w", F.filter(wanted, lambda w: (w["place"] >= F.col("_before")) & (w["place"] < F.col("_before") + F.col("_m")))).where(F.size("w") > 0)
+    met = placed.join(asked.select(by, "_p", "_before", "w"), [by, "_p"])
+    within = Window.partitionBy(by, "_p").orderBy(value)
+    met = met.withColumn("_to", F.sum("n").over(within) + F.col("_before")).select(by, value, "_to", "n", F.explode("w").alias("w"))
+    met = met.where((F.col("w.place") < F.col("_to")) & (F.col("w.place") >= F.col("_to") - F.col("n")))
     return met.groupBy(by).agg(*(F.max(F.when(F.col("w.name") == name, F.col(value))).alias(name) for name in at))
 
 

@@ -137,36 +137,58 @@ def resolve_entities(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     return known.union(named).distinct()
 
 
-def expand_paths(starts: DataFrame, edges: DataFrame, hops: int = 3, least_weight: float = 0.1) -> DataFrame:
+def expand_paths(starts: DataFrame, edges: DataFrame, hops: int = 3, least_weight: float = 0.1, k: int | None = None) -> DataFrame:
     """(name) and (source, target, weight) -> (start, target, score, hops): the
     best product of weights over directed paths of at most ``hops`` edges, and
     the edges of the shortest path that has it. As weights are at most 1, only
-    the best way to each end goes on, and ways under ``least_weight`` end."""
+    the best way to each end goes on, and ways under ``least_weight`` end.
+
+    With ``k``, the first k targets of each start by score, hops and name. What
+    goes on is bounded then: a node outranked by k others after as many edges
+    leads to nothing that these don't outrank, so k nodes of a start go on; and
+    a node's edges behind its k + 1 heaviest lead nowhere new either. Results
+    are the same as of all paths."""
+    edges = edges.groupBy("source", "target").agg(F.max("weight").alias("weight")).where(F.col("weight") >= least_weight)
+    if k:
+        heaviest = Window.partitionBy("source").orderBy(F.desc("weight"), "target")
+        edges = edges.withColumn("_n", F.row_number().over(heaviest)).where(F.col("_n") <= k + 1).drop("_n")
+    step = materialize(edges.select(F.col("source").alias("at"), "target", "weight"), "path-edges")
     front = starts.select(F.col("name").alias("start"), F.col("name").alias("at"), F.lit(1.0).alias("score"))
     found = None
     for hop in range(1, hops + 1):
-        front = front.join(edges.select(F.col("source").alias("at"), "target", "weight"), "at").select("start", F.col("target").alias("at"), (F.col("score") * F.col("weight")).alias("score"))
-        front = front.where(F.col("score") >= least_weight).groupBy("start", "at").agg(F.max("score").alias("score"))
-        step = front.where("start != at").withColumn("hops", F.lit(hop))
-        found = step if found is None else found.union(step)
+        front = front.join(step, "at").select("start", F.col("target").alias("at"), (F.col("score") * F.col("weight")).alias("score"))
+        front = front.where((F.col("score") >= least_weight) & (F.col("start") != F.col("at"))).groupBy("start", "at").agg(F.max("score").alias("score"))
+        if k:
+            front = materialize(_first(front, ["start"], [F.desc("score"), F.col("at")], k), "path-front")
+        reached = front.withColumn("hops", F.lit(hop))
+        found = reached if found is None else found.union(reached)
     best = found.groupBy("start", F.col("at").alias("target")).agg(F.max(F.struct("score", (-F.col("hops")).alias("h"))).alias("b"))
-    return best.select("start", "target", "b.score", (-F.col("b.h")).alias("hops"))
+    best = best.select("start", "target", "b.score", (-F.col("b.h")).alias("hops"))
+    return _first(best, ["start"], [F.desc("score"), F.col("hops"), F.col("target")], k) if k else best
+
+
+def _first(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
 def n_hop_paths(starts: DataFrame, edges: DataFrame, hops: int = 2, k: int = 50) -> DataFrame:
     """(name) and (source, target, description) -> (start, path_text, hops): the
     ``k`` first directed paths of every start by length and text, none using an
-    edge twice nor ending where it began."""
+    edge twice nor ending where it began. A start that has k goes no further."""
     step = edges.select(F.col("source").alias("at"), F.col("target").alias("to"), F.coalesce("description", F.lit("related")).alias("d"))
     front = starts.select(F.col("name").alias("start"), F.col("name").alias("at"), F.array().cast("array<string>").alias("used"), F.col("name").cast("string").alias("path_text"))
-    order = Window.partitionBy("start").orderBy("hops", "path_text")
     found = None
     for hop in range(1, hops + 1):
         edge = F.concat_ws("\u0001", "at", "d", "to")
         front = front.join(step, "at").where(~F.array_contains("used", edge)).select("start", F.col("to").alias("at"), F.array_append("used", edge).alias("used"), F.concat("path_text", F.lit(" →("), "d", F.lit(")→ "), F.col("to").cast("string")).alias("path_text"))
+        if hop < hops:
+            front = materialize(front, "paths-front")
         done = front.where("start != at").select("start", "path_text", F.lit(hop).alias("hops"))
         found = done if found is None else found.union(done)
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+        if hop < hops:
+            full = found.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+            front = front.join(full, "start", "left_anti")
+    return _first(found, ["start"], [F.col("hops"), F.col("path_text")], k)
 
 
 def touching_edges(edges: DataFrame, nodes: DataFrame, k: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ Doubles are rounded on both sides, counts are BIGINT, ties are broken by id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,11 +93,19 @@ def jaccard_turns(spark, d):
     return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
-@register("citation_extract", r"""WITH c AS (SELECT conv_id, turn, regexp_extract_all(text || ' so [' || (turn + 1) || '] and [来源 1], 参考 77 and [1]', '(?:\[来源\s*|\[|【来源\s*|参考\s*)(\d+)', 1) AS n FROM conversations)
+CITING = "text || CASE conv_id % 5 WHEN 0 THEN ' so [' || (turn + 1) || '] and [来源 1], 参考 77 and [1]' WHEN 1 THEN ' [2020年' || turn || '修订] 见[3, 第二节' WHEN 2 THEN '【来源 ' || turn || '】[来源9] [ 4]' WHEN 3 THEN '参考' || turn || '，[来源 8' ELSE '' END"
+CITED = functools.reduce("list_concat({}, {})".format, [f"regexp_extract_all(t, '{p}', %d)" for p in T.CITED])
+
+
+def _citing(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.expr(CITING).alias("t"))
+
+
+@register("citation_extract", f"""WITH c AS (SELECT conv_id, turn, {CITED.replace('%d', '1')} AS n FROM (SELECT conv_id, turn, {CITING} AS t FROM conversations))
 SELECT conv_id, turn, CAST(n[1] AS INTEGER) AS first_cited, CAST(len(list_distinct(n)) AS BIGINT) AS n_cited FROM c""")
 def citation_extract(spark, d):
-    cited = T.citations(F.concat("text", F.lit(" so ["), F.col("turn") + 1, F.lit("] and [来源 1], 参考 77 and [1]")))
-    return table(spark, d, "conversations").select("conv_id", "turn", cited[0].alias("first_cited"), F.size(cited).cast("long").alias("n_cited"))
+    cited = T.citations(F.col("t"))
+    return _citing(spark, d).select("conv_id", "turn", F.get(cited, F.lit(0)).alias("first_cited"), F.size(cited).cast("long").alias("n_cited"))
 
 
 @register("keyword_coverage", f"""WITH t AS (SELECT conv_id, turn, text, {TOKENS} AS w FROM conversations)
@@ -493,15 +502,15 @@ h3 AS (SELECT start, target AS here, max(score * weight) AS score FROM h2 JOIN e
 pa AS (SELECT start, here AS target, round(max(score), 6) AS score, CAST(arg_min(hops, (-score, hops)) AS INTEGER) AS hops FROM (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) WHERE start != here GROUP BY ALL)"""
 
 
-def _paths(spark, d):
+def _paths(spark, d, k=None):
     """From every supplier and part whose key is divisible by 50, the query set of searches."""
     starts = table(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("name")).union(table(spark, d, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), "p_partkey")))
-    return graph.expand_paths(starts, _weighed(spark, d)).withColumn("score", F.round("score", 6))
+    return graph.expand_paths(starts, _weighed(spark, d), k=k).withColumn("score", F.round("score", 6))
 
 
-@register("path_expand_3hop", PATHS + " SELECT * FROM pa")
+@register("path_expand_3hop", PATHS + " SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY start ORDER BY score DESC, hops, target) <= 50")
 def path_expand_3hop(spark, d):
-    return _paths(spark, d)
+    return _paths(spark, d, 50)
 
 
 @register("bridge_rank", PATHS + ", m AS (SELECT target AS name, max(score) AS score FROM pa GROUP BY target) SELECT l_orderkey AS chunk_id, CAST(count(DISTINCT name) AS BIGINT) AS bridges, max(score) AS score FROM m JOIN lineitem ON 's' || l_suppkey = name GROUP BY l_orderkey ORDER BY bridges DESC, score DESC, chunk_id LIMIT 20")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import chunking, datasets, enrichment, evaluation, graph, lifecycle, retrieval, tables, verification
-from lexiloom.plans.catalog import EDGES, METRICS, TOKENS, WEIGHED, _edges, _metrics, _weighed, register
+from lexiloom.plans.catalog import CITED, CITING, EDGES, METRICS, TOKENS, WEIGHED, _citing, _edges, _metrics, _weighed, register
 from lexiloom.session import table
 from lexiloom.sources.readers import html_markdown, image_address, read_texts
 from lexiloom.streaming import tasks
@@ -510,11 +510,10 @@ def first_topics(spark, d):
     return table(spark, d, "documents").select("doc_id", T.topics(F.concat(F.lit("## "), "source", F.lit("\n"), "text"))[0].alias("topic"))
 
 
-@register("citation_marks", "SELECT conv_id, turn, CAST(turn + 1 AS INTEGER) AS index, '[' || (turn + 1) AS marker, CAST(length(regexp_replace(text, '[\\[【]', '', 'g')) AS INTEGER) AS position FROM conversations")
+@register("citation_marks", f"""WITH c AS (SELECT conv_id, turn, t, unnest({CITED.replace('%d', '0')}) AS marker, unnest({CITED.replace('%d', '1')}) AS n, generate_subscripts({CITED.replace('%d', '1')}, 1) AS i FROM (SELECT conv_id, turn, {CITING} AS t FROM conversations))
+SELECT conv_id, turn, CAST(n AS INTEGER) AS index, marker, CAST(instr(t, marker) - 1 AS INTEGER) AS position FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, turn, CAST(n AS INTEGER) ORDER BY i) = 1""")
 def citation_marks(spark, d):
-    answer = F.concat(F.regexp_replace("text", r"[\[【]", ""), F.lit("["), F.col("turn") + 1, F.lit("]"))
-    first = F.get(F.filter(T.citation_marks(answer), lambda x: x["marker"].startswith("[")), F.lit(0))
-    return table(spark, d, "conversations").select("conv_id", "turn", first["index"].alias("index"), first["marker"].alias("marker"), first["position"].alias("position"))
+    return _citing(spark, d).select("conv_id", "turn", F.inline(T.citation_marks(F.col("t"))))
 
 
 def _files(df, name, content):

@@ -76,8 +76,11 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("如何部署?",), ("hello there",), ("ok",), ("f()",), ("为什么 A，B；C 比 D、E 和 F 更快，请分析它们的底层机制与实现原理差异以及利弊",)], "q string")
     got = df.select(T.intent(F.col("q"))["intent_type"], T.complexity(F.col("q")), T.is_small_talk(F.col("q"))).collect()
     assert [tuple(r) for r in got] == [("procedural", "simple", False), ("factoid", "simple", True), ("factoid", "simple", True), ("factoid", "medium", False), ("analytical", "complex", False)]
+    cited = spark.createDataFrame([("发布于[2020年修订] 见[3, 第二节 [ 4]",), ("参考 7 见[12] 【来源 3】[来源 5][5] [99999999999]",), (None,)], "a string").select(T.citations(F.col("a")), T.citation_marks(F.col("a"))).collect()
+    assert cited[0][0] == [] == cited[0][1] and cited[1][0] == [5, 12, None, 3, 7] and cited[2][0] is None
+    assert [tuple(x) for x in cited[1][1]][:2] == [(5, "[来源 5]", 17), (12, "[12]", 6)]
     one = spark.createDataFrame([("see [2] and [来源 1] [2]", 'x ```json\n{"a": 1}\n``` y')], "a string, j string")
-    assert one.select(T.citations(F.col("a"))).first()[0] == [2, 1]
+    assert one.select(T.citations(F.col("a"))).first()[0] == [1, 2]
     assert one.select(T.lenient_json(F.col("j"), "a int")["a"]).first()[0] == 1
     kept = spark.range(1).select(T.greedy_distinct(F.array(F.lit("a b c"), F.lit("a b c d"), F.lit("x y")))).first()[0]
     assert kept == ["a b c", "x y"]

@@ -224,3 +224,34 @@ def test_clear_scratch(spark, monkeypatch):
     assert df.count() == 3 and session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
     with pytest.raises(Exception, match="(?i)not exist|not found|FILE_NOT_EXIST"):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_bounded_paths_equal_all_paths(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        edges = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", rng.choice([0.05, 0.3, 0.5, 0.5, 0.9, 1.0])) for _ in range(40)]
+        frame = spark.createDataFrame(edges, "source string, target string, weight double")
+        starts = spark.createDataFrame([(f"n{i}",) for i in range(9)], "name string")
+        best = {}
+
+        def walk(start, at, score, n, edges=edges, best=best):
+            for a, b, w in edges:
+                if a == at and score * w >= 0.1 and n < 3:
+                    if b != start:
+                        key = (-score * w, n + 1)
+                        best[start, b] = min(best.get((start, b), key), key)
+                    walk(start, b, score * w, n + 1)
+
+        for i in range(9):
+            walk(f"n{i}", f"n{i}", 1.0, 0)
+        every = {(r.start, r.target): (-r.score, r.hops) for r in graph.expand_paths(starts, frame).collect()}
+        assert every == best
+        for k in (1, 3):
+            want = {(s, t): best[s, t] for s in {x for x, _ in best} for _, t in sorted(((*v, t), t) for (x, t), v in best.items() if x == s)[:k]}
+            assert {(r.start, r.target): (-r.score, r.hops) for r in graph.expand_paths(starts, frame, k=k).collect()} == want
+
+
+def test_merge_numbers_across_ranges(spark):
+    parts = [spark.range(50).select(((F.col("id") * 7) % 50).alias("id"), F.lit("a").alias("t")), spark.range(0).select("id", F.lit("b").alias("t")), spark.range(30).select("id", F.lit("c").alias("t"))]
+    got = datasets.merge([p.withColumnRenamed("id", "key") for p in parts], "key").orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, 81)) and [(r.t, r.key) for r in got] == [("a", i) for i in range(50)] + [("c", i) for i in range(30)]
