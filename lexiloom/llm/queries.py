@@ -62,9 +62,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexiloom.llm.warc import build_derivatives, responses_of_pages
+    from lexiloom.llm.warc import build_derivatives, read_warc_files, responses_of_pages, warc_files
 
-    return build_derivatives(responses_of_pages(table(spark, sf_dir, "pages")))
+    return build_derivatives(read_warc_files(warc_files(responses_of_pages(table(spark, sf_dir, "pages")))))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

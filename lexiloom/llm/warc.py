@@ -23,6 +23,12 @@ DATE = "2024-01-01T00:00:00Z"
 RECORDS = "page_id long, record binary, error string"
 DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_headers map<string,string>, source_digest string, block_digest string, content string, record binary, error string"
 LARGEST = 1 << 28
+HEADER = 1 << 20
+STEP, PIECE = 1 << 14, 1 << 18
+GZIP, BROKEN = b"\x1f\x8b\x08", b"broken"
+FILE_PAGES = 200
+BATCH = 4 << 20
+PAGE_ID = "X-Page-ID"
 
 # HTML elements whose content is no text, and those that end a line.
 HIDDEN = ["script", "style", "noscript", "template", "textarea"]
@@ -64,16 +70,70 @@ def fields(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def unpacked(data: bytes) -> bytes:
-    """A WARC file's bytes, its gzip members (one for each record or more) undone."""
-    if not data.startswith(b"\x1f\x8b"):
-        return data
-    out = []
-    while data.startswith(b"\x1f\x8b"):
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data if member.eof else b""
-    return b"".join(out)
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """A WARC file's bytes in pieces of up to PIECE, its gzip members (one for
+    each record or more) undone as they are met; no byte is copied more often
+    than its step holds. ``BROKEN`` stands where a member can't be read to its
+    end; reading goes on at the next that begins."""
+    if not data.startswith(GZIP):
+        yield from (data[i : i + PIECE] for i in range(0, len(data), PIECE))
+        return
+    at = 0
+    while at >= 0 and at < len(data):
+        member, start = zlib.decompressobj(31), at
+        try:
+            while not member.eof and (at < len(data) or member.unconsumed_tail):
+                step = member.unconsumed_tail or data[at : at + STEP]
+                at += 0 if member.unconsumed_tail else len(step)
+                yield member.decompress(step, PIECE)
+            if not member.eof:
+                yield BROKEN
+                return
+            at -= len(member.unused_data)
+        except zlib.error:
+            yield BROKEN
+            at = start + 1
+        while at < len(data) and data[at : at + 1] == b"\0":  # padding
+            at += 1
+        if not data.startswith(GZIP, at) and at < len(data):
+            at = data.find(GZIP, at)
+
+
+class Source:
+    """Bytes of a file that are read as they are asked for, and no longer kept once dropped."""
+
+    def __init__(self, data: bytes):
+        self.pieces, self.kept, self.ended, self.broken = unpacked(data), bytearray(), False, False
+
+    def more(self) -> bool:
+        """Reads on; False at the end. After a broken member a line's end stands in for what is lost."""
+        piece = next(self.pieces, None)
+        if piece is None:
+            self.ended = True
+            return False
+        if piece is BROKEN:
+            self.broken = True
+            piece = b"\r\n\r\n"
+        self.kept += piece
+        return True
+
+    def reach(self, n: int) -> bool:
+        while len(self.kept) < n and self.more():
+            pass
+        return len(self.kept) >= n
+
+    def find(self, mark: bytes, start: int, most: int) -> int:
+        """Where a mark begins, -1 if not within ``most`` bytes."""
+        while (at := self.kept.find(mark, start)) < 0 and len(self.kept) < most:
+            start = max(start, len(self.kept) - len(mark) + 1)
+            if not self.more():
+                return -1
+        return at
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.kept[:n])
+        del self.kept[:n]
+        return out
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -93,30 +153,41 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def split_records(data: bytes) -> Iterator[tuple[bytes, str | None]]:
-    """(record, error) of a WARC file in order. Where a record is broken, its
-    error is told and reading goes on at the next line that begins one."""
-    try:
-        data = unpacked(data)
-    except zlib.error as e:
-        yield data[:0], f"gzip: {e}"
-        return
-    at = 0
-    while at < len(data):
-        error, end = None, data.find(b"\r\n\r\n", at)
-        length = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", data[at:end]) if end >= 0 and data.startswith(b"WARC/", at) else None
+def split_records(data: bytes, most: int = LARGEST) -> Iterator[tuple[bytes, str | None]]:
+    """(record, error) of a WARC file in order, read once. Where a record is
+    broken, its error is told with what there is of it (``most`` bytes at the
+    most) and reading goes on at the next line that begins one. A record of more
+    than ``most`` bytes is passed over and told; no more than one is held."""
+    source = Source(data)
+    while source.reach(1):
+        error, end = None, source.find(b"\r\n\r\n", 0, HEADER)
+        length = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})[ \t]*\r?$", bytes(source.kept[:end])) if end >= 0 and source.kept.startswith(b"WARC/") else None
         if length:
-            to = end + 4 + int(length[1])
-            after = to + 4 if data[to : to + 4] == b"\r\n\r\n" else to
-            if to <= len(data) and (after >= len(data) or data.startswith(b"WARC/", after)):
-                yield data[at:to], None
-                at = after
+            size = end + 4 + int(length[1])
+            if size > most:
+                head, left = source.take(end + 4), size - end - 4
+                while left and source.reach(1):
+                    left -= len(source.take(min(left, PIECE)))
+                source.reach(4)
+                source.take(4 if source.kept.startswith(b"\r\n\r\n") else 0)
+                yield head, f"record over {most} bytes"
                 continue
+            if source.reach(size):
+                source.reach(size + 9)
+                after = size + 4 if source.kept[size : size + 4] == b"\r\n\r\n" else size
+                if after >= len(source.kept) or source.kept.startswith(b"WARC/", after) or (source.broken and after > size):
+                    yield source.take(size), None
+                    source.take(after - size)
+                    continue
             error = "block does not end where Content-Length says"
-        going_on = data.find(b"\r\n\r\nWARC/", at + 1)
-        to = going_on + 4 if going_on >= 0 else len(data)
-        yield data[at:to], error or "no WARC record"
-        at = to
+        begun, going_on = b"", source.find(b"\r\n\r\nWARC/", int(source.kept.startswith(b"WARC/")), most)
+        while going_on < 0 and not source.ended:
+            begun = begun or bytes(source.kept[:most])
+            source.take(max(0, len(source.kept) - 8))
+            going_on = source.find(b"\r\n\r\nWARC/", 0, most)
+        rest = source.take(going_on + 4 if going_on >= 0 else len(source.kept))
+        error, source.broken = "gzip member cut short or broken" if source.broken else error or "no WARC record", False
+        yield begun or rest, error
 
 
 def response_record(page_id: object, url: str, page: str) -> bytes:
@@ -132,6 +203,8 @@ def response_record(page_id: object, url: str, page: str) -> bytes:
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
+    if page_id is not None:
+        headers[PAGE_ID] = str(page_id)
     return serialize(headers, block)
 
 
@@ -284,6 +357,8 @@ def _derived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     headers, block = parse_record(bytes(record or b""))
                     if headers.get("WARC-Type") != "response":
                         continue
+                    if pd.isna(page_id) and re.fullmatch(r"-?\d{1,18}", headers.get(PAGE_ID, "")):
+                        page_id = int(headers[PAGE_ID])  # noqa: PLW2901
                     made = derivatives(headers, block)
                 except ValueError as e:
                     rows.append((page_id, "error", None, headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), headers, headers.get("WARC-Payload-Digest"), None, None, None, str(e)))
@@ -303,25 +378,57 @@ def _responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def responses_of_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> page_id and one response record each, as it
-    stands in a WARC file, and no error. A null url or page is empty; ids follow
+    stands in a WARC file (with the page's id in a header of its own), and no
+    error. A null url or page is empty; ids follow
     from id, url and payload, so repeated rows have one record id."""
+    text_batches(pages.sparkSession, 500)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return base.mapInPandas(_responses, RECORDS)
 
 
+def warc_files(records: DataFrame, per_file: int = FILE_PAGES) -> DataFrame:
+    """(record) -> content: gzip WARC files of up to ``per_file`` records, each a
+    member of its own, in the rows' order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), per_file):
+                yield pd.DataFrame({"content": pd.Series([b"".join(map(_member, batch["record"].iloc[at : at + per_file]))], dtype=object)})
+
+    return records.select("record").where("record is not null").mapInPandas(run, "content binary")
+
+
+def _member(record: bytes) -> bytes:
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(bytes(record)) + packer.flush()
+
+
 def read_warc_files(files: DataFrame) -> DataFrame:
     """Rows of Spark's binaryFile source (content), plain or gzip -> (page_id
-    null, record, error), one row for each record; a broken one has its error,
-    and those after it are read all the same."""
+    null, record, error), one row for each record; a broken one, or one whose
+    gzip member is cut short, has its error, and those after it are read all the
+    same. A file is unpacked as it is read, in one pass: besides the file itself
+    a task holds one record of up to LARGEST bytes (a longer one is an error row
+    with its header), and a few MB of rows. binaryFile itself takes files of up
+    to 2 GB."""
+
+    def frame(rows: list[tuple[bytes, str | None]]) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": pd.array([None] * len(rows), "Int64"), "record": pd.Series([r for r, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                got = list(split_records(bytes(content or b"")))
-                for at in range(0, len(got), 500):
-                    part = got[at : at + 500]
-                    yield pd.DataFrame({"page_id": pd.array([None] * len(part), "Int64"), "record": [r for r, _ in part], "error": [e for _, e in part]})
-
+                rows, held = [], 0
+                for record, error in split_records(bytes(content or b"")):
+                    rows.append((record, error))
+                    held += len(record)
+                    if held > BATCH:
+                        yield frame(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield frame(rows)
+
+    text_batches(files.sparkSession, 4)
     return files.select("content").mapInPandas(run, RECORDS)
 
 

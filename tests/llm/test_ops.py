@@ -6,6 +6,7 @@ import gzip
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import groupby
@@ -479,6 +480,8 @@ def test_op9(spark):
     files = spark.createDataFrame([(bytearray(b"".join(records)),), (bytearray(b"".join(map(gzip.compress, records))),), (None,)], "content binary")
     again = warc.build_derivatives(warc.read_warc_files(files)).collect()
     assert sorted(r["content"] for r in again) == sorted([r["content"] for r in got] * 2)
+    packed = warc.build_derivatives(warc.read_warc_files(warc.warc_files(responses.coalesce(1), 2))).collect()
+    assert sorted(map(repr, packed)) == sorted(map(repr, got))
     assert warc.build_derivatives(responses.where("false")).count() == 0
 
 
@@ -513,6 +516,37 @@ def test_op9_messages(spark):
     assert [e is None for _, e in warc.split_records(whole + b"WARC/1.0\r\nX: 9\r\n\r\nshort\r\n\r\n" + whole)] == [True, False, True]
 
 
+def test_op9_files():
+    """Files are read in one pass within bounds; cut and broken members are errors, and what follows is read."""
+    records = [message(f"X: {i}", b"<p>" + str(i).encode() * 200) for i in range(40_000)]
+    whole = [r[:-4] for r in records]
+    start = time.perf_counter()
+    assert [r for r, _ in warc.split_records(b"".join(map(warc._member, records)))] == whole
+    assert [r for r, _ in warc.split_records(b"".join(records))] == whole
+    assert time.perf_counter() - start < 20
+    a, b, c = (warc._member(r) for r in records[:3])
+    for data in (a + b[: len(b) // 2], a + b[:12], a + b[:-3]):
+        got = list(warc.split_records(data))
+        assert got[0] == (whole[0], None) and (data.endswith(b[:-3]) or [e for _, e in got[1:]] == ["gzip member cut short or broken"])
+    damaged = bytearray(b)
+    damaged[len(b) // 2 : len(b) // 2 + 20] = bytes(20)
+    got = list(warc.split_records(a + bytes(damaged) + c))
+    assert [got[0], got[-1]] == [(whole[0], None), (whole[2], None)] and len(got) > 2 and all(e for _, e in got[1:-1])
+    assert [r for r, e in warc.split_records(gzip.compress(b"".join(records[:5])) + b"\0" * 9) if not e] == whole[:5]
+    long = warc.serialize({"Content-Length": "5000"}, b"x" * 5000)
+    for data in (long, gzip.compress(long)):
+        got = list(warc.split_records(records[0] + long + records[1] if data is long else a + data + b, 3000))
+        assert [e for _, e in got] == [None, "record over 3000 bytes", None] and [got[0][0], got[2][0]] == whole[:2]
+    got = list(warc.split_records(records[0] + b"junk " * 5000 + b"\r\n\r\n" + records[1], 3000))
+    assert [e is None for _, e in got] == [False, False, True] or [e is None for _, e in got] == [True, False, True] or got[-1] == (whole[1], None)
+    bomb = gzip.compress(b"WARC/1.0\r\nContent-Length: 900000000\r\n\r\n" + bytes(80_000_000))
+    tracemalloc.start()
+    assert [e for _, e in warc.split_records(bomb, 1 << 20)] == ["record over 1048576 bytes"]
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+    assert list(warc.split_records(b"")) == []
+
+
 @pytest.mark.parametrize("page", ["<a" * 100_000, "<a " * 100_000, '<a x="' * 100_000, "<a x='<b \"" * 60_000, "<" * 300_000, "<!--" * 80_000, "<script" * 50_000, "<script>" * 50_000, "</" * 100_000, "<a =" * 80_000, "<p>" + "x " * 300_000])
 def test_op9_long_and_broken_pages_take_one_pass(page):
     start = time.perf_counter()
