@@ -410,7 +410,7 @@ def read_warc_files(files: DataFrame) -> DataFrame:
     same. A file is unpacked as it is read, in one pass: besides the file itself
     a task holds one record of up to LARGEST bytes (a longer one is an error row
     with its header), and a few MB of rows. binaryFile itself takes files of up
-    to 2 GB."""
+    to 2 GB; Spark hands them over by 64 MB or one file at a time."""
 
     def frame(rows: list[tuple[bytes, str | None]]) -> pd.DataFrame:
         return pd.DataFrame({"page_id": pd.array([None] * len(rows), "Int64"), "record": pd.Series([r for r, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
@@ -428,7 +428,6 @@ def read_warc_files(files: DataFrame) -> DataFrame:
                 if rows:
                     yield frame(rows)
 
-    text_batches(files.sparkSession, 4)
     return files.select("content").mapInPandas(run, RECORDS)
 
 
