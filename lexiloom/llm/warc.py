@@ -40,6 +40,8 @@ HTML_TYPES = ["", "text/html", "application/xhtml+xml", "application/xml", "text
 
 OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-z][^\s/>]*+))", re.I)
 ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>=][^\s/>=]*+|=)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)?+")
+#: Addresses that need no more than to be put behind a site's.
+ROOT, PLAIN = re.compile(r"https?://[^/?#\s]++"), re.compile(r"/(?!/)[\w/=&%+~-]*+(?:\?[\w/=&%+~-]++)?+")
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 CLOSES = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in HIDDEN}
 _BLOCKS = frozenset(BLOCKS)
@@ -213,6 +215,7 @@ def read_html(page: str, url: str) -> tuple[str, str, list[dict[str, str]]]:
     A ``<`` that opens nothing is text; a comment, tag or script that isn't
     closed hides the rest, as it does in browsers."""
     parts, links, title, in_title, at = [], [], [], False, 0
+    root = ROOT.match(url)
     while m := OPENS.search(page, at):
         if m.start() > at:
             (title if in_title else parts).append(page[at : m.start()])
@@ -232,10 +235,14 @@ def read_html(page: str, url: str) -> tuple[str, str, list[dict[str, str]]]:
             parts.append("\n")
         if not m[3]:
             if (target := found.get(LINKS.get(name, ""))) and at <= len(page):
-                try:
-                    target = urljoin(url, entities.unescape(target))
-                except ValueError:
-                    pass
+                target = entities.unescape(target)
+                if root and PLAIN.fullmatch(target):
+                    target = root[0] + target
+                else:
+                    try:
+                        target = urljoin(url, target)
+                    except ValueError:
+                        pass
                 links.append({"path": f"{name.upper()}@/{LINKS[name]}", "url": target})
             if name in CLOSES:
                 close = CLOSES[name].search(page, at)

@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 from collections import Counter
 from itertools import groupby
+from urllib.parse import urljoin
 
 import numpy as np
 import pyarrow as pa
@@ -562,6 +563,13 @@ def test_op9_markup():
     assert warc.read_html("<a href=x>1</a><a HREF='y'>2<img src=\"z\">", "http://h.org/q/")[2] == [{"path": "A@/href", "url": "http://h.org/q/x"}, {"path": "A@/href", "url": "http://h.org/q/y"}, {"path": "IMG@/src", "url": "http://h.org/q/z"}]
 
 
+def test_op9_addresses():
+    """Short ways to an absolute address give what the standard library does."""
+    for base in ("http://h.org", "http://h.org/", "https://u@h.org:8/a/b?c#d", "h.org/x", "", "HTTP://h.org/a"):
+        for target in ("/", "/x", "//y.org/z", "/a//b", "/a/../b", "/a?b=c&d=%20", "/a?", "/a#b", "a/b", "?q", "http://z.org/y", "/é/ü", "/a;b"):
+            assert warc.read_html(f'<a href="{target}">', base)[2] == [{"path": "A@/href", "url": urljoin(base, target)}]
+
+
 def test_op10(docs, none):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
