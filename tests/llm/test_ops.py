@@ -147,20 +147,50 @@ def test_op1_sends_no_more_rows_than_tokens():
         assert plan.owners == buckets // 8
 
 
-def test_op1_gibbs_sweeps_keep_parties():
-    """Customers stay with their dish; tables settle where the exact sampler of one restaurant has them."""
+def table_odds(n, new, more, discount):
+    """The distribution of a party's tables, by going through its customers one by one and keeping every number of tables."""
+    weight = {1: 1.0}
+    for i in range(1, n):
+        onward = Counter()
+        for t, w in weight.items():
+            onward[t] += w * (i - discount * t)
+            onward[t + 1] += w * (new + more * t)
+        total = sum(onward.values())
+        weight = {t: w / total for t, w in onward.items()}
+    return weight
+
+
+def test_op1_sweeps_seat_every_customer_anew():
+    """Numbers of tables follow their exact distribution, whatever the party's size."""
     rng = np.random.default_rng(1)
-    customers, new = np.array([1, 2, 5, 40, 300]), np.array([0.5, 0.5, 2.0, 1.0, 1.0])
-    seats = pitman_yor.Seats.first(customers, np.ones(5, np.int64))
-    seen = []
-    for i in range(300):
-        seats.sweep(rng, new, 0.5)
-        assert np.array_equal(np.bincount(seats.party, weights=seats.size, minlength=5), customers) and (seats.size > 0).all() and (np.diff(seats.party) >= 0).all()
-        if i >= 50:
-            seen.append(seats.tables())
-    assert np.mean(seen, axis=0)[1] == pytest.approx(1 + 0.5 / (0.5 + 0.5), abs=0.1)
-    seats.match(rng, np.array([3, 1, 9, 40, 290]), new, 0.5)
-    assert seats.customers.tolist() == [3, 1, 9, 40, 290] == np.bincount(seats.party, weights=seats.size, minlength=5).tolist()
+    cases = [(0, 1.0, 0.1), (1, 0.5, 0.1), (2, 0.5, 0.0), (3, 2.0, 0.3), (7, 0.2, 0.05), (64, 3.0, 0.4), (65, 3.0, 0.4), (90, 0.05, 0.02), (400, 8.0, 0.2), (400, 0.001, 0.0), (3000, 1.5, 0.1)]
+    copies = 4000
+    customers, new, more = (np.repeat(np.array(x), copies) for x in zip(*cases, strict=True))
+    seen = pitman_yor.sit_anew(rng, customers, new, more, 0.6).reshape(len(cases), copies)
+    assert (seen[0] == 0).all()
+    for k, (c, a, b) in list(enumerate(cases))[1:]:
+        odds = table_odds(c, a, b, 0.6)
+        mean = sum(t * w for t, w in odds.items())
+        spread = sum((t - mean) ** 2 * w for t, w in odds.items()) ** 0.5
+        assert abs(seen[k].mean() - mean) < 5 * spread / copies**0.5 + 1e-3, cases[k]
+        assert seen[k].std() == pytest.approx(spread, rel=0.1, abs=0.03), cases[k]
+    start = time.perf_counter()
+    pitman_yor.sit_anew(rng, np.array([100_000, 99_999]), np.array([2.0, 3.0]), np.array([0.1, 0.1]), 0.5)
+    assert time.perf_counter() - start < 10
+
+
+def test_op1_openings_are_those_of_customers_in_turn():
+    rng, n = np.random.default_rng(2), 20_000
+    party, at = pitman_yor.openings(rng, np.full(n, 12), np.full(n, 0.7), np.full(n, 0.2), 0.4)
+    tables, opened = np.ones(n), np.zeros(12)
+    for i in range(1, 12):
+        opens = rng.random(n) < (0.7 + 0.2 * tables) / (0.7 + 0.2 * tables + i - 0.4 * tables)
+        opened[i], tables = opens.mean(), tables + opens
+    assert np.allclose(np.bincount(at, minlength=12) / n, opened, atol=0.015)
+    assert np.bincount(party, minlength=n).mean() + 1 == pytest.approx(tables.mean(), abs=0.05)
+    start = time.perf_counter()
+    pitman_yor.openings(rng, np.full(50, 10**8), np.full(50, 3.0), np.zeros(50), 0.3)
+    assert time.perf_counter() - start < 5
 
 
 def base_scan(text):
