@@ -69,9 +69,13 @@ def source_order(spark, d):
 # ---- text
 
 
-@register("law_names", r"SELECT conv_id, turn, (regexp_extract_all(role || '依据中华人民共和国数据安全法和劳动合同法实施细则（2020）' || text, '(?:中华人民共和国)?[一-鿿]{2,20}(?:法|条例|规定|办法|决定|意见|通知|细则|准则|通则|方案|标准)(?:（[^）]+）)?'))[1] AS law FROM conversations")
+LAWFUL = "CASE (conv_id + turn) % 6 WHEN 0 THEN '依据中华人民共和国数据安全法和劳动合同法实施细则（2020）' WHEN 1 THEN '见民法通则' WHEN 2 THEN '没有' WHEN 3 THEN '关于' || role || '的意见，个人信息保护条例' WHEN 4 THEN '法' ELSE '' END || text || CASE WHEN turn % 2 = 0 THEN '。国家标准' ELSE '' END"
+
+
+@register("law_names", f"SELECT conv_id, turn, unnest(regexp_extract_all({LAWFUL}, '{T.LAW}')) AS law, generate_subscripts(regexp_extract_all({LAWFUL}, '{T.LAW}'), 1) AS place FROM conversations")
 def law_names(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.get(T.law_names(F.concat("role", F.lit("依据中华人民共和国数据安全法和劳动合同法实施细则（2020）"), "text")), F.lit(0)).alias("law"))
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.expr(LAWFUL).alias("t"))
+    return said.select("conv_id", "turn", F.posexplode(T.law_names(F.col("t"))).alias("at", "law")).select("conv_id", "turn", "law", (F.col("at") + 1).cast("long").alias("place"))
 
 
 @register("entity_lines", "SELECT p_partkey AS source_id, trim(p_name) AS name, p_type AS type, p_brand AS description FROM part")
