@@ -433,10 +433,11 @@ def keyword_replies(spark, d):
     return enrichment.keywords(c, first_words).select("chunk_id.*", F.array_join("keywords", ",").alias("said"))
 
 
-@register("encoded_texts", "SELECT DISTINCT text, true AS unit FROM conversations WHERE regexp_matches(text, '[a-zA-Z]')")
+@register("encoded_texts", """WITH t AS (SELECT DISTINCT text, list_transform(range(26), lambda i: length(text) - length(replace(lower(text), chr((97 + i)::INTEGER), ''))) AS n FROM conversations WHERE regexp_matches(text, '[a-zA-Z]'))
+SELECT text, round(n[1] / sqrt(list_sum(list_transform(n, lambda x: x * x))), 4) AS a, round(n[5] / sqrt(list_sum(list_transform(n, lambda x: x * x))), 4) AS e, round(list_max(n) / sqrt(list_sum(list_transform(n, lambda x: x * x))), 4) AS most FROM t""")
 def encoded_texts(spark, d):
     out = retrieval.embed(table(spark, d, "conversations").where(F.col("text").rlike("[a-zA-Z]")), letter_counts)
-    return out.select("text", (F.abs(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) - 1) < 1e-5).alias("unit"))
+    return out.select("text", *(F.round(x.cast("double"), 4).alias(n) for n, x in (("a", F.get("embedding", F.lit(0))), ("e", F.get("embedding", F.lit(4))), ("most", F.array_max("embedding")))))
 
 
 @register("summary_tree")
