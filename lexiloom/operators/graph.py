@@ -167,6 +167,23 @@ def expand_paths(starts: DataFrame, edges: DataFrame, hops: int = 3, least_weigh
     return _first(best, ["start"], [F.desc("score"), F.col("hops"), F.col("target")], k) if k else best
 
 
+def best_reached(starts: DataFrame, edges: DataFrame, hops: int = 3, least_weight: float = 0.1) -> DataFrame:
+    """(name) and (source, target, weight) -> (name, score): every node's best
+    score in ``expand_paths`` by whichever start but itself, without the paths of
+    all the others. A node's two best starts go on: of what a third leads to, one
+    of these two is another node and has led there no worse."""
+    edges = edges.groupBy("source", "target").agg(F.max("weight").alias("weight")).where(F.col("weight") >= least_weight)
+    step = materialize(edges.select(F.col("source").alias("at"), "target", "weight"), "reach-edges")
+    front = starts.select(F.col("name").alias("start"), F.col("name").alias("at"), F.lit(1.0).alias("score")).distinct()
+    found = None
+    for _ in range(hops):
+        met = front.join(step, "at").select("start", F.col("target").alias("at"), (F.col("score") * F.col("weight")).alias("score"))
+        met = met.where(F.col("score") >= least_weight).groupBy("start", "at").agg(F.max("score").alias("score"))
+        front = materialize(_first(met, ["at"], [F.desc("score"), F.col("start")], 2), "reach-front")
+        found = front if found is None else found.union(front)
+    return found.where("start != at").groupBy(F.col("at").alias("name")).agg(F.max("score").alias("score"))
+
+
 def _first(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
