@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.session import small_batches
+
 Spans = list[tuple[int, int]]
 
 # Where a fixed-size chunk is cut back to, and what a recursive one is cut at, best first.
@@ -99,6 +101,7 @@ def chunk_documents(docs: DataFrame, split: Callable[[str], Spans]) -> DataFrame
         for texts in batches:
             yield texts.map(lambda t: [{"start": s, "end": e, "content": c} for s, e, c in sliced(t, split(t))] if t else [])
 
+    small_batches(docs.sparkSession)
     each = F.pandas_udf(run, "array<struct<start:int,end:int,content:string>>")
     return docs.select("doc_id", F.posexplode(each(F.col("text"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
 
