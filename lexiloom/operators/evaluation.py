@@ -16,27 +16,31 @@ def ir_metrics(runs: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, source) and (query_id, source) -> one row for each query
     with relevant sources: hit_rate, recall_at_k, mrr, precision, ndcg_at_k,
     average_precision. Repeated sources in a run count each time, but in
-    precision once."""
-    relevant = qrels.select("query_id", "source").distinct()
-    size = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    judged = runs.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "source"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    precision once. Runs and what is relevant are shuffled by query once, one
+    after the other: along a source what is relevant comes first, and counts go on
+    from row to row, so nothing is joined and no distinct sources are gathered."""
+    asked = qrels.select("query_id", F.lit(None).cast(runs.schema["rank"].dataType).alias("rank"), "source", F.lit(1).alias("asked"))
+    both = runs.select("query_id", "rank", "source", F.lit(0).alias("asked")).union(asked).repartition("query_id")
+    along = Window.partitionBy("query_id", "source").orderBy(F.desc("asked"), "rank").rowsBetween(Window.unboundedPreceding, 0)
+    known, met = F.col("source").isNotNull(), F.col("asked") == 0
+    judged = both.select("*", F.when(met & known, F.max("asked").over(along)).otherwise(0).alias("rel"), F.count_if(met).over(along).alias("nth"), F.count_if(~met).over(along).alias("nth_asked"))
+    judged = judged.where(met | (F.col("nth_asked") == 1))
     so_far = Window.partitionBy("query_id").orderBy("rank", "source").rowsBetween(Window.unboundedPreceding, 0)
     judged = judged.withColumn("hits", F.sum("rel").over(so_far))
-    at = F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)
-    agg = judged.groupBy("query_id").agg(
-        F.max("rel").alias("hit"), F.sum(at).alias("found"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),
-        F.countDistinct("source").alias("retrieved"), F.countDistinct(F.when(F.col("rel") == 1, F.col("source"))).alias("right"),
+    at, once = F.when(F.col("rank") <= k, F.col("rel")).otherwise(0), met & known & (F.col("nth") == 1)
+    joined = judged.groupBy("query_id").agg(
+        F.sum("asked").alias("n_relevant"), F.max("rel").alias("hit"), F.sum(at).alias("found"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),
+        F.count_if(once).alias("retrieved"), F.count_if(once & (F.col("rel") == 1)).alias("right"),
         F.sum(at / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(F.col("rel") * F.col("hits") / F.col("rank")).alias("ap"),
-    )
-    joined = size.join(agg, "query_id", "left")
+    ).where("n_relevant > 0")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
 
     def value(x: Column) -> Column:
-        return F.round(F.coalesce(x, F.lit(0.0)), 6)
+        return F.round(F.coalesce(F.when(F.col("query_id").isNotNull(), x), F.lit(0.0)), 6)
 
     return joined.select(
         "query_id", value(F.col("hit").cast("double")).alias("hit_rate"), value(F.col("found") / F.col("n_relevant")).alias("recall_at_k"), value(1 / F.col("first")).alias("mrr"),
-        value(F.col("right") / F.col("retrieved")).alias("precision"), value(F.col("dcg") / ideal).alias("ndcg_at_k"), value(F.col("ap") / F.col("n_relevant")).alias("average_precision"),
+        value(F.try_divide("right", "retrieved")).alias("precision"), value(F.col("dcg") / ideal).alias("ndcg_at_k"), value(F.col("ap") / F.col("n_relevant")).alias("average_precision"),
     )
 
 
