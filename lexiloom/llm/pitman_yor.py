@@ -8,7 +8,9 @@ base is uniform over the vocabulary and one unknown word.
 Tokens are dealt to buckets by the word before them, so a word's restaurant and
 all its children's are in one bucket. A word that more than a quarter of a
 bucket follows is spread over as many parts as it takes by what follows: dishes
-are whole there too, and only sums over its restaurants span parts. Seating is
+are whole there too, and only sums over its restaurants span parts. Discounts
+follow from how many words, pairs and triples are met once and twice in all
+training tokens; buckets count the latter two, each its own. Seating is
 sampled by Gibbs sweeps in each bucket, each of which seats all customers anew
 from the exact distribution of their party; the root's customers, and those
 sums, are exchanged by key. A task holds one bucket, whose size is fixed, but for
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -147,20 +149,23 @@ def tokens(batches: Iterator[pa.RecordBatch], most: int = BATCH_TOKENS) -> Itera
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (kind 0), and of the 256th part of pairs (1) and triples (2) by hash."""
+    """Counts of words."""
     for run in tokens(batches):
-        before = run.earlier(run.word, BEGIN)
-        pair, triple = textbytes.combine(before, run.word), textbytes.combine(run.earlier(before, BEGIN), before, run.word)
-        for kind, keys in ((0, run.word), (1, pair[pair % np.uint64(256) == 0]), (2, triple[triple % np.uint64(256) == 0])):
-            keys, n = np.unique(keys, return_counts=True)
-            yield pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+        keys, n = np.unique(run.word, return_counts=True)
+        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+
+def discount(once: int, twice: int) -> float:
+    """From how many are met once and twice."""
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
 @dataclass(frozen=True)
 class Plan:
     """What is known of the corpus before seating: bounded, whatever its size.
     ``spread`` are the words whose followers are dealt in ``parts``; discounts
-    are the root's, of one word and of two."""
+    are the root's, of one word and of two, the latter two known once all
+    buckets have counted (``told``)."""
 
     buckets: int
     total: int
@@ -180,29 +185,27 @@ class Plan:
     def owner(self, keys: np.ndarray, of: int) -> np.ndarray:
         return ((textbytes.mix(keys) >> np.uint64(33)) % np.uint64(of)).astype(np.int64)
 
+    def told(self, met: list[int]) -> Plan:
+        """With the discounts of what all buckets have ``met``."""
+        return replace(self, discounts=(self.discounts[0], discount(*met[:2]), discount(*met[2:])))
+
     @property
     def owners(self) -> int:
         return max(1, self.buckets // 8)
 
 
 def survey(trained: DataFrame, bucket_tokens: int) -> Plan:
-    """Counts of all training tokens, their kinds, the frequent words, and
-    discounts from how many are met once and twice."""
-    counts = trained.select("text").mapInArrow(_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    """Counts of all training tokens, their kinds, the frequent words, and the
+    root's discount from how many words are met once and twice."""
+    counts = trained.select("text").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "language-model-counts")
-    found = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).collect()}
-
-    def discount(kind: int) -> float:
-        r = found.get(kind)
-        return min(0.95, max(0.1, r["once"] / (r["once"] + 2 * r["twice"]))) if r and r["once"] else 0.5
-
-    total = found[0]["total"] if 0 in found else 0
+    total, kinds, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     share = max(1, bucket_tokens // 4, total // MOST_SPREAD)
-    spread = counts.where(f"kind = 0 and n > {share}").select("key", "n").toPandas()  # MOST_SPREAD words at most
+    spread = counts.where(f"n > {share}").toPandas()  # MOST_SPREAD words at most
     keys = spread["key"].to_numpy().astype(np.int64).view(np.uint64)
     parts = -(-spread["n"].to_numpy().astype(np.int64) // share)
     order = np.argsort(keys)
-    return Plan(max(24, -(-total // bucket_tokens)), total, found[0]["kinds"] if 0 in found else 0, keys[order], parts[order], (discount(0), discount(1), discount(2)))
+    return Plan(max(24, -(-total // bucket_tokens)), total, kinds, keys[order], parts[order], (discount(once, twice), 0.5, 0.5))
 
 
 def _narrow(values: np.ndarray, most: int) -> np.ndarray:
@@ -587,13 +590,42 @@ def asked_rows(plan: Plan, bucket: Bucket) -> Iterator[tuple[int, int, bytes]]:
         yield int(owner[mine[0]]), bucket.number, pack(keys[mine], dish[mine], *(_smallest(sums[mine, i]) for i in range(sums.shape[1])))
 
 
-def _asked(shared):
-    """What a bucket asks its keys' owners, and its seating, of which its own
-    negative number is the owner."""
+def once_and_twice(blobs: list[bytes]) -> list[int]:
+    """How many pairs of a bucket's training tokens are met once and twice, and
+    how many triples. Each is whole in one bucket, so sums over buckets are exact."""
+    parts = [unpack(x) for x in blobs]
+    names, known = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    known, n = known.astype(np.uint32), np.uint64(len(names))
+    pairs, further, at = [], [], 0
+    for own, before, runs, word, more, place in parts:
+        of, train = known[at : at + len(own)], place >= TRAINED
+        pairs.append(of[np.repeat(before, runs)[train]] * n + of[word[train]])
+        further.append(of[more[train]])
+        at += len(own)
+    del parts, known
+    _, of, pair = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+    del pairs
+    triple = np.unique(of.astype(np.uint64) * n + np.concatenate(further), return_counts=True)[1]
+    return [int((x == k).sum()) for x in (pair, triple) for k in (1, 2)]
 
-    def run(parts: pa.Table) -> pa.Table:
-        bucket = _bucket(shared.value, parts)
-        return _table(ASKED, [*asked_rows(shared.value, bucket), (-1 - bucket.number, bucket.number, bucket.seats())] if bucket else [])
+
+def _met(parts: pa.Table) -> pa.Table:
+    blobs = parts.filter(pa.compute.equal(parts["kind"], 0))["blob"].to_pylist()
+    return _table("met array<long>", [(once_and_twice(blobs),)] if blobs else [])
+
+
+def _asked(shared):
+    """What a bucket asks its keys' owners, and its discounts and seating, of which
+    its own negative number is the owner."""
+
+    def run(parts: pa.Table, met: pa.Table) -> pa.Table:
+        if not parts.num_rows:
+            return _table(ASKED, [])
+        plan = shared.value.told(met["met"][0].as_py())
+        if not (bucket := _bucket(plan, parts)):
+            return _table(ASKED, [])
+        seats = pack(np.array(plan.discounts), np.frombuffer(bucket.seats(), np.uint8))
+        return _table(ASKED, [*asked_rows(plan, bucket), (-1 - bucket.number, bucket.number, seats)])
 
     return run
 
@@ -667,9 +699,11 @@ def _summed(shared):
         lists = parts.filter(pa.compute.equal(parts["kind"], 1))
         rows = list(zip(lists["batch"].to_pylist(), [-1] * lists.num_rows, lists["blob"].to_pylist(), strict=True))
         told = dict(zip(answers["owner"].to_pylist(), answers["blob"].to_pylist(), strict=True))
-        if bucket := _bucket(shared.value, parts, told.pop(-1, None)):
+        if -1 in told:
+            discounts, seats = unpack(told.pop(-1))
+            plan = replace(shared.value, discounts=tuple(discounts.tolist()))
             totals = np.array(answers["totals"][0].as_py(), float)
-            rows += scored_rows(shared.value, bucket, sorted(told.items()), totals)
+            rows += scored_rows(plan, _bucket(plan, parts, seats.tobytes()), sorted(told.items()), totals)
         return _table("batch long, bucket int, blob binary", rows)
 
     return run
@@ -713,7 +747,10 @@ def score_texts(docs: DataFrame, folds: int = 10, bucket_tokens: int = 2_100_000
     plan = survey(base.where("not held_out"), bucket_tokens)
     shared = spark.sparkContext.broadcast(plan)
     dealt = base.mapInArrow(_dealt(shared), PART)
-    asked = dealt.groupBy("bucket").applyInArrow(trimmed(_asked(shared)), ASKED)
+    met = dealt.groupBy("bucket").applyInArrow(trimmed(_met), "met array<long>")
+    met = met.agg(F.array(*(F.coalesce(F.sum(F.get("met", F.lit(i))), F.lit(0)) for i in range(4))).alias("met"))  # one row
+    met = spark.range(plan.buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(met))
+    asked = dealt.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(trimmed(_asked(shared)), ASKED)
     totals = asked.groupBy("owner").applyInArrow(trimmed(_rooted(shared)), "of int, totals array<long>")
     totals = totals.groupBy("of").agg(F.array(*(F.sum(F.get("totals", F.lit(i))) for i in range(2 * SAMPLES))).alias("totals"))  # one row
     answered = asked.groupBy("owner").applyInArrow(trimmed(_answered(shared)), "of int, bucket int, owner int, blob binary").join(F.broadcast(totals), "of")

@@ -73,6 +73,31 @@ def test_op1(docs, none):
     assert pitman_yor.score_texts(none).count() == 0
 
 
+def test_op1_discounts_are_of_all_pairs_and_triples(spark):
+    """One training text of words that each occur once leaves nothing to draw:
+    all discounts are at their most, and every party has one customer."""
+    words = [f"only{i}" for i in range(40)]
+    got = pitman_yor.score_texts(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    n, d = len(words) + 1, 0.95
+    p = (1 - d + (1 + d * n) / (n + 1)) / (1 + n)
+    for _ in range(2):
+        p = (1 - d + (1 + d) * p) / 2
+    assert not got["held_out"] and got["score"] == pytest.approx(n * np.log10(p), rel=1e-6)
+
+
+def test_op1_pairs_met_once_and_twice():
+    texts = ["a b a b a b", "b a c", "a b d", "c c c c", "", "a b d e"] + [" ".join(random.Random(i).choices("abcdefgh", k=30)) for i in range(20)]
+    plan = pitman_yor.Plan(7, 1000, 13, np.zeros(0, np.uint64), np.zeros(0, np.int64), (0.3, 0.5, 0.5))
+    met = np.sum([pitman_yor.once_and_twice(blobs) for blobs in dealt(texts, plan).values()], axis=0)
+    pairs, triples = Counter(), Counter()
+    for t in texts:
+        words = ["<", "<", *t.split(), ">"]
+        pairs.update(zip(words[1:], words[2:], strict=False))
+        triples.update(zip(words, words[1:], words[2:], strict=False))
+    assert met.tolist() == [sum(x == k for x in c.values()) for c in (pairs, triples) for k in (1, 2)]
+    assert plan.told([6, 3, 0, 5]).discounts == (0.3, 0.5, 0.5) and plan.told([8, 1, 9, 3]).discounts == (0.3, 0.8, 0.6)
+
+
 def dealt(texts, plan):
     """Blobs of texts by bucket, as the dealing task makes them."""
     batch = pa.record_batch([pa.array(texts), pa.array(range(len(texts))), pa.array([False] * len(texts))], names=["text", "doc_id", "held_out"])
