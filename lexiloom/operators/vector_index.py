@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators.retrieval import best_in_groups, knn, top_k
+from lexiloom.operators.retrieval import QUERY_ROWS, VECTOR_ROWS, best_in_groups, knn, top_k
 from lexiloom.session import materialize
 
 SAMPLE = 20_000
@@ -21,6 +21,13 @@ PIECE_ROWS = 50_000
 CELLS = "cell int, doc_id long, embedding array<float>"
 
 
+def pieces(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches' rows, at most so many at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length 1; zero rows stay."""
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -67,14 +74,13 @@ class VectorIndex:
         shared = spark.sparkContext.broadcast(fitted)
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    rows = unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
-                    yield batch.assign(cell=(rows @ shared.value.T).argmax(1).astype(np.int32))[["cell", "doc_id", "embedding"]]
+            for batch in pieces(batches, VECTOR_ROWS):
+                rows = unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
+                yield batch.assign(cell=(rows @ shared.value.T).argmax(1).astype(np.int32))[["cell", "doc_id", "embedding"]]
 
         assigned = materialize(known.mapInPandas(assign, CELLS), "vector-cells")
-        pieces = assigned.groupBy("cell").agg(F.ceil(F.count("*") / PIECE_ROWS).alias("pieces"))
-        dealt = assigned.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("doc_id", "embedding"), F.col("pieces")).cast("int"))
+        parts = assigned.groupBy("cell").agg(F.ceil(F.count("*") / PIECE_ROWS).alias("pieces"))
+        dealt = assigned.join(F.broadcast(parts), "cell").withColumn("piece", F.pmod(F.xxhash64("doc_id", "embedding"), F.col("pieces")).cast("int"))
         dealt.drop("pieces").repartition("cell", "piece").write.partitionBy("cell").parquet(f"{root}/cells")
         spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(fitted)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{root}/centroids")
         return cls(spark, root, fitted)
@@ -89,17 +95,18 @@ class VectorIndex:
 
     def probed(self, queries: DataFrame, probes: int) -> DataFrame:
         """(query_id, embedding) -> the same with each of the ``probes`` nearest
-        cells, and which of them it is (``near``, from 1)."""
+        cells, and which of them it is (``near``, from 1). A query leaves Python once,
+        with its list of cells."""
         shared, most = self.spark.sparkContext.broadcast(self.centroids), min(probes, len(self.centroids))
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    rows = unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
-                    cell = np.argsort(-(rows @ shared.value.T), axis=1, kind="stable")[:, :most]
-                    yield batch.loc[batch.index.repeat(most)].assign(cell=cell.ravel().astype(np.int32), near=np.tile(np.arange(1, most + 1, dtype=np.int32), len(batch)))[["query_id", "embedding", "cell", "near"]]
+            for batch in pieces(batches, QUERY_ROWS):
+                rows = unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
+                cells = np.argsort(-(rows @ shared.value.T), axis=1, kind="stable")[:, :most].astype(np.int32)
+                yield batch.assign(cells=list(cells))[["query_id", "embedding", "cells"]]
 
-        return queries.select("query_id", "embedding").where("embedding is not null").mapInPandas(near, "query_id long, embedding array<float>, cell int, near int")
+        listed = queries.select("query_id", "embedding").where("embedding is not null").mapInPandas(near, "query_id long, embedding array<float>, cells array<int>")
+        return listed.select("query_id", "embedding", F.posexplode("cells").alias("at", "cell")).select("query_id", "embedding", "cell", (F.col("at") + 1).alias("near"))
 
     def probes_for(self, queries: DataFrame, k: int = 10, least_recall: float = 0.95, sample: int = 1000) -> int:
         """The least number of probes that finds ``least_recall`` of the exact
