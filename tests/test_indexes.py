@@ -113,6 +113,28 @@ def test_index_follows_its_documents(spark, tmp_path, monkeypatch):
         old.delete(spark.createDataFrame([(1,)], "doc_id long"))
 
 
+def test_index_blocks_of_few_and_many(spark, tmp_path, monkeypatch):
+    """Only terms of more postings than a block are sized by frequency and length,
+    and postings then wait for no shuffle but that by block."""
+    monkeypatch.setattr(search_index, "BLOCK", 4)
+    sized, plain = [], search_index.materialize
+
+    def kept(df, label):
+        sized.extend([plain(df, label)] if label == "index-sizes" else [])
+        return sized[-1] if label == "index-sizes" else plain(df, label)
+
+    monkeypatch.setattr(search_index, "materialize", kept)
+    docs = [(i, "the " * (1 + i % 3) + f"rare{i // 2} " * 2 + "pad " * (i % 5 == 0) * 9) for i in range(20)]
+    index = search_index.SearchIndex.open(spark, f"file://{tmp_path}/index").sync(spark.createDataFrame(docs, "doc_id long, text string"))
+    counts = {r.term: r.df for r in index.frequencies().collect()}
+    assert counts == {"the": 20, "pad": 4} | {f"rare{i}": 2 for i in range(10)}
+    assert {r.term for r in sized[0].collect()} == {"the"}
+    stored = index._read(index.segments, "postings", search_index.POSTINGS).collect()
+    assert sorted((r.term, d, t) for r in stored for d, t in zip(r.doc_ids, r.tfs, strict=True)) == sorted((w, i, t.split().count(w)) for i, t in docs for w in set(t.split()))
+    assert all((r.block == "all.0") == (r.term != "the") and len(set(r.tfs)) == 1 and r.most_tf == max(r.tfs) and r.least_length == min(r.lengths) for r in stored)
+    assert sum(r.term == "the" for r in stored) > 4
+
+
 def test_vector_index(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(30, 16))
