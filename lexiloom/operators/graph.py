@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -388,15 +389,22 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(a, b) undirected -> (node, community): each node takes the commonest
     label of its neighbours and itself, the least on ties, all at once. Labels are
     what a task holds for its links' join, which therefore aren't sorted; a task
-    has about ``LINKS`` of these, or of their votes, however many there are."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct()
+    has about ``LINKS`` of these, or of their votes, however many there are. Links
+    are shuffled once and kept on the executors' disks until labels are found; a
+    round's votes are shuffled once, to the node that counts them."""
+    pairs = edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
     both = materialize(both.union(both.select("a", F.col("a").alias("b")).distinct()), "labels-links")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     parts = max(both.sparkSession.sparkContext.defaultParallelism, -(-both.count() // LINKS))
+    links = both.repartition(parts, "b").persist(StorageLevel.DISK_ONLY)
+    links.count()  # Until it is there, Spark doesn't know how it is dealt, and would deal it again.
     for _ in range(rounds):
-        votes = both.repartition(parts, "b").join(labels.hint("shuffle_hash"), both.b == labels.node).select("a", "community").repartition(parts, "a", "community").groupBy("a", "community").agg(F.count("*").alias("n"))
+        labels = labels.repartition(parts, "node").hint("shuffle_hash")
+        votes = links.join(labels, links.b == labels.node).select("a", "community").repartition(parts, "a").groupBy("a", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("a").agg(F.max(F.struct("n", (-F.col("community")).alias("c"))).alias("v"))
         labels = materialize(best.select(F.col("a").alias("node"), (-F.col("v.c")).alias("community")), "labels")
+    links.unpersist()
     return labels
 
 
